@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.chunking import chunk_overlap
+from askloom.session import spread
 
 CHUNK_SIZE = 128
 CHUNK_OVERLAP = 0.25
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """A table whose texts are worked on row by row, over all cores."""
+    return spread(table(spark, sf, name).select(*columns))
+
+
 # --------------------------------------------------------------------------
 # questions, answers and tags from the order tables
 
@@ -171,7 +177,7 @@ prepared AS (
 
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     cut = chunk_overlap(
-        table(spark, sf, "documents").select("doc_id", "text"), "text", CHUNK_SIZE, CHUNK_OVERLAP
+        texts(spark, sf, "documents", "doc_id", "text"), "text", CHUNK_SIZE, CHUNK_OVERLAP
     )
     return cut.select(
         F.concat(F.lit("d"), "doc_id", F.lit("_c"), "chunk_index").alias("chunk_id"),

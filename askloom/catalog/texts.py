@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askloom.catalog.registry import query
-from askloom.catalog.tables import sql_clean, sql_squeeze, sql_tokens, sql_words, table
+from askloom.catalog.tables import sql_clean, sql_squeeze, sql_tokens, sql_words, table, texts
 from askloom.functions import text as tx
 from askloom.operators import analytics
 from askloom.operators.lookups import lemmatize
@@ -19,24 +19,28 @@ LEMMAS = (
 
 @query("clean_html", f"SELECT page_id, {sql_clean('html')} AS cleaned FROM pages")
 def clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.clean_html(F.col("html")).alias("cleaned"))
+    return texts(spark, sf, "pages", "page_id", "html").select(
+        "page_id", tx.clean_html(F.col("html")).alias("cleaned")
+    )
 
 
 @query("normalize_body", f"SELECT page_id, lower({sql_clean('html')}) AS body FROM pages")
 def normalize_body(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.normalize_body(F.col("html")).alias("body"))
+    return texts(spark, sf, "pages", "page_id", "html").select(
+        "page_id", tx.normalize_body(F.col("html")).alias("body")
+    )
 
 
 @query("lower_text", "SELECT doc_id, lower(text) AS lowered FROM documents")
 def lower_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tx.lower_text(F.col("text")).alias("lowered")
     )
 
 
 @query("squeeze_space", f"SELECT doc_id, {sql_squeeze('text')} AS squeezed FROM documents")
 def squeeze_space(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tx.squeeze_space(F.col("text")).alias("squeezed")
     )
 
@@ -47,7 +51,7 @@ def squeeze_space(spark, sf):
           lambda w: w NOT IN {STOP_WORDS!r}), ' ') AS kept FROM documents""",
 )
 def drop_stopwords(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tx.drop_stopwords(F.col("text"), STOP_WORDS).alias("kept")
     )
 
@@ -65,7 +69,7 @@ def drop_stopwords(spark, sf):
 )
 def lemmatize_words(spark, sf):
     lemmas = spark.createDataFrame(LEMMAS, "token string, lemma string")
-    return lemmatize(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", lemmas)
+    return lemmatize(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", lemmas)
 
 
 @query(
@@ -73,14 +77,14 @@ def lemmatize_words(spark, sf):
     f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents",
 )
 def simple_tokens(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.array_join(tx.simple_tokens(F.col("text")), " ").alias("tokens")
     )
 
 
 @query("normalize_title", f"SELECT doc_id, lower({sql_squeeze('text')}) AS title FROM documents")
 def normalize_title(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tx.normalize_title(F.col("text")).alias("title")
     )
 
@@ -107,7 +111,7 @@ def strip_leading_digit(spark, sf):
     FROM counted GROUP BY 1""",
 )
 def anagram_groups(spark, sf):
-    words = table(spark, sf, "documents").select(
+    words = texts(spark, sf, "documents", "text").select(
         F.explode(tx.simple_tokens(F.col("text"))).alias("w")
     )
     grouped = analytics.anagram_groups(words, "w")

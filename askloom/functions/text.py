@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java needs (?U) before \s covers the no-break space and its relatives.
-_BLANKS = r"(?U)\s+"
-_OUTER_BLANKS = r"(?U)^\s+|\s+$"
+# White space in the wide sense: (?U) makes \s cover the no-break space and its
+# relatives, the separators 1C-1F are listed.
+_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# The same characters one by one, for trimming without a pattern (fixed values).
+_BLANK_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
 _WORD = r"([\p{L}\p{N}]+)"
 
 # Marks where markup stood, so text nodes can be told apart after it is gone.
@@ -48,7 +52,13 @@ def or_empty(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(text, _OUTER_BLANKS, "")
+    return F.btrim(text, F.lit(_BLANK_CHARS))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Apply ``use`` to a value that is computed once, however often ``use``
+    refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def words(text: Column) -> Column:
@@ -123,8 +133,8 @@ def unescape_html(text: Column) -> Column:
 def clean_html(html: Column) -> Column:
     """Visible text of a page: text nodes stripped, empty ones dropped, joined
     by one blank. Null gives an empty string."""
-    marked = unescape_html(F.regexp_replace(or_empty(html), _MARKUP, _NODE_MARK))
-    nodes = F.transform(F.split(marked, _NODE_MARK + "+"), strip)
+    marked = F.regexp_replace(or_empty(html), _MARKUP, _NODE_MARK)
+    nodes = F.transform(F.split(_once(marked, unescape_html), _NODE_MARK + "+"), strip)
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
