@@ -18,7 +18,7 @@ from askloom.plans.answering import fuse_lists
 from askloom.session import land, scratch_folder
 
 TOP = 10
-MIN_SHARE = 0.5
+MIN_SHARE = 0.35
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("texts", "documents")
+_MODULES = ("texts", "documents", "loading", "search", "quality", "figures", "requests")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

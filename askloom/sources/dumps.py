@@ -83,7 +83,10 @@ def read_tags(spark: SparkSession, path: str, **options: object) -> DataFrame:
 def nullable_int_cast(value: Column) -> Column:
     """``26.0`` to 26; NaN, blanks and text to null."""
     number = value.try_cast("double")
-    return F.when(~F.isnan(number), number).try_cast("bigint")
+    # Directly where possible: a double does not hold every long id.
+    return F.coalesce(
+        value.try_cast("bigint"), F.when(~F.isnan(number), number).try_cast("bigint")
+    )
 
 
 def _required_int(name: str, kind: str = "bigint") -> Column:

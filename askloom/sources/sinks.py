@@ -100,7 +100,13 @@ def chunk_sink_contract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def csv_sink(
-    df: DataFrame, path: str, *, sep: str = ",", single_file: bool = False
+    df: DataFrame,
+    path: str,
+    *,
+    sep: str = ",",
+    single_file: bool = False,
+    null_value: str = "",
+    encoding: str = "UTF-8",
 ) -> None:
     """CSV with a header. One file only if the table is measured to be small;
     a larger one is written as several files."""
@@ -112,5 +118,9 @@ def csv_sink(
         .option("sep", sep)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("nullValue", null_value)
+        .option("encoding", encoding)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
