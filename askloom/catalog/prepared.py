@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from askloom.catalog import tables
 from askloom.operators.lexical import LexicalIndex, lexical_topk, write_index
-from askloom.operators.vectors import embed_text, vector_topk
+from askloom.operators.vectors import (
+    CellIndex,
+    assign_cells,
+    embed_text,
+    fit_cells,
+    vector_topk,
+)
 from askloom.plans.answering import fuse_lists
 from askloom.session import land, scratch_folder
 
 TOP = 10
-MIN_SHARE = 0.35
+ANY_SHARE = 0.6
 
 
 @dataclass(frozen=True)
@@ -46,12 +52,25 @@ def search_tables(spark: SparkSession, sf: str) -> SearchTables:
         queries = land(
             embed_text(tables.benchmark_queries(spark, sf), "text", dim=tables.DIM), "queries"
         )
-        index = write_index(chunks, scratch_folder(spark, "lexical"))
+        index = write_index(chunks, scratch_folder(spark, "lexical"), buckets=8)
         return SearchTables(chunks, index, queries)
 
     return _once(spark, sf, "search", build)
 
 
+def cell_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CellIndex]:
+    """The embeddings table stored by cell, and its centroids."""
+
+    def build() -> tuple[DataFrame, CellIndex]:
+        chunks = tables.table(spark, sf, "embeddings").select(
+            F.col("vec_id").alias("chunk_id"), "embedding"
+        )
+        index = fit_cells(chunks, 16)
+        return land(assign_cells(chunks, index).sortWithinPartitions("cell"), "cells"), index
+
+    return _once(spark, sf, "cells", build)
+
+
 def ranked_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The vector list and the lexical list of every benchmark query."""
 
@@ -59,7 +78,7 @@ def ranked_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         t = search_tables(spark, sf)
         return (
             land(vector_topk(t.chunks, t.queries, TOP), "nearest"),
-            land(lexical_topk(t.index, t.queries, TOP, min_share=MIN_SHARE), "lexical-best"),
+            land(lexical_topk(t.index, t.queries, TOP), "lexical-best"),
         )
 
     return _once(spark, sf, "lists", build)

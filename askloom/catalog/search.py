@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.catalog import prepared, tables
 from askloom.catalog.documents import sql_prompt
-from askloom.catalog.prepared import MIN_SHARE, TOP
+from askloom.catalog.prepared import ANY_SHARE, TOP
 from askloom.catalog.registry import query
 from askloom.catalog.tables import SQL_CHUNKS, SQL_QUERIES, sql_tokens, sql_vectors
 from askloom.operators import fusion, gates, lexical, rerank, vectors
@@ -65,7 +65,7 @@ best_terms AS (
   WHERE rank <= {TOP})"""
 
 
-_LISTS = f"{_VECTOR}, {_sql_lexical(MIN_SHARE)}"
+_LISTS = f"{_VECTOR}, {_sql_lexical(1.0)}"
 _FUSED = f"""{_LISTS},
 fused AS (
   SELECT query_id, chunk_id, distance, score AS bm25_score,
@@ -142,9 +142,8 @@ def vector_topk(spark, sf):
 
 @query("ann_topk")
 def ann_topk(spark, sf):
-    chunks, queries = _neighbours(spark, sf)
-    index = vectors.fit_cells(chunks, 16)
-    return vectors.ann_topk(vectors.assign_cells(chunks, index), queries, 10, index, nprobe=6)
+    celled, index = prepared.cell_index(spark, sf)
+    return vectors.ann_topk(celled, _neighbours(spark, sf)[1], 10, index, nprobe=6)
 
 
 # --------------------------------------------------------------------------
@@ -174,12 +173,12 @@ def lexical_topk(spark, sf):
 
 @query(
     "any_term_topk",
-    f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {_sql_lexical(MIN_SHARE)}
+    f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {_sql_lexical(ANY_SHARE)}
     SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best_terms""",
 )
 def any_term_topk(spark, sf):
     t = prepared.search_tables(spark, sf)
-    return lexical.any_term_topk(t.index, t.queries, TOP, min_share=MIN_SHARE).withColumn(
+    return lexical.any_term_topk(t.index, t.queries, TOP, min_share=ANY_SHARE).withColumn(
         "score", F.round("score", 6)
     )
 
@@ -272,7 +271,7 @@ def attach_scores(spark, sf):
 def hybrid_search(spark, sf):
     t = prepared.search_tables(spark, sf)
     return _rounded(
-        answering.hybrid_search(t.chunks, t.index, t.queries, TOP, min_share=MIN_SHARE)
+        answering.hybrid_search(t.chunks, t.index, t.queries, TOP)
     )
 
 

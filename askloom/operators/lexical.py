@@ -2,11 +2,12 @@
 
 Tables: ``chunks(chunk_id, chunk_text, ...)`` and ``queries(query_id, text)``.
 
-A chunk that holds at least m of a query's n terms must hold one of the query's
-n-m+1 rarest terms. So candidates come from the rarest terms only (one term per
-query for the all-terms match), and the common terms, whose postings may cover a
-third of the corpus, are only looked up for those candidates by
-``(chunk_id, term)``. No list of all pairs sharing a common term is ever made.
+A chunk that holds at least m of a query's n terms holds at least j of the
+query's n-m+j rarest terms, for any j up to m. So candidates come from the rarest
+terms only (one term per query for the all-terms match), and the common terms,
+whose postings may cover a third of the corpus, are only looked up for those
+candidates by ``(chunk_id, term)``. No list of all pairs sharing a common term is
+ever made.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.functions.text import simple_tokens
+from askloom.session import land
 
+#: Folders of a large stored index. A search reads only those its rarest terms
+#: fall in.
+TERM_BUCKETS = 256
 #: Scores are ranked after rounding, so that equal scores tie exactly.
 SCORE_DIGITS = 9
 
@@ -36,17 +41,23 @@ def postings(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     )
 
 
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings with the statistics that scoring needs.
 
     ``terms(term, df)`` counts chunks per term; ``totals(n_chunks, avg_dl)`` is
-    one row over all chunks, those without tokens included.
+    one row over all chunks, those without tokens included. Stored postings have
+    a ``bucket`` column with ``buckets`` values.
     """
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    buckets: int = 0
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
@@ -65,28 +76,37 @@ def lexical_index(chunks: DataFrame, text: str = "chunk_text") -> LexicalIndex:
     return LexicalIndex(posted, document_frequencies(posted), corpus_totals(chunks, text))
 
 
-def write_index(chunks: DataFrame, path: str, text: str = "chunk_text") -> LexicalIndex:
-    """Store the index: postings in term order, so that file statistics let a
-    search skip row groups. Range partitioning on term and chunk together also
-    cuts the postings of a very common term into several files."""
+def write_index(
+    chunks: DataFrame, path: str, text: str = "chunk_text", buckets: int = TERM_BUCKETS
+) -> LexicalIndex:
+    """Store the index: postings in one folder per term bucket, in term order
+    inside each file.
+
+    Postings come out of their grouping spread by (term, chunk), so a very
+    common term is written by many tasks; no second shuffle is needed.
+    """
     spark = chunks.sparkSession
-    posted = postings(chunks, text)
     (
-        posted.repartitionByRange("term", "chunk_id")
-        .sortWithinPartitions("term", "chunk_id")
+        postings(chunks, text)
+        .withColumn("bucket", term_bucket(F.col("term"), buckets))
+        .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite")
+        .partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
     stored = spark.read.parquet(f"{path}/postings")
     document_frequencies(stored).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_totals(chunks, text).write.mode("overwrite").parquet(f"{path}/totals")
+    corpus_totals(chunks, text).withColumn("buckets", F.lit(buckets)).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/totals")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return LexicalIndex(
-        *(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals"))
+    posted, terms, totals = (
+        spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals")
     )
+    return LexicalIndex(posted, terms, totals, totals.first()["buckets"])
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -121,30 +141,52 @@ def _plans_of_queries(index: LexicalIndex, queries: DataFrame, min_share: float)
     )
 
 
+def _in_buckets(index: LexicalIndex, probes: DataFrame) -> DataFrame:
+    """Restrict stored postings to the folders of the probed terms. At most one
+    number per folder is fetched."""
+    if not index.buckets:
+        return index.postings
+    bucket = term_bucket(F.col("term"), index.buckets)
+    used = probes.select(bucket.alias("bucket")).distinct().collect()
+    return index.postings.where(F.col("bucket").isin([row["bucket"] for row in used]))
+
+
 def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) -> DataFrame:
     """``(query_id, chunk_id, n_terms, needed, term, df, tf, dl)``, one row per
-    matched term of every candidate."""
-    plans = _plans_of_queries(index, queries, min_share)
+    matched term of every candidate.
+
+    The query plans and the lookups of the candidates are written to the scratch
+    folder: files have a known size, by which the optimizer decides whether to
+    ship them to the postings scan or to shuffle both sides.
+    """
+    plans = land(_plans_of_queries(index, queries, min_share), "query-plans")
+    hits = F.lit(1) if min_share == 1 else F.ceil(F.col("needed") / 3).cast("int")
     rarest = F.slice(
-        F.col("known"), F.lit(1), (F.size("known") - F.col("needed") + 1).cast("int")
+        F.col("known"), F.lit(1), (F.size("known") - F.col("needed") + hits).cast("int")
     )
     probes = plans.select(
-        "query_id", "n_terms", "needed", "known", F.explode(rarest.getField("term")).alias("term")
+        "query_id", hits.alias("hits"), F.explode(rarest.getField("term")).alias("term")
     )
-    candidates = index.postings.select("term", "chunk_id").join(probes, "term").drop("term")
+    probed = _in_buckets(index, probes).select("term", "chunk_id")
+    found = probed.join(probes, "term").select("query_id", "chunk_id", "hits")
     if min_share < 1:
-        # Only several probes per query can meet in the same chunk.
-        candidates = candidates.dropDuplicates(["query_id", "chunk_id"])
-    wanted = candidates.select(
+        # Several probes of a query may meet in the same chunk.
+        found = (
+            found.groupBy("query_id", "chunk_id", "hits")
+            .agg(F.count(F.lit(1)).alias("_hit"))
+            .where(F.col("_hit") >= F.col("hits"))
+        )
+    found = found.select("query_id", "chunk_id")
+    lookups = found.join(plans, "query_id").select(
         "query_id", "chunk_id", "n_terms", "needed", F.explode("known").alias("_known")
     ).select("query_id", "chunk_id", "n_terms", "needed", "_known.term", "_known.df")
-    return wanted.join(index.postings, ["chunk_id", "term"])
+    return land(lookups, "lookups").join(index.postings, ["chunk_id", "term"])
 
 
 def all_terms_match(index: LexicalIndex, queries: DataFrame, min_share: float = 1.0) -> DataFrame:
     """Chunks that hold every term of the query (or ``min_share`` of them):
     ``(query_id, chunk_id, n_terms, n_matched)``. A query without terms matches
-    nothing."""
+    nothing. Runs two jobs: the query plans and the lookups."""
     return (
         _matched_terms(index, queries, min_share)
         .groupBy("query_id", "chunk_id", "n_terms", "needed")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions.text import words
+from askloom.session import broadcast_if_small
 
 
 def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFrame:
@@ -15,9 +16,10 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFram
     Only the distinct words of a text that do change are joined and gathered
     (usually few), then applied to the text in the row. ``key`` must be unique.
     """
+    dictionary = broadcast_if_small(lemmas.where(F.col("token") != F.col("lemma")))
     changes = (
         df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
-        .join(lemmas.where(F.col("token") != F.col("lemma")), "token")
+        .join(dictionary, "token")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
     )

@@ -11,10 +11,12 @@ k rows per query and task, whatever the corpus size.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,10 @@ GRID_CHUNKS = 65_536
 # Queries multiplied at once; bounds the distance block held by one task.
 _QUERY_SLICE = 512
 
+# Functions of this module travel to the tasks by value, so that executors need
+# not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Encoder = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -343,11 +349,12 @@ class CellIndex:
     def __init__(self, centroids: np.ndarray) -> None:
         self.centroids = _unit_rows(np.asarray(centroids, dtype=np.float64))
 
-    def nearest(self, vectors: np.ndarray, count: int) -> np.ndarray:
-        """Cells of every vector, nearest first. Vectors without direction go
-        to cell 0."""
-        score = np.nan_to_num(vectors @ self.centroids.T, nan=-2.0)
-        return np.argsort(-score, axis=1, kind="stable")[:, :count]
+
+def _nearest_cells(vectors: np.ndarray, centroids: np.ndarray, count: int) -> np.ndarray:
+    """Cells of every vector, nearest first. Vectors without direction go to
+    the first cells."""
+    score = np.nan_to_num(vectors @ centroids.T, nan=-2.0)
+    return np.argsort(-score, axis=1, kind="stable")[:, :count]
 
 
 def fit_cells(
@@ -374,7 +381,11 @@ def fit_cells(
             F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))
         ).alias("features")
     )
-    model = KMeans(k=n_cells, seed=seed, maxIter=15, initMode="k-means||").fit(unit)
+    unit.persist()  # read once per iteration
+    try:
+        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(unit)
+    finally:
+        unit.unpersist()
     return CellIndex(np.array(model.clusterCenters()))
 
 
@@ -382,13 +393,13 @@ def assign_cells(chunks: DataFrame, index: CellIndex) -> DataFrame:
     """Add ``cell``. Write the result partitioned or sorted by cell, so that a
     search reads only the cells it probes."""
     schema = T.StructType([*chunks.schema.fields, T.StructField("cell", T.IntegerType())])
-    sent = chunks.sparkSession.sparkContext.broadcast(index)
+    sent = chunks.sparkSession.sparkContext.broadcast(index.centroids)
     dim = index.centroids.shape[1]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _unit_rows(_matrix(batch.column("embedding"), dim))
-            cells = sent.value.nearest(vectors, 1)[:, 0]
+            cells = _nearest_cells(vectors, sent.value, 1)[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, type=pa.int32())],
                 names=[*batch.schema.names, "cell"],
@@ -401,13 +412,13 @@ def _probe_cells(queries: DataFrame, index: CellIndex, nprobe: int) -> DataFrame
     schema = T.StructType(
         [*queries.schema.fields, T.StructField("probes", T.ArrayType(T.IntegerType()))]
     )
-    sent = queries.sparkSession.sparkContext.broadcast(index)
+    sent = queries.sparkSession.sparkContext.broadcast(index.centroids)
     dim = index.centroids.shape[1]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _unit_rows(_matrix(batch.column("embedding"), dim))
-            cells = sent.value.nearest(vectors, nprobe)
+            cells = _nearest_cells(vectors, sent.value, nprobe)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells.tolist(), type=pa.list_(pa.int32()))],
                 names=[*batch.schema.names, "probes"],
