@@ -10,14 +10,14 @@ from askloom.operators import analytics, sequences
 
 
 def _sales(spark, sf):
-    """Order prices by the customer's nation as the city."""
+    """Order prices by the customer's nation as the city; cents keep sums exact."""
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
     )
     nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("city"))
     return (
         table(spark, sf, "orders")
-        .select("o_custkey", F.col("o_totalprice").alias("price"))
+        .select("o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
         .join(customer, "o_custkey")
         .join(nation, "n_nationkey")
         .select("city", "price")
@@ -39,55 +39,65 @@ def _cities(spark, sf):
 
 _SQL_SALES = """
 sales AS (
-  SELECT n_name AS city, o_totalprice AS price FROM orders
+  SELECT n_name AS city, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders
   JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 cities AS (
   SELECT n_name AS city, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey
   WHERE n_regionkey > 0)"""
 
+_SQL_AVG_PRICE = "round(CAST(sum(price) AS DOUBLE) / count(price), 6) AS avg_price"
+
+
+def _prices(df):
+    """Prices as doubles and averages rounded, for comparison."""
+    for name in ("max_price", "min_price"):
+        if name in df.columns:
+            df = df.withColumn(name, F.col(name).cast("double"))
+    if "avg_price" in df.columns:
+        df = df.withColumn("avg_price", F.round(F.col("avg_price").cast("double"), 6))
+    return df
+
 
 @query(
     "price_stats_by_city",
     f"""WITH {_SQL_SALES}
-    SELECT city, count(price) AS count, round(avg(price), 4) AS avg_price,
-           max(price) AS max_price, min(price) AS min_price FROM sales GROUP BY city""",
+    SELECT city, count(price) AS count, {_SQL_AVG_PRICE},
+           CAST(max(price) AS DOUBLE) AS max_price, CAST(min(price) AS DOUBLE) AS min_price
+    FROM sales GROUP BY city""",
 )
 def price_stats(spark, sf):
-    return analytics.price_stats(_sales(spark, sf), "city", "price").withColumn(
-        "avg_price", F.round("avg_price", 4)
-    )
+    return _prices(analytics.price_stats(_sales(spark, sf), "city", "price"))
 
 
 @query(
     "max_by_group",
-    f"WITH {_SQL_SALES} SELECT city, max(price) AS max_price FROM sales GROUP BY city",
+    f"""WITH {_SQL_SALES}
+    SELECT city, CAST(max(price) AS DOUBLE) AS max_price FROM sales GROUP BY city""",
 )
 def max_by_group(spark, sf):
-    return analytics.max_by_group(_sales(spark, sf), "city", "price")
+    return _prices(analytics.max_by_group(_sales(spark, sf), "city", "price"))
 
 
 @query(
     "broadcast_dim_join",
-    f"""WITH {_SQL_SALES}, m AS (SELECT city, max(price) AS max_price FROM sales GROUP BY city)
+    f"""WITH {_SQL_SALES}, m AS (
+      SELECT city, CAST(max(price) AS DOUBLE) AS max_price FROM sales GROUP BY city)
     SELECT city, max_price, region FROM m LEFT JOIN cities USING (city)""",
 )
 def broadcast_dim_join(spark, sf):
-    return analytics.broadcast_dim_join(
-        analytics.max_by_group(_sales(spark, sf), "city", "price"), _cities(spark, sf), "city"
-    )
+    dearest = _prices(analytics.max_by_group(_sales(spark, sf), "city", "price"))
+    return analytics.broadcast_dim_join(dearest, _cities(spark, sf), "city")
 
 
 @query(
     "sql_left_join_rollup",
     f"""WITH {_SQL_SALES}
-    SELECT s.city, c.region, count(s.price) AS count_price, round(avg(s.price), 4) AS avg_price,
-           max(s.price) AS max_price
+    SELECT s.city, c.region, count(s.price) AS count_price, {_SQL_AVG_PRICE},
+           CAST(max(s.price) AS DOUBLE) AS max_price
     FROM sales s LEFT JOIN cities c ON s.city = c.city GROUP BY s.city, c.region""",
 )
 def sql_left_join_rollup(spark, sf):
-    return analytics.sql_left_join_rollup(_sales(spark, sf), _cities(spark, sf)).withColumn(
-        "avg_price", F.round("avg_price", 4)
-    )
+    return _prices(analytics.sql_left_join_rollup(_sales(spark, sf), _cities(spark, sf)))
 
 
 @query(
