@@ -20,20 +20,15 @@ from askloom.catalog.tables import (
 )
 from askloom.functions import chunking as ck
 from askloom.functions import text as tx
-from askloom.operators import context, gates
+from askloom.operators import gates
 from askloom.operators.lexical import postings
 from askloom.operators.rerank import pair_text
 from askloom.operators.vectors import embed_text
 from askloom.plans.corpus import HASHED_MODEL, prepare_chunk_rows
-from askloom.session import spread
 
 _FIELDS = ("title", "tags", "question_body", "answer_body")
 
 
-def _qa(spark, sf):
-    return spread(tables.qa_pairs(spark, sf))
-
-
 def _scaled(vector: Column) -> Column:
     """A vector as text with four decimals, for comparison."""
     return F.array_join(
@@ -47,7 +42,7 @@ def _scaled(vector: Column) -> Column:
 )
 def prepare_document(spark, sf):
     doc = tx.prepare_document(*map(F.col, _FIELDS))
-    return _qa(spark, sf).select("question_id", "answer_id", doc.alias("d")).select(
+    return tables.qa_pairs(spark, sf).select("question_id", "answer_id", doc.alias("d")).select(
         "question_id", "answer_id", "d.*"
     )
 
@@ -66,7 +61,7 @@ def document_text(spark, sf):
         F.col("title"), F.col("tags"), tx.clean_html(F.col("question_body")),
         tx.clean_html(F.col("answer_body")),
     )
-    return _qa(spark, sf).select("question_id", "answer_id", built.alias("document_text"))
+    return tables.qa_pairs(spark, sf).select("question_id", "answer_id", built.alias("document_text"))
 
 
 @query(
@@ -135,7 +130,7 @@ def _vector_text(source: str, key: str, text: str) -> str:
     FROM qa_chunks JOIN vector_text USING (chunk_id)""",
 )
 def prepare_rows(spark, sf):
-    rows = prepare_chunk_rows(_qa(spark, sf), size=64, overlap_share=0.2, dim=DIM)
+    rows = prepare_chunk_rows(tables.qa_pairs(spark, sf), size=64, overlap_share=0.2, dim=DIM)
     return rows.select(
         "chunk_id", "chunk_index", "chunk_text", "model_name",
         _scaled(F.col("embedding")).alias("vector"),
@@ -221,69 +216,3 @@ def pair_texts(spark, sf):
     return tables.document_chunks(spark, sf).select(
         "chunk_id", pair_text(F.col("chunk_index"), F.col("chunk_text")).alias("pair_text")
     )
-
-
-def _ranked_turns(spark, sf):
-    """Turns of a conversation as the ranked chunks of one query; system turns
-    count as blank."""
-    return tables.table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("query_id"),
-        (F.col("turn") + 1).alias("rank"),
-        F.concat(F.lit("v"), "conv_id", F.lit("_"), "turn").alias("chunk_id"),
-        F.when(F.col("role") == "assistant", (F.length("text") % 100).cast("int")).alias(
-            "rerank_score"
-        ),
-        F.when(F.col("role") == "system", F.lit("  ")).otherwise(F.col("text")).alias("chunk_text"),
-    )
-
-
-_SQL_TURNS = """
-turns AS (
-  SELECT conv_id AS query_id, turn + 1 AS rank, 'v' || conv_id || '_' || turn AS chunk_id,
-         CASE WHEN role = 'assistant' THEN CAST(length(text) % 100 AS INTEGER) END AS rerank_score,
-         CASE WHEN role = 'system' THEN '  ' ELSE text END AS chunk_text
-  FROM conversations)"""
-_SQL_CONTEXT = r"""
-contexts AS (
-  SELECT query_id,
-         coalesce(string_agg('[Source ' || rank || ']' || chr(10) || 'Text: ' || body,
-                             chr(10) || chr(10) ORDER BY rank) FILTER (body <> ''), '') AS context
-  FROM (SELECT *, regexp_replace(chunk_text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body FROM turns)
-  GROUP BY query_id)"""
-
-
-@query("build_context", f"WITH {_SQL_TURNS}, {_SQL_CONTEXT} SELECT * FROM contexts")
-def build_context(spark, sf):
-    return context.build_context(_ranked_turns(spark, sf))
-
-
-@query(
-    "agent_context",
-    f"""WITH {_SQL_TURNS}
-    SELECT query_id, string_agg(
-             '[Document ' || rank || ']' || chr(10) || 'chunk_id: ' || chunk_id || chr(10)
-             || 'rerank_score: ' || coalesce(CAST(rerank_score AS VARCHAR), 'None') || chr(10)
-             || 'text: ' || chunk_text, chr(10) || chr(10) ORDER BY rank) AS context
-    FROM turns GROUP BY query_id""",
-)
-def agent_context(spark, sf):
-    return context.agent_context(_ranked_turns(spark, sf))
-
-
-def sql_prompt(query_text: str, context_text: str) -> str:
-    before, between, after = context.HUMAN_TEMPLATE
-    head = (context.SYSTEM_TEMPLATE + "\n" + before).replace("'", "''")
-    return f"'{head}' || {query_text} || '{between}' || coalesce({context_text}, '') || '{after}'"
-
-
-@query(
-    "build_prompt",
-    f"""WITH {_SQL_TURNS}, {_SQL_CONTEXT}
-    SELECT query_id, {sql_prompt("CAST(query_id AS VARCHAR)", 'context')} AS prompt
-    FROM contexts""",
-)
-def build_prompt(spark, sf):
-    return build_context(spark, sf).select(
-        "query_id",
-        context.build_prompt(F.col("query_id").cast("string"), F.col("context")).alias("prompt"),
-    )

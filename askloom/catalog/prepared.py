@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.catalog import tables
+from askloom.operators.fusion import fuse_lists
 from askloom.operators.lexical import LexicalIndex, lexical_topk, write_index
 from askloom.operators.vectors import (
     CellIndex,
@@ -20,7 +21,6 @@ from askloom.operators.vectors import (
     fit_cells,
     vector_topk,
 )
-from askloom.plans.answering import fuse_lists
 from askloom.session import land, scratch_folder
 
 TOP = 10

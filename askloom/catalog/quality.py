@@ -11,6 +11,7 @@ from askloom.catalog.search import SQL_NEIGHBOURS, _neighbours
 from askloom.operators import evaluate
 from askloom.operators.fusion import list_rank
 from askloom.operators.vectors import vector_topk
+from askloom.session import broadcast_if_small
 
 K = 10
 
@@ -30,7 +31,7 @@ def _judged(spark, sf):
         "gain", (F.col("q_label") == F.col("c_label")).cast("double")
     )
     sizes = rows.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
-    counts = rows.join(sizes, "label").select(
+    counts = rows.join(broadcast_if_small(sizes), "label").select(
         F.col("vec_id").alias("query_id"), F.lit(1.0).alias("gain"), "n"
     )
     return judged.select("query_id", "chunk_id", "rank", "gain"), counts

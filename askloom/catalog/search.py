@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askloom.catalog import prepared, tables
-from askloom.catalog.documents import sql_prompt
 from askloom.catalog.prepared import ANY_SHARE, TOP
 from askloom.catalog.registry import query
 from askloom.catalog.tables import SQL_CHUNKS, SQL_QUERIES, sql_tokens, sql_vectors
-from askloom.operators import fusion, gates, lexical, rerank, vectors
+from askloom.operators import context, fusion, gates, lexical, rerank, vectors
 from askloom.plans import answering
 
 RERANK_TOP = 5
@@ -264,7 +263,11 @@ def _rounded(df):
 
 @query("attach_scores", f"WITH {_FUSED} SELECT {_SQL_ORDERED} FROM ordered")
 def attach_scores(spark, sf):
-    return _rounded(answering.fuse_lists(*prepared.ranked_lists(spark, sf)))
+    nearest, best_terms = prepared.ranked_lists(spark, sf)
+    merged = fusion.merge_ranked(
+        nearest.drop("rank"), best_terms.drop("rank").withColumnRenamed("score", "bm25_score")
+    )
+    return _rounded(fusion.attach_scores(merged, fusion.rrf(union_lists(spark, sf))))
 
 
 @query("hybrid_search", f"WITH {_FUSED} SELECT {_SQL_ORDERED} FROM ordered")
@@ -453,6 +456,73 @@ def search_tool(spark, sf):
     )
 
 
+# --------------------------------------------------------------------------
+# contexts: the reranked chunks of every query, the second one blanked
+
+
+def _partly_blank(spark, sf):
+    best = rerank.rerank(prepared.pairs(spark, sf), RERANK_TOP)
+    return best.select(
+        "query_id",
+        F.col("rerank_rank").alias("rank"),
+        "chunk_id",
+        F.when(F.col("rerank_rank") != 3, F.col("chunk_index")).alias("rerank_score"),
+        F.when(F.col("rerank_rank") == 2, F.lit("  ")).otherwise(F.col("chunk_text")).alias(
+            "chunk_text"
+        ),
+    )
+
+
+_BLANKED = f"""{_PAIRS},
+shown AS (
+  SELECT query_id, rerank_rank AS rank, chunk_id,
+         CASE WHEN rerank_rank <> 3 THEN chunk_index END AS rerank_score,
+         CASE WHEN rerank_rank = 2 THEN '  ' ELSE chunk_text END AS chunk_text
+  FROM reranked),
+contexts AS (
+  SELECT query_id,
+         coalesce(string_agg('[Source ' || rank || ']' || chr(10) || 'Text: ' || chunk_text,
+                             chr(10) || chr(10) ORDER BY rank) FILTER (rank <> 2), '') AS context
+  FROM shown GROUP BY query_id)"""
+
+
+@query("build_context", f"WITH {_BLANKED} SELECT * FROM contexts")
+def build_context(spark, sf):
+    return context.build_context(_partly_blank(spark, sf))
+
+
+@query(
+    "agent_context",
+    f"""WITH {_BLANKED}
+    SELECT query_id, string_agg(
+             '[Document ' || rank || ']' || chr(10) || 'chunk_id: ' || chunk_id || chr(10)
+             || 'rerank_score: ' || coalesce(CAST(rerank_score AS VARCHAR), 'None') || chr(10)
+             || 'text: ' || chunk_text, chr(10) || chr(10) ORDER BY rank) AS context
+    FROM shown GROUP BY query_id""",
+)
+def agent_context(spark, sf):
+    return context.agent_context(_partly_blank(spark, sf))
+
+
+def sql_prompt(query_text: str, context_text: str) -> str:
+    before, between, after = context.HUMAN_TEMPLATE
+    head = (context.SYSTEM_TEMPLATE + "\n" + before).replace("'", "''")
+    return f"'{head}' || {query_text} || '{between}' || coalesce({context_text}, '') || '{after}'"
+
+
+@query(
+    "build_prompt",
+    f"""WITH {_BLANKED}
+    SELECT query_id, {sql_prompt("text", 'context')} AS prompt
+    FROM contexts JOIN queries USING (query_id)""",
+)
+def build_prompt(spark, sf):
+    asked = prepared.search_tables(spark, sf).queries.select("query_id", "text")
+    return build_context(spark, sf).join(asked, "query_id").select(
+        "query_id", context.build_prompt(F.col("text"), F.col("context")).alias("prompt")
+    )
+
+
 @query(
     "rag_context",
     f"""WITH {_GATE},

@@ -97,7 +97,7 @@ tags AS (
 
 def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn and the assistant turn right after it."""
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("asked")
     )

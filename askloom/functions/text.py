@@ -55,7 +55,7 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANK_CHARS))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
     """Apply ``use`` to a value that is computed once, however often ``use``
     refers to it."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -134,7 +134,7 @@ def clean_html(html: Column) -> Column:
     """Visible text of a page: text nodes stripped, empty ones dropped, joined
     by one blank. Null gives an empty string."""
     marked = F.regexp_replace(or_empty(html), _MARKUP, _NODE_MARK)
-    nodes = F.transform(F.split(_once(marked, unescape_html), _NODE_MARK + "+"), strip)
+    nodes = F.transform(F.split(computed_once(marked, unescape_html), _NODE_MARK + "+"), strip)
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from askloom.functions.text import or_empty
+from askloom.functions.text import computed_once, or_empty
 
 _CORRUPT = "_unparsed"
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
@@ -19,11 +21,17 @@ JUDGE_SCHEMA = (
 DECISION_SCHEMA = "action string, reason string"
 
 
-def _parsed(text: Column, schema: str) -> tuple[Column, Column]:
-    """The parsed struct, and whether the text was usable JSON."""
-    parsed = F.from_json(text, f"{schema}, {_CORRUPT} string", _OPTIONS)
-    usable = text.isNotNull() & (F.trim(text) != "") & parsed.getField(_CORRUPT).isNull()
-    return parsed, F.coalesce(usable, F.lit(False))
+def _with_parsed(
+    text: Column, schema: str, use: Callable[[Column, Column], Column]
+) -> Column:
+    """Apply ``use`` to the parsed struct, which is parsed once per row, and to
+    whether the text was usable JSON."""
+
+    def unpack(parsed: Column) -> Column:
+        usable = text.isNotNull() & (F.trim(text) != "") & parsed.getField(_CORRUPT).isNull()
+        return use(parsed, F.coalesce(usable, F.lit(False)))
+
+    return computed_once(F.from_json(text, f"{schema}, {_CORRUPT} string", _OPTIONS), unpack)
 
 
 def judge_score(text: Column) -> Column:
@@ -34,22 +42,23 @@ def judge_score(text: Column) -> Column:
 
 def judge_json(text: Column) -> Column:
     """Verdict struct; unusable JSON gives zeros, false and ``invalid json``."""
-    parsed, usable = _parsed(text, JUDGE_SCHEMA)
 
-    def score(name: str) -> Column:
-        return F.coalesce(F.when(usable, parsed.getField(name)), F.lit(0.0)).alias(name)
+    def verdict(parsed: Column, usable: Column) -> Column:
+        def field(name: str, default: object) -> Column:
+            value = F.when(usable, parsed.getField(name))
+            return F.coalesce(value, F.lit(default)).alias(name)
+
+        return F.struct(
+            field("faithfulness", 0.0),
+            field("answer_relevance", 0.0),
+            field("context_relevance", 0.0),
+            field("is_grounded", False),
+            F.when(usable, F.coalesce(parsed.getField("reason"), F.lit("")))
+            .otherwise(F.lit("invalid json"))
+            .alias("reason"),
+        )
 
-    return F.struct(
-        score("faithfulness"),
-        score("answer_relevance"),
-        score("context_relevance"),
-        F.coalesce(F.when(usable, parsed.getField("is_grounded")), F.lit(False)).alias(
-            "is_grounded"
-        ),
-        F.when(usable, F.coalesce(parsed.getField("reason"), F.lit("")))
-        .otherwise(F.lit("invalid json"))
-        .alias("reason"),
-    )
+    return _with_parsed(text, JUDGE_SCHEMA, verdict)
 
 
 def faithfulness_verdict(text: Column) -> Column:
@@ -76,12 +85,15 @@ def listed_indexes(text: Column) -> Column:
 def agent_decision(text: Column) -> Column:
     """Routing decision struct. Unusable JSON means: search. ``route`` maps any
     action that is neither of the two other known ones to a search."""
-    parsed, usable = _parsed(text, DECISION_SCHEMA)
-    action = F.when(usable, parsed.getField("action")).otherwise(F.lit("search_documents"))
-    reason = F.when(usable, parsed.getField("reason")).otherwise(F.lit("fallback_to_search"))
-    others = F.coalesce(action.isin("reject", "answer_without_search"), F.lit(False))
-    return F.struct(
-        action.alias("action"),
-        reason.alias("reason"),
-        F.when(others, action).otherwise(F.lit("search_documents")).alias("route"),
-    )
+
+    def decision(parsed: Column, usable: Column) -> Column:
+        action = F.when(usable, parsed.getField("action")).otherwise(F.lit("search_documents"))
+        reason = F.when(usable, parsed.getField("reason")).otherwise(F.lit("fallback_to_search"))
+        others = F.coalesce(action.isin("reject", "answer_without_search"), F.lit(False))
+        return F.struct(
+            action.alias("action"),
+            reason.alias("reason"),
+            F.when(others, action).otherwise(F.lit("search_documents")).alias("route"),
+        )
+
+    return _with_parsed(text, DECISION_SCHEMA, decision)

@@ -54,16 +54,49 @@ def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     Parts are added in list order and equal scores keep the order in which
     chunks are first met: first list first, then by rank.
     """
-    entries = F.array_sort(F.collect_list(F.struct("list_no", "rank")))
-    fused = lists.groupBy("query_id", "chunk_id").agg(entries.alias("_seen"))
+    return _fuse(lists, k)
+
+
+def _fuse(lists: DataFrame, k: int, *others: Column, rank: str = "rank") -> DataFrame:
+    """The fused rows of a union of lists, with further aggregates."""
+    places = F.array_sort(F.collect_list(F.struct("list_no", "rank")))
+    met = lists.groupBy("query_id", "chunk_id").agg(places.alias("_places"), *others)
     score = F.aggregate(
-        "_seen", F.lit(0.0), lambda total, entry: total + 1.0 / (k + entry.getField("rank"))
+        "_places", F.lit(0.0), lambda total, place: total + 1.0 / (k + place.getField("rank"))
+    )
+    scored = met.withColumn("rrf_score", score)
+    return list_rank(scored, F.col("rrf_score").desc(), F.col("_places")[0], rank=rank).drop(
+        "_places"
+    )
+
+
+def fuse_lists(vector: DataFrame, lexical: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
+    """Merge, fuse and score a vector list (``distance``) and a lexical list
+    (``score``) in one grouping: ``(query_id, chunk_id, distance, bm25_score,
+    in_vector, in_bm25, rrf_score, rrf_rank)``.
+
+    The same rows as ``attach_scores(merge_ranked(...), rrf(...))`` without the
+    two joins.
+    """
+    none = F.lit(None).cast("double")
+    both = vector.select(
+        "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(1).alias("list_no"),
+        "distance", none.alias("score"),
+    ).unionByName(
+        lexical.select(
+            "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"),
+            F.lit(2).alias("list_no"), none.alias("distance"), "score",
+        )
     )
-    first_met = F.col("_seen")[0]
-    scored = fused.select(
-        "query_id", "chunk_id", score.alias("rrf_score"), first_met.alias("_first")
+    return _fuse(
+        both,
+        rrf_k,
+        F.max("distance").alias("distance"),
+        F.max("score").alias("bm25_score"),
+        F.bool_or(F.col("list_no") == 1).alias("in_vector"),
+        F.bool_or(F.col("list_no") == 2).alias("in_bm25"),
+        rank="rrf_rank",
     )
-    return list_rank(scored, F.col("rrf_score").desc(), F.col("_first")).drop("_first")
 
 
 def merge_ranked(vector: DataFrame, lexical: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.functions.text import simple_tokens
-from askloom.session import land
+from askloom.session import fits_broadcast, land
 
 #: Folders of a large stored index. A search reads only those its rarest terms
 #: fall in.
@@ -156,8 +156,9 @@ def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) ->
     matched term of every candidate.
 
     The query plans and the lookups of the candidates are written to the scratch
-    folder: files have a known size, by which the optimizer decides whether to
-    ship them to the postings scan or to shuffle both sides.
+    folder, computed once and measured. Small lookups are shipped to the postings
+    scan. Otherwise the postings are first reduced to the candidate chunks, if
+    those are few enough to ship, and then both sides are shuffled.
     """
     plans = land(_plans_of_queries(index, queries, min_share), "query-plans")
     hits = F.lit(1) if min_share == 1 else F.ceil(F.col("needed") / 3).cast("int")
@@ -180,7 +181,14 @@ def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) ->
     lookups = found.join(plans, "query_id").select(
         "query_id", "chunk_id", "n_terms", "needed", F.explode("known").alias("_known")
     ).select("query_id", "chunk_id", "n_terms", "needed", "_known.term", "_known.df")
-    return land(lookups, "lookups").join(index.postings, ["chunk_id", "term"])
+    lookups = land(lookups, "lookups")
+    posted = index.postings.select("term", "chunk_id", "tf", "dl")
+    if fits_broadcast(lookups):
+        return posted.join(F.broadcast(lookups), ["chunk_id", "term"])
+    chunk_ids = lookups.select("chunk_id").distinct()
+    if fits_broadcast(chunk_ids, max_rows=2_000_000):
+        posted = posted.join(F.broadcast(chunk_ids), "chunk_id", "left_semi")
+    return lookups.join(posted, ["chunk_id", "term"])
 
 
 def all_terms_match(index: LexicalIndex, queries: DataFrame, min_share: float = 1.0) -> DataFrame:

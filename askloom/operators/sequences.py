@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.operators.skew import order_blocks, running_totals
+from askloom.session import land
 
 
 def best_gain(
@@ -42,7 +43,7 @@ def best_gain(
 def longest_run(df: DataFrame, key: str, value: str, *, blocks: int | None = None) -> DataFrame:
     """``(key, longest_run)``: longest run of consecutive whole numbers; repeats
     do not matter."""
-    distinct = df.select(key, value).where(F.col(value).isNotNull()).distinct()
+    distinct = land(df.select(key, value).where(F.col(value).isNotNull()).distinct(), "values")
     placed = running_totals(distinct, [key], [value], {"_place": F.lit(1)}, blocks=blocks)
     runs = placed.groupBy(key, (F.col(value) - F.col("_place")).alias("_run")).agg(
         F.count(F.lit(1)).alias("_length")
@@ -64,15 +65,17 @@ def runs_with_sum(
     A run ends where the running sum is s if an earlier running sum is s - k.
     Both kinds of positions are laid in one list per (key, sum), and earlier
     ones are counted by a running total; pairs are never listed. ``value``
-    should be a whole number or decimal, so that sums compare exactly.
+    should be a whole number or decimal, so that sums compare exactly. The
+    running sums, which are read several times, are written to the scratch folder.
     """
-    summed = running_totals(
+    running = running_totals(
         df.select(key, *order, value),
         [key],
         order,
         {"_sum": F.col(value), "_at": F.lit(1).cast("bigint")},
         blocks=blocks,
     ).select(key, "_sum", "_at")
+    summed = land(running, "running-sums")
     zero = F.lit(0).cast(summed.schema["_sum"].dataType)
     starts = summed.select(key, F.col("_sum").alias("_key_sum"), "_at", F.lit(1).alias("_adds"))
     empty = summed.select(key).distinct().select(
@@ -111,9 +114,10 @@ def sorted_position(
 
     held = laid(values, F.count(F.lit(1)), False)
     asked = laid(probes, F.lit(0).cast("bigint"), True)
-    distinct = held.unionByName(asked).groupBy(column).agg(
+    counted = held.unionByName(asked).groupBy(column).agg(
         F.sum("_n").alias("_n"), F.max("_asked").alias("_asked")
     )
+    distinct = land(counted, "counted-values")
     placed = running_totals(distinct, [], [column], {"_upto": F.col("_n")}, blocks=blocks)
     before = F.col("_upto") - F.col("_n")
     absent = F.lit(-1).cast("bigint")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a single task should handle.
 ROWS_PER_TASK = 1_000_000
+#: Most value ranges a table is cut into.
+MAX_BLOCKS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -79,14 +81,16 @@ def _as_number(df: DataFrame, column: str) -> Column:
 
 def order_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
     """Add ``_block``: which of about ``blocks`` equally filled value ranges the
-    order column falls into. Runs one job that estimates the range bounds.
+    order column falls into. Runs a count and, for a table of more than one
+    block, a job that estimates the range bounds.
 
-    A key that holds a third of all rows is cut with everything else, so no
-    (key, block) pair holds more than one range. The bounds are plain numbers
-    in the plan: a row's block never depends on how a task was scheduled.
+    By default a block holds about a million rows. A key that holds a third of
+    all rows is cut with everything else, so no (key, block) pair holds more
+    than one range. The bounds are plain numbers in the plan: a row's block
+    never depends on how a task was scheduled.
     """
     if blocks is None:
-        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = min(MAX_BLOCKS, -(-df.count() // ROWS_PER_TASK))
     numbered = df.withColumn("_order", _as_number(df, order))
     shares = [i / blocks for i in range(1, blocks)]
     bounds: list[float] = []

@@ -9,16 +9,7 @@ from askloom.operators import context, fusion, gates
 from askloom.operators.lexical import LexicalIndex, lexical_topk
 from askloom.operators.rerank import PairScorer, rerank, term_coverage
 from askloom.operators.vectors import vector_topk
-
-
-def fuse_lists(vector: DataFrame, lexical: DataFrame, rrf_k: int = fusion.RRF_K) -> DataFrame:
-    """Two ranked lists to the fused list with flags, scores and ``rrf_rank``."""
-    merged = fusion.merge_ranked(
-        vector.select("query_id", "chunk_id", "distance"),
-        lexical.select("query_id", "chunk_id", F.col("score").alias("bm25_score")),
-    )
-    fused = fusion.rrf(fusion.union_lists(vector=vector, bm25=lexical), rrf_k)
-    return fusion.attach_scores(merged, fused)
+from askloom.session import broadcast_if_small, land
 
 
 def hybrid_search(
@@ -34,7 +25,7 @@ def hybrid_search(
 
     ``chunks(chunk_id, embedding, ...)``, ``queries(query_id, text, embedding)``.
     """
-    return fuse_lists(
+    return fusion.fuse_lists(
         vector_topk(chunks, queries, k),
         lexical_topk(index, queries, k, min_share=min_share),
         rrf_k,
@@ -42,9 +33,11 @@ def hybrid_search(
 
 
 def attach_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk number and text of the found chunks. The found side holds a few
-    rows per query; the optimizer ships it to the chunk scan when it is small."""
-    return found.join(chunks.select("chunk_id", "chunk_index", "chunk_text"), "chunk_id")
+    """Chunk number and text of the found chunks. The found side, a few rows per
+    query, is shipped to the chunk scan if it is measured to be small, so that
+    the texts of the whole corpus need not move."""
+    texts = chunks.select("chunk_id", "chunk_index", "chunk_text")
+    return texts.join(broadcast_if_small(found), "chunk_id")
 
 
 def rag_context(
@@ -59,8 +52,10 @@ def rag_context(
     """``(query_id, route, context, prompt, canned_answer)`` for every query.
 
     Queries that fail a gate keep their row, with a route and a canned answer
-    in place of a prompt.
+    in place of a prompt. The fused lists feed the gate and the reranking, so
+    they are written to the scratch folder once.
     """
+    fused = land(fused, "fused")
     gated = gates.route_outcome(
         gates.retrieval_gate(gates.moderation_gate(queries), fused, min_rrf)
     )

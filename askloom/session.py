@@ -67,7 +67,7 @@ def land(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute rows if the scan has fewer splits than there are cores, as
     with one small file. A scan with enough splits is left alone, so nothing is
-    shuffled at scale. For work that costs much per row."""
+    shuffled at scale. For scans whose rows cost much work each."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

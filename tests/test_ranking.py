@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from askloom.operators import context, evaluate, fusion, gates, rerank
-from askloom.plans.answering import fuse_lists
 
 
 def ranked(spark, rows):
@@ -58,7 +57,7 @@ def test_moderation(spark, text, reason):
 def test_retrieval_gate(spark, k, reason):
     vector = ranked(spark, [(1, "a", 1)]).withColumn("distance", F.lit(0.1))
     lexical = ranked(spark, []).withColumn("score", F.lit(0.1))
-    fused = fuse_lists(vector, lexical, k)
+    fused = fusion.fuse_lists(vector, lexical, k)
     queries = spark.createDataFrame([(1,), (2,)], "query_id int")
     got = {r["query_id"]: r for r in gates.retrieval_gate(queries, fused).collect()}
     assert got[1]["fallback_reason"] == reason and got[1]["retrieval_ok"] == (reason is None)
