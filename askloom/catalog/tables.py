@@ -47,7 +47,11 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     every = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf, "lineitem").select(
+    lines = texts(
+        spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus",
+    )
+    return lines.select(
         F.conv(F.substring(F.md5(every), 1, 15), 16, 10).cast("bigint").alias("Id"),
         F.col("l_suppkey").alias("OwnerUserId"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("CreationDate"),
@@ -60,7 +64,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    lines = texts(spark, sf, "lineitem", "l_orderkey", "l_partkey")
     return (
         lines.join(part, "l_partkey")
         .select(F.col("l_orderkey").alias("Id"), F.col("p_brand").alias("Tag"))

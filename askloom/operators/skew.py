@@ -50,9 +50,11 @@ def spread_join(
     """
     hot = F.broadcast(hot_keys(many.where(F.col(key).isNotNull()), key, rows_per_task))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
+    # Never null, so that no filter recomputes the hash to test it.
+    place = F.coalesce(F.pmod(F.xxhash64(*many.columns), parts).cast("int"), F.lit(0))
     left = (
         many.join(hot, key, "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*many.columns), parts).cast("int"))
+        .withColumn("_part", place)
         .drop("_parts")
     )
     right = (
