@@ -20,7 +20,7 @@ SYSTEM_TEMPLATE = (
     "they are not enough to answer."
 )
 #: Parts around the question and the context.
-HUMAN_TEMPLATE = ("Question:\n", "\n\nContext:\n", "\n\nAnswer:")
+HUMAN_TEMPLATE = ("Asked:\n", "\n\nSources:\n", "\n\nYour answer:")
 
 
 def _in_rank_order(part: Column, rank: str) -> Column:

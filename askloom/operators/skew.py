@@ -7,6 +7,7 @@ task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -65,20 +66,25 @@ def spread_join(
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
-def _number(column: str) -> Column:
-    """Order value as a double; times by their microseconds."""
-    return F.col(column).cast("double")
-
-
 def _as_number(df: DataFrame, column: str) -> Column:
+    """Order value as a double, times in seconds with their fraction. Nulls sort
+    first and NaN last, as in a window."""
     kind = df.schema[column].dataType.typeName()
+    value = F.col(column)
     if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(F.col(column)).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(column)).cast("double")
-    return _number(column)
+        # By its fields: a local time has no instant, and zones have gaps.
+        value = (
+            F.unix_date(value.cast("date")).cast("double") * 86400
+            + F.hour(value) * 3600
+            + F.minute(value) * 60
+            + F.extract(F.lit("SECOND"), value).cast("double")
+        )
+    elif kind == "timestamp":
+        value = F.unix_micros(value)
+    elif kind == "date":
+        value = F.unix_date(value)
+    number = F.nanvl(value.cast("double"), F.lit(float("inf")))
+    return F.coalesce(number, F.lit(-float("inf")))
 
 
 def order_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
@@ -100,7 +106,7 @@ def order_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFr
         found = numbered.agg(
             F.percentile_approx("_order", shares, max(1000, 20 * blocks)).alias("bounds")
         ).first()["bounds"]
-        bounds = sorted(set(found or []))
+        bounds = sorted({bound for bound in found or [] if math.isfinite(bound)})
     if not bounds:
         return numbered.withColumn("_block", F.lit(0)).drop("_order")
     ranges = Bucketizer(

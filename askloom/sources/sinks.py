@@ -27,7 +27,7 @@ def insert_if_absent(
     incoming: DataFrame, existing: DataFrame | None, key: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """The rows an insert would add: the first row of every new key. Stored rows
-    win over incoming ones."""
+    win over incoming ones. Key columns must not be null, as in a primary key."""
     fresh = first_per_key(incoming, key, order)
     if existing is None:
         return fresh

@@ -116,7 +116,7 @@ def test_agent_context(spark):
 
 def test_prompt_keeps_braces(value):
     got = value(context.build_prompt(F.lit("{q}"), F.lit("{context}")))
-    assert "Question:\n{q}\n\nContext:\n{context}\n\nAnswer:" in got
+    assert "Asked:\n{q}\n\nSources:\n{context}\n\nYour answer:" in got
 
 
 def judged(spark, rows):

@@ -63,6 +63,30 @@ def test_running_totals(spark, blocks):
     assert got == sorted(want)
 
 
+def test_blocks_keep_the_order_of_a_window(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in [5.0, None, 1.0, nan, 3.0, -inf, inf, 2.0]], "o double")
+    got = skew.order_blocks(df, "o", 4).orderBy("o").collect()
+    blocks = [r["_block"] for r in got]
+    assert blocks == sorted(blocks) and len(set(blocks)) > 1
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_blocks_of_times(spark, kind):
+    df = spark.range(40).select(
+        (F.lit("2024-03-31 00:10:00.25").cast(kind) + F.make_dt_interval(F.col("id").cast("int"))).cast(kind).alias("o")
+    )
+    blocks = [r["_block"] for r in skew.order_blocks(df, "o", 4).orderBy("o").collect()]
+    assert blocks == sorted(blocks) and len(set(blocks)) == 4
+
+
+def test_blocks_follow_the_table_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 25)
+    blocked = skew.order_blocks(spark.range(100).withColumnRenamed("id", "o"), "o")
+    sizes = [r["count"] for r in blocked.groupBy("_block").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 40
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 @pytest.mark.parametrize("prices, gain", [([7, 1, 5, 3, 6, 4], 5), ([7, 6, 4, 3, 1], 0), ([2], 0), ([9, 1, 8, 0, 3], 7)])
 def test_best_gain(spark, prices, gain, blocks):
