@@ -144,7 +144,7 @@ tx AS (
 _SQL_AVG = "round(CAST(sum(amount) AS DOUBLE) / count(amount), 6)"
 
 
-def _amounts(df, **names):
+def _amounts(df):
     """Sums as doubles and averages rounded, for comparison."""
     for name in ("total_amount", "total"):
         if name in df.columns:

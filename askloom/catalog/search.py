@@ -350,7 +350,7 @@ def moderation_gate(spark, sf):
     return gates.moderation_gate(_questions(spark, sf)).drop("text")
 
 
-def _lists_by_parity(spark, sf):
+def _queries_and_lists(spark, sf):
     """Fused lists of benchmark queries as gates see them."""
     return prepared.search_tables(spark, sf).queries.select("query_id", "text"), prepared.fused(
         spark, sf
@@ -363,7 +363,7 @@ def _lists_by_parity(spark, sf):
     SELECT query_id, fallback_reason, fallback_reason IS NULL AS retrieval_ok FROM gated""",
 )
 def retrieval_gate(spark, sf):
-    return gates.retrieval_gate(*_lists_by_parity(spark, sf), _STRICT).drop("text")
+    return gates.retrieval_gate(*_queries_and_lists(spark, sf), _STRICT).drop("text")
 
 
 @query(
@@ -377,7 +377,7 @@ def retrieval_gate(spark, sf):
     SELECT query_id, reject_reason, reject_reason IS NULL AS retrieval_passed FROM judged""",
 )
 def top1_gate(spark, sf):
-    queries, fused = _lists_by_parity(spark, sf)
+    queries, fused = _queries_and_lists(spark, sf)
     ranked = fused.withColumnRenamed("rrf_rank", "rank")
     return gates.top1_gate(queries, ranked, min_score=_STRICT).drop("text")
 
@@ -396,7 +396,7 @@ _SQL_REJECT = """CASE WHEN length(text) < 100 THEN 'unsafe' END"""
         WHEN 'fallback' THEN '{gates.FALLBACK_ANSWER}' END AS canned_answer FROM routed""",
 )
 def route_outcome(spark, sf):
-    queries, fused = _lists_by_parity(spark, sf)
+    queries, fused = _queries_and_lists(spark, sf)
     # A short passage stands for an unsafe query.
     unsafe = queries.withColumn(
         "text",

@@ -1,5 +1,6 @@
 """Catalog queries against their SQL, on the smallest tables."""
 
+import os
 import sys
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-sys.path.insert(0, "tools")
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from check import TABLES, rows_of  # noqa: E402
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
