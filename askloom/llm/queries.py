@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askloom.llm import chat, exact_dedup
+from askloom.llm import bpe, chat, exact_dedup
 from askloom.session import scratch_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,17 @@ def op1_chat_perspectives(spark: SparkSession, sf: str) -> DataFrame:
     return chat.with_mask_text(chat.rotate_perspectives(_read(spark, sf, "conversations")))
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf))
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf), fresh_index(spark))
 
 
 QUERIES: dict[str, Query] = {
     "op1_chat_perspectives": op1_chat_perspectives,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
 }
 SQL: dict[str, str] = {
