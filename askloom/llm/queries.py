@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askloom.llm import bpe, chat, exact_dedup
+from askloom.llm import bpe, chat, exact_dedup, token_files
 from askloom.session import scratch_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,17 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf), fresh_index(spark))
 
 
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_folder(spark, "tokens")
+    token_files.write_corpus(_read(spark, sf, "documents"), path)
+    return token_files.read_digests(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_token_files": op5_token_files,
 }
 SQL: dict[str, str] = {
     "op1_chat_perspectives": chat.SQL,
