@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askloom.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, token_files
+from askloom.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, quality, token_files
 from askloom.session import scratch_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf), _read(spark, sf, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contained_items(_documents(spark, sf), _read(spark, sf, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_files": op5_token_files,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_decontaminate": op7_decontaminate,
     "op9_near_dedup": op9_near_dedup,
 }
