@@ -3,18 +3,23 @@ integers, and the exchange of digests between document blocks and hash slices.""
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text that one block of documents holds, on average.
+#: UTF-8 bytes of text that one block of documents holds on average, at least.
 BLOCK_BYTES = 16 << 20
+#: Text bytes whose digests one slice of the hash range answers for, at least.
+SLICE_BYTES = 6 << 20
 #: Null ids take this place in the order of documents: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -109,6 +114,27 @@ def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(window_hashes(words, min(width, len(words))))
 
 
+def block_words(docs: pa.Table, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a block, documents end to end, and the number of
+    words of each document."""
+    counts: list[int] = []
+
+    def words() -> Iterator[list[bytes]]:
+        for text in docs.column("text").to_pylist():
+            raw = text.encode()
+            found = (raw.lower() if lower else raw).split()
+            counts.append(len(found))
+            yield found
+
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words())), np.uint64)
+    return hashes, np.array(counts, np.int64)
+
+
+def doc_ids(docs: pa.Table) -> np.ndarray:
+    """Ids for comparison: null is after all others."""
+    return docs.column("doc_id").fill_null(NO_ID).to_numpy()
+
+
 # --------------------------------------------------------------------------
 # packed arrays
 
@@ -150,49 +176,93 @@ def split_parts(data: bytes) -> list[bytes]:
 
 # --------------------------------------------------------------------------
 # blocks of documents and slices of the hash range
+#
+# Operators that ask of every window of a text where else it occurs don't shuffle
+# a row per window. Each block of documents sends each slice of the hash range one
+# packed array of the distinct digests that fall there, and gets an answer for
+# them. What is sent grows with the distinct digests of a block; a digest of a
+# third of all documents still comes once from each block.
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Numbers of blocks and slices for so many bytes of text.
+
+    Every block sends to every slice, so both grow with the root of the input once
+    their least sizes would make the packed arrays short: at 100 TB of text a block
+    is half a gigabyte, and a task needs about ten times its block in memory."""
+
+    blocks: int
+    slices: int
+
+    @classmethod
+    def of(cls, size: int, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> Layout:
+        least = math.isqrt(1500 * size)
+        return cls(
+            max(1, -(-size // max(block_bytes, least))), max(1, -(-size // max(slice_bytes, least)))
+        )
 
 
-def blocked(docs: DataFrame, text_bytes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block, doc_id, text``: documents dealt by hash into blocks of a bounded
-    average size. Id and text both count, so neither null ids nor copies meet in
-    one block. Spark computes this exchange once, however often the operator
-    groups by ``block``."""
-    blocks = max(1, -(-text_bytes // block_bytes))
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts (one job)."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def blocked(docs: DataFrame, layout: Layout) -> DataFrame:
+    """``block, doc_id, text``: documents dealt by hash. Id and text both count, so
+    neither null ids nor copies meet in one block. However often one plan groups
+    by ``block``, Spark moves the texts once."""
     return texts(docs).select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.blocks)).cast("int").alias("block"),
         "doc_id",
         "text",
     )
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts (one job)."""
-    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+_MESSAGE = "block int, slice int, payload binary"
+Sent = Iterable[tuple[int, bytes]]
 
 
-def ask(blocks: DataFrame, send: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """``block, slice, payload``: what every block wants to know of each slice."""
+def _messages(block: int, sent: Sent) -> pa.Table:
+    rows = list(sent)
+    return pa.table(
+        {
+            "block": pa.array([block] * len(rows), pa.int32()),
+            "slice": pa.array([r[0] for r in rows], pa.int32()),
+            "payload": pa.array([r[1] for r in rows], pa.binary()),
+        }
+    )
 
-    def run(key, table: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        rows = [(block, s, data) for s, data in send(table)]
-        return pa.table(
-            {
-                "block": pa.array([r[0] for r in rows], pa.int32()),
-                "slice": pa.array([r[1] for r in rows], pa.int32()),
-                "payload": pa.array([r[2] for r in rows], pa.binary()),
-            }
-        )
 
-    return blocks.groupBy("block").applyInArrow(run, "block int, slice int, payload binary")
+def ask(blocks: DataFrame, send: Callable[[pa.Table], Sent]) -> DataFrame:
+    """``block, slice, payload``: what each block sends to each slice."""
+
+    def run(key, docs):
+        return _messages(key[0].as_py(), send(docs))
+
+    return blocks.groupBy("block").applyInArrow(run, _MESSAGE)
+
+
+def ask_again(blocks: DataFrame, replies: DataFrame, send: Callable[[pa.Table, dict[int, bytes]], Sent]) -> DataFrame:
+    """As ``ask``, once the replies to an earlier question (by slice) are there."""
+
+    def run(key, docs, answers):
+        if not docs.num_rows:
+            return _messages(0, [])
+        return _messages(key[0].as_py(), send(docs, by_number(answers)))
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _MESSAGE)
+
+
+def by_number(replies: pa.Table) -> dict[int, bytes]:
+    return dict(zip(replies.column("slice").to_pylist(), replies.column("payload").to_pylist()))
 
 
 def answer(asked: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """``block, slice, payload``: each slice sees what all blocks sent and
-    answers every one of them. A key occurs once per block at most, so a very
-    common one is no hot spot."""
+    """``block, slice, payload``: each slice sees what all blocks sent it, in the
+    order of the blocks, and replies to every one of them."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by("block")
         replies = merge(table.column("payload").to_pylist())
         return pa.table(
@@ -203,7 +273,20 @@ def answer(asked: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) -> Dat
             }
         )
 
-    return asked.groupBy("slice").applyInArrow(run, "block int, slice int, payload binary")
+    return asked.groupBy("slice").applyInArrow(run, _MESSAGE)
+
+
+def finish(
+    blocks: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], dict], schema: str
+) -> DataFrame:
+    """Rows that ``work`` makes of each block's documents and its replies."""
+    types = arrow_schema(blocks, schema)
+
+    def run(key, docs, answers):
+        made = work(docs, answers) if docs.num_rows else {f.name: [] for f in types}
+        return pa.table([pa.array(made[f.name], f.type) for f in types], schema=types)
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
 def by_slice(sorted_keys: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
@@ -223,7 +306,3 @@ def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     place = np.searchsorted(distinct, every)
     bounds = np.cumsum([0, *map(len, keys)]).tolist()
     return distinct, place, bounds
-
-
-def sha256_hex(column: Column) -> Column:
-    return F.sha2(column.cast("binary"), 256)

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askloom.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, quality, token_files
+from askloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    near_dedup,
+    quality,
+    token_files,
+    window_dedup,
+)
 from askloom.session import scratch_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +61,10 @@ def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contained_items(_documents(spark, sf), _read(spark, sf, "benchmark"))
 
 
+def op8_window_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return window_dedup.repeated_passages(_documents(spark, sf))
+
+
 def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf), percent=85)
 
@@ -63,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontaminate": op7_decontaminate,
+    "op8_window_dedup": op8_window_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
 SQL: dict[str, str] = {
