@@ -12,6 +12,7 @@ from askloom.llm import (
     decontaminate,
     exact_dedup,
     near_dedup,
+    ngram_lm,
     quality,
     token_files,
     window_dedup,
@@ -47,6 +48,10 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf), fresh_index(spark))
 
 
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_lm.scores(_documents(spark, sf))
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_folder(spark, "tokens")
     token_files.write_corpus(_read(spark, sf, "documents"), path)
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontaminate": op7_decontaminate,
