@@ -155,13 +155,12 @@ def chunk_ids(spark, sf):
     "dimension_bucket",
     """SELECT doc_id, CAST(CASE WHEN w <= 256 THEN 256 WHEN w <= 384 THEN 384
        WHEN w <= 512 THEN 512 WHEN w <= 1024 THEN 1024 WHEN w <= 2048 THEN 2048
-       ELSE 4096 END AS INTEGER) AS bucket
-    FROM (SELECT doc_id, least(n_chars, 4096) AS w FROM documents)""",
+       WHEN w <= 4096 THEN 4096 END AS INTEGER) AS bucket
+    FROM (SELECT doc_id, n_chars AS w FROM documents)""",
 )
 def dimension_buckets(spark, sf):
-    width = F.least(F.col("n_chars"), F.lit(4096).cast("bigint"))
     return tables.table(spark, sf, "documents").select(
-        "doc_id", ck.dimension_bucket(width).alias("bucket")
+        "doc_id", ck.dimension_bucket(F.col("n_chars"), refuse=False).alias("bucket")
     )
 
 

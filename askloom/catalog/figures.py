@@ -25,15 +25,19 @@ def _sales(spark, sf):
 
 
 def _cities(spark, sf):
-    """Cities with regions; those of the first region are unknown."""
+    """Cities with regions; those of the first region go by another name."""
     region = table(spark, sf, "region").select(
         F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")
     )
     return (
         table(spark, sf, "nation")
-        .where(F.col("n_regionkey") > 0)
         .join(region, "n_regionkey")
-        .select(F.col("n_name").alias("city"), "region")
+        .select(
+            F.when(F.col("n_regionkey") > 0, F.col("n_name"))
+            .otherwise(F.concat(F.lit("old "), "n_name"))
+            .alias("city"),
+            "region",
+        )
     )
 
 
@@ -42,8 +46,8 @@ sales AS (
   SELECT n_name AS city, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders
   JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 cities AS (
-  SELECT n_name AS city, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey
-  WHERE n_regionkey > 0)"""
+  SELECT CASE WHEN n_regionkey > 0 THEN n_name ELSE 'old ' || n_name END AS city,
+         r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey)"""
 
 _SQL_AVG_PRICE = "round(CAST(sum(price) AS DOUBLE) / count(price), 6) AS avg_price"
 

@@ -78,10 +78,10 @@ def rename_columns(spark, sf):
     )
 
 
-@query("document_scan", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("document_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def document_scan(spark, sf):
     return dumps.read_documents(spark, f"{sf}/documents.parquet").select(
-        "doc_id", "lang", "source", "n_chars"
+        "doc_id", "text", "lang", "source", "n_chars"
     )
 
 
@@ -189,15 +189,12 @@ def chunk_sink_contract(spark, sf):
 
 @query(
     "csv_sink",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders "
-    "WHERE o_orderstatus = 'F'",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders",
 )
 def csv_sink(spark, sf):
     path = scratch_folder(spark, "csv")
-    rows = tables.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
-        "o_orderkey", "o_orderpriority"
-    )
-    sinks.csv_sink(rows, path, sep=";", single_file=True)
+    rows = tables.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    sinks.csv_sink(rows, path, sep=";")
     return spark.read.schema("o_orderkey string, o_orderpriority string").csv(
         path, header=True, sep=";"
     )

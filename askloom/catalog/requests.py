@@ -155,6 +155,15 @@ def _outputs(spark, sf):
         .when(F.col("event_type") == "purchase", F.concat(F.lit("Score: "), "k", F.lit("/10")))
         .when(F.col("event_type") == "error", F.concat(F.lit("about -"), share, F.lit(" of 1")))
     )
+    # Some valid verdicts hold a number as text, others go on after the object.
+    output = (
+        F.when(
+            (F.col("event_type") == "view") & (F.col("k") % 3 == 1),
+            F.concat(F.lit('{"faithfulness": "'), share, F.lit('", "is_grounded": "unsure"}')),
+        )
+        .when((F.col("event_type") == "click") & (F.col("k") % 5 == 2), F.concat(output, F.lit(" ok")))
+        .otherwise(output)
+    )
     return _events(spark, sf).select("event_id", output.alias("model_output"))
 
 
@@ -164,17 +173,18 @@ outputs AS (
   SELECT event_id, event_type, k, share, CASE event_type
     WHEN 'purchase' THEN 'Score: ' || k || '/10'
     WHEN 'error' THEN 'about -' || share || ' of 1'
-    WHEN 'click' THEN 'json' WHEN 'view' THEN 'json' END AS model_output
+    WHEN 'click' THEN 'json' WHEN 'view' THEN 'json' END AS model_output,
+    CASE WHEN event_type = 'click' AND k % 5 = 2 THEN 'bad' ELSE event_type END AS shape
   FROM shares)"""
 _SQL_VERDICT = f"""
 verdicts AS (
   SELECT event_id,
-    CASE WHEN event_type IN ('click', 'view') THEN CAST(share AS DOUBLE) ELSE 0.0 END
+    CASE WHEN shape IN ('click', 'view') THEN CAST(share AS DOUBLE) ELSE 0.0 END
       AS faithfulness,
-    CASE WHEN event_type = 'click' THEN CAST(0.5 AS DOUBLE) ELSE 0.0 END AS answer_relevance,
-    CASE WHEN event_type = 'click' THEN CAST(share AS DOUBLE) ELSE 0.0 END AS context_relevance,
-    event_type = 'click' AS is_grounded,
-    CASE event_type WHEN 'click' THEN 'k' || k WHEN 'view' THEN '' ELSE 'invalid json' END AS reason
+    CASE WHEN shape = 'click' THEN CAST(0.5 AS DOUBLE) ELSE 0.0 END AS answer_relevance,
+    CASE WHEN shape = 'click' THEN CAST(share AS DOUBLE) ELSE 0.0 END AS context_relevance,
+    shape = 'click' AS is_grounded,
+    CASE shape WHEN 'click' THEN 'k' || k WHEN 'view' THEN '' ELSE 'invalid json' END AS reason
   FROM outputs)"""
 
 
@@ -210,14 +220,14 @@ def judge_answers(spark, sf):
 
 @query(
     "agent_decision",
-    f"""SELECT event_id, CASE event_type WHEN 'click' THEN 'reject'
+    f"""SELECT event_id, CASE shape WHEN 'click' THEN 'reject'
         WHEN 'view' THEN 'answer_without_search' WHEN 'purchase' THEN 'browse'
         ELSE 'search_documents' END AS action,
-      CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'k' || {_K}
+      CASE WHEN shape IN ('click', 'view', 'purchase') THEN 'k' || {_K}
         ELSE 'fallback_to_search' END AS reason,
-      CASE event_type WHEN 'click' THEN 'reject' WHEN 'view' THEN 'answer_without_search'
+      CASE shape WHEN 'click' THEN 'reject' WHEN 'view' THEN 'answer_without_search'
         ELSE 'search_documents' END AS route
-    FROM events""",
+    FROM (SELECT *, CASE WHEN {_K} % 4 = 1 THEN 'bad' ELSE event_type END AS shape FROM events)""",
 )
 def agent_decision(spark, sf):
     def decision(action: str):
@@ -229,6 +239,8 @@ def agent_decision(spark, sf):
         .when(F.col("event_type") == "purchase", decision("browse"))
         .when(F.col("event_type") == "error", F.lit("let me search"))
     )
+    # Words after the object make the decision unusable.
+    output = F.when(F.col("k") % 4 == 1, F.concat(output, F.lit(" ok"))).otherwise(output)
     return _events(spark, sf).select(
         "event_id", verdicts.agent_decision(output).alias("d")
     ).select("event_id", "d.*")

@@ -13,6 +13,12 @@ from askloom.operators import context, fusion, gates, lexical, rerank, vectors
 from askloom.plans import answering
 
 RERANK_TOP = 5
+PROMPT = answering.Prompt(
+    system="Use only the numbered sources.",
+    human=("Query: ", " Context: ", " Reply: "),
+    rejection="Not accepted.",
+    fallback="No source fits.",
+)
 
 # --------------------------------------------------------------------------
 # SQL of the whole chain, one step per fragment
@@ -282,9 +288,9 @@ def hybrid_search(spark, sf):
     "dedupe_chunks",
     f"""WITH {_LISTS},
     both_lists AS (SELECT query_id, chunk_id, rank, 1 AS list_no FROM nearest UNION ALL
-             SELECT query_id, ' ' || chunk_id AS chunk_id, rank, 2 AS list_no FROM best_terms)
+             SELECT query_id, chr(9) || chunk_id || chr(10) AS chunk_id, rank, 2 AS list_no FROM best_terms)
     SELECT query_id, chunk_id, list_no FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id, trim(chunk_id)
+      SELECT *, row_number() OVER (PARTITION BY query_id, trim(chunk_id, chr(9) || chr(10))
                                    ORDER BY list_no, rank) AS first FROM both_lists)
     WHERE first = 1""",
 )
@@ -292,7 +298,7 @@ def dedupe_chunks(spark, sf):
     lists = union_lists(spark, sf)
     padded = lists.withColumn(
         "chunk_id",
-        F.when(F.col("list_no") == 2, F.concat(F.lit(" "), "chunk_id")).otherwise(
+        F.when(F.col("list_no") == 2, F.concat(F.lit("\t"), "chunk_id", F.lit("\n"))).otherwise(
             F.col("chunk_id")
         ),
     )
@@ -393,7 +399,7 @@ _SQL_REJECT = """CASE WHEN length(text) < 100 THEN 'unsafe' END"""
         CASE WHEN length(text) < 100 THEN 'reject' WHEN fallback_reason IS NOT NULL THEN 'fallback'
           ELSE 'answer' END AS route FROM gated)
     SELECT query_id, route, CASE route WHEN 'reject' THEN reject_reason
-        WHEN 'fallback' THEN '{gates.FALLBACK_ANSWER}' END AS canned_answer FROM routed""",
+        WHEN 'fallback' THEN '{PROMPT.fallback}' END AS canned_answer FROM routed""",
 )
 def route_outcome(spark, sf):
     queries, fused = _queries_and_lists(spark, sf)
@@ -405,7 +411,10 @@ def route_outcome(spark, sf):
         ),
     )
     moderated = gates.moderation_gate(unsafe)
-    gated = gates.route_outcome(gates.retrieval_gate(moderated, fused, _STRICT))
+    gated = gates.route_outcome(
+        gates.retrieval_gate(moderated, fused, _STRICT),
+        rejection=PROMPT.rejection, fallback=PROMPT.fallback,
+    )
     return gated.select("query_id", "route", "canned_answer")
 
 
@@ -505,8 +514,8 @@ def agent_context(spark, sf):
 
 
 def sql_prompt(query_text: str, context_text: str) -> str:
-    before, between, after = context.HUMAN_TEMPLATE
-    head = (context.SYSTEM_TEMPLATE + "\n" + before).replace("'", "''")
+    before, between, after = PROMPT.human
+    head = (PROMPT.system + "\n" + before).replace("'", "''")
     return f"'{head}' || {query_text} || '{between}' || coalesce({context_text}, '') || '{after}'"
 
 
@@ -519,7 +528,10 @@ def sql_prompt(query_text: str, context_text: str) -> str:
 def build_prompt(spark, sf):
     asked = prepared.search_tables(spark, sf).queries.select("query_id", "text")
     return build_context(spark, sf).join(asked, "query_id").select(
-        "query_id", context.build_prompt(F.col("text"), F.col("context")).alias("prompt")
+        "query_id",
+        context.build_prompt(
+            F.col("text"), F.col("context"), system=PROMPT.system, human=PROMPT.human
+        ).alias("prompt"),
     )
 
 
@@ -535,7 +547,7 @@ def build_prompt(spark, sf):
       FROM gated)
     SELECT r.query_id, route, CASE WHEN route = 'answer' THEN context END AS context,
            CASE WHEN route = 'answer' THEN {sql_prompt('r.text', 'context')} END AS prompt,
-           CASE WHEN route = 'fallback' THEN '{gates.FALLBACK_ANSWER}' END AS canned_answer
+           CASE WHEN route = 'fallback' THEN '{PROMPT.fallback}' END AS canned_answer
     FROM routed r LEFT JOIN contexts c ON c.query_id = r.query_id""",
 )
 def rag_context(spark, sf):
@@ -545,5 +557,6 @@ def rag_context(spark, sf):
         t.chunks,
         t.queries.select("query_id", "text"),
         top=RERANK_TOP,
+        prompt=PROMPT,
         min_rrf=_STRICT,
     )

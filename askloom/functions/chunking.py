@@ -83,11 +83,14 @@ def chunk_id(question_id: Column, answer_id: Column, chunk_index: Column) -> Col
     )
 
 
-def dimension_bucket(width: Column) -> Column:
-    """Smallest table width that holds the vector; wider than the widest fails."""
+def dimension_bucket(width: Column, *, refuse: bool = True) -> Column:
+    """Smallest table width that holds the vector. Wider than the widest fails, or
+    is null with ``refuse=False``."""
     chosen = F.when(width <= DIMENSION_BUCKETS[0], F.lit(DIMENSION_BUCKETS[0]))
     for bound in DIMENSION_BUCKETS[1:]:
         chosen = chosen.when(width <= bound, F.lit(bound))
+    if not refuse:
+        return chosen
     refusal = F.raise_error(
         F.concat(F.lit("no embedding table holds vectors of width "), width.cast("string"))
     )

@@ -19,12 +19,14 @@ _WORD = r"([\p{L}\p{N}]+)"
 
 # Marks where markup stood, so text nodes can be told apart after it is gone.
 _NODE_MARK = "\u0001"
+# Stands for a "<" that is text.
+_TEXT_MARK = "\u0004"
 
 # One alternation, so the leftmost construct wins: a comment may hold a script
 # tag, and a script may hold a closing paragraph tag in a string.
 _MARKUP = (
-    r"(?is)<!--.*?-->"
-    r"|<(script|style|template)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</\1\s*+>"
+    r"(?is)<!--(?:.*?-->|.*\z)"
+    r"|<(script|style|template)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*+>|.*\z)"
     r"|<[!?][^>]*+>"
     r"|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|</?[a-z][^>]*+>"
@@ -130,10 +132,23 @@ def unescape_html(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), woven).otherwise(text)
 
 
+def _without_markup(html: Column) -> Column:
+    """Every construct replaced by a mark, in time linear in the page. After the
+    last ``>`` no tag can close, so there a ``<`` is text and is not tried; only a
+    comment may still open, and runs to the end."""
+    tail = F.substring_index(html, ">", -1)
+    head = F.left(html, F.length(html) - F.length(tail))
+    text = F.translate(F.substring_index(tail, "<!--", 1), "<", _TEXT_MARK)
+    return F.translate(
+        F.regexp_replace(F.concat(head, text), _MARKUP, _NODE_MARK), _TEXT_MARK, "<"
+    )
+
+
 def clean_html(html: Column) -> Column:
     """Visible text of a page: text nodes stripped, empty ones dropped, joined
-    by one blank. Null gives an empty string."""
-    marked = F.regexp_replace(or_empty(html), _MARKUP, _NODE_MARK)
+    by one blank. A comment, script or style that isn't closed runs to the end of
+    the page. Null gives an empty string."""
+    marked = computed_once(or_empty(html), _without_markup)
     nodes = F.transform(F.split(computed_once(marked, unescape_html), _NODE_MARK + "+"), strip)
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 

@@ -9,29 +9,46 @@ from pyspark.sql import functions as F
 
 from askloom.functions.text import computed_once, or_empty
 
-_CORRUPT = "_unparsed"
-_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-
-#: Keys of a judge verdict (fixed values).
-JUDGE_SCHEMA = (
-    "faithfulness double, answer_relevance double, context_relevance double, "
-    "is_grounded boolean, reason string"
-)
-#: Keys of a routing decision (fixed values).
-DECISION_SCHEMA = "action string, reason string"
+#: Keys of a judge verdict and their types (fixed values).
+JUDGE_FIELDS = {
+    "faithfulness": "double", "answer_relevance": "double", "context_relevance": "double",
+    "is_grounded": "boolean", "reason": "string",
+}
+#: Keys of a routing decision and their types (fixed values).
+DECISION_FIELDS = {"action": "string", "reason": "string"}
 
 
 def _with_parsed(
-    text: Column, schema: str, use: Callable[[Column, Column], Column]
+    text: Column, fields: dict[str, str], use: Callable[[Column, Column], Column]
 ) -> Column:
-    """Apply ``use`` to the parsed struct, which is parsed once per row, and to
-    whether the text was usable JSON."""
+    """Apply ``use`` to the parsed struct and to whether the text was one JSON
+    object and nothing else. Every field is read as text and cast by itself, so
+    that a value of another type is null and leaves its neighbours alone.
+
+    The parser stops after the first value and doesn't mind what follows. Inside
+    an array and inside an object, each with its own way to go on, only a single
+    whole object parses."""
+    strings = ", ".join(f"{name}: string" for name in fields)
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{strings}>>")
+    nested = F.from_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}")), f"v string, {_CORRUPT} string", _OPTIONS
+    )
 
-    def unpack(parsed: Column) -> Column:
-        usable = text.isNotNull() & (F.trim(text) != "") & parsed.getField(_CORRUPT).isNull()
-        return use(parsed, F.coalesce(usable, F.lit(False)))
+    def unpack(both: Column) -> Column:
+        found = both.getField("listed")
+        whole = both.getField("nested").getField(_CORRUPT).isNull() & (F.size(found) == 1)
+        first = F.get(found, 0)
+        typed = F.struct(
+            *[first.getField(name).try_cast(kind).alias(name) for name, kind in fields.items()]
+        )
+        usable = F.coalesce(text.isNotNull() & whole & first.isNotNull(), F.lit(False))
+        return use(typed, usable)
 
-    return computed_once(F.from_json(text, f"{schema}, {_CORRUPT} string", _OPTIONS), unpack)
+    return computed_once(F.struct(listed.alias("listed"), nested.alias("nested")), unpack)
+
+
+_CORRUPT = "_unparsed"
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 
 
 def judge_score(text: Column) -> Column:
@@ -58,7 +75,7 @@ def judge_json(text: Column) -> Column:
             .alias("reason"),
         )
 
-    return _with_parsed(text, JUDGE_SCHEMA, verdict)
+    return _with_parsed(text, JUDGE_FIELDS, verdict)
 
 
 def faithfulness_verdict(text: Column) -> Column:
@@ -96,4 +113,4 @@ def agent_decision(text: Column) -> Column:
             F.when(others, action).otherwise(F.lit("search_documents")).alias("route"),
         )
 
-    return _with_parsed(text, DECISION_SCHEMA, decision)
+    return _with_parsed(text, DECISION_FIELDS, decision)

@@ -11,17 +11,6 @@ from pyspark.sql import functions as F
 
 from askloom.functions.text import or_empty, strip
 
-#: Instruction that precedes every question.
-SYSTEM_TEMPLATE = (
-    "You are an experienced engineer who answers technical questions.\n\n"
-    "Work from the sources below and from nothing else. Give a direct answer, "
-    "with a short code example where it helps. Leave out sources that do not "
-    "bear on the question, do not repeat them word for word, and say so when "
-    "they are not enough to answer."
-)
-#: Parts around the question and the context.
-HUMAN_TEMPLATE = ("Asked:\n", "\n\nSources:\n", "\n\nYour answer:")
-
 
 def _in_rank_order(part: Column, rank: str) -> Column:
     parts = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("at"), part.alias("part"))))
@@ -66,10 +55,11 @@ def build_prompt(
     query: Column,
     context: Column,
     *,
-    system: str = SYSTEM_TEMPLATE,
-    human: tuple[str, str, str] = HUMAN_TEMPLATE,
+    system: str,
+    human: tuple[str, str, str],
 ) -> Column:
-    """The full prompt. Parts are concatenated, so braces in a query or a
+    """The full prompt: the instruction, then query and context between the three
+    parts of ``human``. Parts are concatenated, so braces in a query or a
     context have no meaning."""
     before, between, after = human
     return F.concat(

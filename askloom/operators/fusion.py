@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askloom.functions.text import strip
+
 #: Added to ranks before they are inverted.
 RRF_K = 10
 
@@ -136,7 +138,7 @@ def attach_scores(chunks: DataFrame, fused: DataFrame) -> DataFrame:
 
 def dedupe_chunks(df: DataFrame, *order: Column) -> DataFrame:
     """First row per query and trimmed chunk id; the kept row is unchanged."""
-    first = Window.partitionBy("query_id", F.trim("chunk_id")).orderBy(*order, F.col("chunk_id"))
+    first = Window.partitionBy("query_id", strip(F.col("chunk_id"))).orderBy(*order, F.col("chunk_id"))
     return df.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1).drop(
         "_first"
     )

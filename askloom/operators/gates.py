@@ -21,10 +21,6 @@ MIN_QUERY_LENGTH = 3
 #: Best fused score below which a result counts as weak.
 MIN_RRF = 0.02
 
-#: Answers given in place of a search result.
-REJECTION_ANSWER = "Only questions about the knowledge base can be answered."
-FALLBACK_ANSWER = "The knowledge base holds nothing relevant enough for a confident answer."
-
 
 def moderation_gate(
     queries: DataFrame, text: str = "text", banned: Iterable[str] = BANNED_PHRASES
@@ -78,9 +74,10 @@ def top1_gate(
     )
 
 
-def route_outcome(gated: DataFrame) -> DataFrame:
+def route_outcome(gated: DataFrame, *, rejection: str, fallback: str) -> DataFrame:
     """Add ``route`` (``reject``, ``fallback``, ``answer``) and, for the first
-    two, the ``canned_answer``.
+    two, the ``canned_answer``: the reason of a rejection, or ``rejection`` where
+    there is none, and ``fallback``.
 
     Expects ``is_allowed`` and ``reject_reason`` from the moderation gate and
     ``retrieval_ok`` from the retrieval gate.
@@ -91,8 +88,8 @@ def route_outcome(gated: DataFrame) -> DataFrame:
         .otherwise(F.lit("answer"))
     )
     canned = F.when(
-        F.col("route") == "reject", F.coalesce(F.col("reject_reason"), F.lit(REJECTION_ANSWER))
-    ).when(F.col("route") == "fallback", F.lit(FALLBACK_ANSWER))
+        F.col("route") == "reject", F.coalesce(F.col("reject_reason"), F.lit(rejection))
+    ).when(F.col("route") == "fallback", F.lit(fallback))
     return gated.withColumn("route", route).withColumn("canned_answer", canned)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ from askloom.operators.vectors import vector_topk
 from askloom.session import broadcast_if_small, land
 
 
+@dataclass(frozen=True)
+class Prompt:
+    """The wording of a service: instruction, the parts around query and context,
+    and what is answered without a search result."""
+
+    system: str
+    human: tuple[str, str, str]
+    rejection: str
+    fallback: str
+
+
 def hybrid_search(
     chunks: DataFrame,
     index: LexicalIndex,
@@ -46,6 +59,7 @@ def rag_context(
     queries: DataFrame,
     *,
     top: int,
+    prompt: Prompt,
     min_rrf: float = gates.MIN_RRF,
     scorer: PairScorer = term_coverage,
 ) -> DataFrame:
@@ -57,18 +71,21 @@ def rag_context(
     """
     fused = land(fused, "fused")
     gated = gates.route_outcome(
-        gates.retrieval_gate(gates.moderation_gate(queries), fused, min_rrf)
+        gates.retrieval_gate(gates.moderation_gate(queries), fused, min_rrf),
+        rejection=prompt.rejection, fallback=prompt.fallback,
     )
     open_queries = gated.where(F.col("route") == "answer").select("query_id", "text")
     pairs = attach_chunks(fused, chunks).join(open_queries, "query_id")
     best = rerank(pairs, top, scorer=scorer)
     contexts = context.build_context(best, rank="rerank_rank")
     answered = gated.join(contexts, "query_id", "left")
-    prompt = context.build_prompt(F.col("text"), F.col("context"))
+    finished = context.build_prompt(
+        F.col("text"), F.col("context"), system=prompt.system, human=prompt.human
+    )
     return answered.select(
         "query_id",
         "route",
         "context",
-        F.when(F.col("route") == "answer", prompt).alias("prompt"),
+        F.when(F.col("route") == "answer", finished).alias("prompt"),
         "canned_answer",
     )

@@ -41,13 +41,17 @@ def build_session(app: str = "askloom", master: str | None = None, **conf: objec
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables, under the folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins; a temporary folder is made only when nothing
-    is configured, which is the case of a single-machine test run.
+    A temporary folder is made only where nothing is configured and the session is
+    local, as in tests; on a cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share"
+            )
         root = tempfile.mkdtemp(prefix="askloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

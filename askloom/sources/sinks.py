@@ -1,4 +1,7 @@
-"""Writers. Every write is one atomic job: a failure leaves no part of it."""
+"""Writers. Every write is one job, and on a file system that renames in one step a
+failure leaves no part of it. Appending to an object store without a committer made
+for it may leave files of a failed job, and two loads that run at one time may both
+add a key; let loads into one target follow each other."""
 
 from __future__ import annotations
 
@@ -9,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askloom.functions.chunking import dimension_bucket
-from askloom.session import fits_broadcast
 from askloom.sources.dumps import path_exists
 from askloom.sources.schemas import CHUNK_COLUMNS, EMBEDDING_COLUMNS
 
@@ -104,14 +106,14 @@ def csv_sink(
     path: str,
     *,
     sep: str = ",",
-    single_file: bool = False,
+    files: int | None = None,
     null_value: str = "",
     encoding: str = "UTF-8",
 ) -> None:
-    """CSV with a header. One file only if the table is measured to be small;
-    a larger one is written as several files."""
-    if single_file and fits_broadcast(df):
-        df = df.coalesce(1)
+    """CSV with a header, in at most ``files`` files where a number is given. One
+    file is written by one task, so ask for it only where the rows allow that."""
+    if files is not None:
+        df = df.coalesce(files)
     (
         df.write.mode("overwrite")
         .option("header", True)

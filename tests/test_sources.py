@@ -127,7 +127,7 @@ def test_chunk_contract(spark):
 def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "a;b"), (2, 'say "x"\nnow')], "id int, t string").repartition(2)
     path = str(tmp_path / "out")
-    sinks.csv_sink(df, path, sep=";", single_file=True)
+    sinks.csv_sink(df, path, sep=";", files=1)
     assert len(list((tmp_path / "out").glob("part-*"))) == 1
     back = spark.read.csv(path, header=True, sep=";", escape='"', multiLine=True, schema="id int, t string")
     assert sorted(map(tuple, back.collect())) == [(1, "a;b"), (2, 'say "x"\nnow')]

@@ -106,3 +106,30 @@ def test_leading_digit(value):
 )
 def test_is_anagram(value, left, right, same):
     assert value(tx.is_anagram(F.lit(left), F.lit(right))) is same
+
+
+@pytest.mark.parametrize("piece", ["<!-- x ", "<script> x ", "<a <b ", "<p>x<a ", "<"])
+def test_unclosed_markup_is_linear(spark, piece):
+    import time
+
+    page = "see " + piece * ((1 << 20) // len(piece))
+    row = spark.createDataFrame([(page,)], "x string")
+    tx.clean_html(F.col("x"))
+    row.select(F.length(tx.clean_html(F.lit("<p>warm")))).collect()
+    began = time.time()
+    row.select(F.length(tx.clean_html(F.col("x")))).collect()
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><script>var code = '<p>';", "a"),
+        ("<p>a</p><!-- b <p>c</p>", "a"),
+        ("<p>a</p> b <!-- c", "a b"),
+        ("<p>a</p> b < c <d", "a b < c <d"),
+        ("a <b and c", "a <b and c"),
+    ],
+)
+def test_unclosed_markup(value, page, text):
+    assert value(tx.clean_html(F.col("x")), row=(page,)) == text

@@ -41,6 +41,14 @@ def test_judge_json(value):
         (None, "search_documents", "fallback_to_search", "search_documents"),
         ('{"action": "reject", "reason": "short"}', "reject", "short", "reject"),
         ('{"action": "dance"}', "dance", None, "search_documents"),
+        ('{"action": "reject"} ok', "search_documents", "fallback_to_search", "search_documents"),
+        ('{"action": "reject"}{"action": "reject"}', "search_documents", "fallback_to_search", "search_documents"),
+        ('{"action": "reject"}, {}', "search_documents", "fallback_to_search", "search_documents"),
+        ('{"action": "reject"}] x', "search_documents", "fallback_to_search", "search_documents"),
+        ('{"action": "reject"}} x', "search_documents", "fallback_to_search", "search_documents"),
+        (' {"action": "reject", "reason": "r"}\n', "reject", "r", "reject"),
+        ("", "search_documents", "fallback_to_search", "search_documents"),
+        ("[]", "search_documents", "fallback_to_search", "search_documents"),
         ('{"reason": "r"}', None, "r", "search_documents"),
     ],
 )
