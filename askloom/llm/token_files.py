@@ -23,15 +23,20 @@ or not at all; a lost executor only repeats its own blocks.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from askloom.llm.bpe import byte_alphabet
 from askloom.llm.common import (
     NO_ID,
     arrow_schema,
@@ -45,9 +50,9 @@ from askloom.llm.common import (
 from askloom.session import scratch_folder
 
 #: Ids after which a block is closed, at the end of the document.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 #: Most lanes of a block, and steps between checkpoints.
-LANES = 1024
+LANES = 2048
 CHECKPOINT_STEPS = 128
 #: Binary digits of the frequency table's total.
 SCALE = 20
@@ -71,10 +76,50 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of Latin letters that are one letter in lower case too, composed, so that
+#: no normalisation joins them to what follows; and the ASCII marks after it.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
+
+
+class _Words(dict):
+    """Ids of lower-case words, by the library's BPE model."""
+
+    def __init__(self, model):
+        self.model = model
+        self.letter = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        spelt = word if word.isascii() else "".join([self.letter[b] for b in word.encode()])
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of runs of text between white space."""
+
+    def __init__(self, tokenizer, plain: bool):
+        self.tokenizer, self.plain = tokenizer, plain
+        self.words = _Words(tokenizer.model)
+
+    def __missing__(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        found = _WORD.fullmatch(text) if self.plain else None
+        if found:
+            word, marks = found.groups()
+            ids = self.words[word.lower()]
+            if marks:
+                ids += self.words[marks]
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[raw] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """Ids by the tokenizers library, remembered for each run of text between
-    white space. Exact for vocabularies whose words never hold white space and
-    whose added tokens don't either; others are encoded as whole texts."""
+    """Ids by the tokenizers library, remembered for each run of text between white
+    space, and for its word and its marks. Whether that is exact depends on the
+    vocabulary, so its settings are looked at: other vocabularies are encoded as
+    whole texts, or as whole runs."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,28 +128,37 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        probe = self.tokenizer.encode("a b", add_special_tokens=False).ids
-        alone = [i for x in "ab" for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.separable = probe == alone and not any(len(str(t.content).split()) != 1 for t in added)
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        added = [t["content"] for t in spec["added_tokens"]]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = splits[0].get("pattern", {}).get("Regex", "")
+        # White space only parts words, is dropped, and is in no added token.
+        self.separable = (
+            splits[0].get("behavior") == "Removed"
+            and splits[0].get("invert") is True
+            and pattern.endswith(r"[^\s\p{L}\p{N}]+")
+            and not any(len(t.split()) != 1 for t in added)
+        )
+        # Letters and marks are parted, in lower case, and spelt as bytes.
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.chunks = _Chunks(
+            self.tokenizer,
+            normal == ["NFC", "Replace", "Lowercase"]
+            and [p["type"] for p in splits] == ["Split", "ByteLevel"]
+            and not any(_WORD.fullmatch(t) for t in added),
+        )
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian 32-bit integers."""
         if not self.separable:
-            return self._ids(batch)
-        rows = [text.encode().split() for text in batch]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*rows) - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.known.update(zip(part, self._ids([c.decode() for c in part])))
-        look = self.known.__getitem__
-        return [b"".join(map(look, row)) for row in rows]
+            found = self.tokenizer.encode_batch(batch, add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in found]
+        for known in (self.chunks, self.chunks.words):
+            if len(known) > REMEMBERED:
+                known.clear()
+        look = self.chunks.__getitem__
+        return [b"".join(map(look, text.encode().split())) for text in batch]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -211,7 +265,7 @@ def decode_block(n: int, lanes: int, states: bytes, offsets: bytes, words: bytes
 # --------------------------------------------------------------------------
 # writing
 
-_RAW = "shard int, place int, n_ids long, doc_ids binary, lengths binary, ids binary"
+_RAW = "shard int, place int, n_ids long, doc_ids binary, lengths binary, ids binary, counts binary"
 _BLOCK = (
     "block long, start long, n_ids long, doc_ids binary, lengths binary, lanes int, "
     "states binary, offsets binary, words binary, checksums binary"
@@ -219,26 +273,30 @@ _BLOCK = (
 
 
 def _raw_blocks(ordered: DataFrame, vocabulary: str) -> DataFrame:
-    """Blocks of whole documents with their ids, in the order of each partition."""
-    import zstandard
-
+    """Blocks of whole documents with their ids, in the order of each partition,
+    and a last row that only holds the partition's count of every id."""
     schema = arrow_schema(ordered, _RAW)
 
     def run(batches):
         shard, place = TaskContext.get().partitionId(), 0
         docs, lengths, parts, held = [], [], [], 0
+        counts = np.zeros(1, np.int64)
 
         def block():
+            nonlocal counts
             ids = np.frombuffer(b"".join(parts), "<u4")
+            found = np.bincount(ids, minlength=len(counts))
+            found[: len(counts)] += counts
+            counts = found
             planes = ids.view(np.uint8).reshape(-1, 4).T.tobytes()
-            return pa.RecordBatch.from_pydict(
-                {
-                    "shard": [shard], "place": [place], "n_ids": [held],
-                    "doc_ids": [np.array(docs, "<i8").tobytes()],
-                    "lengths": [pack_any(np.array(lengths, np.uint64))],
-                    "ids": [zstandard.ZstdCompressor(level=3).compress(planes)],
-                },
-                schema=schema,
+            return row(
+                place, held, np.array(docs, "<i8").tobytes(), pack_any(np.array(lengths, np.uint64)),
+                zstandard.ZstdCompressor(level=3).compress(planes), None,
+            )
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], f.type) for v, f in zip((shard, *values), schema)], schema=schema
             )
 
         end = np.array([END_ID], "<u4").tobytes()
@@ -256,13 +314,12 @@ def _raw_blocks(ordered: DataFrame, vocabulary: str) -> DataFrame:
                         docs, lengths, parts, held = [], [], [], 0
         if docs:
             yield block()
+        yield row(None, 0, None, None, None, pack_any(counts.astype(np.uint64)))
 
     return ordered.mapInArrow(run, _RAW)
 
 
 def _raw_ids(data: bytes) -> np.ndarray:
-    import zstandard
-
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
@@ -273,7 +330,7 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     Documents are written in ascending ``doc_id`` order; null ids come first, rows
     with one id in the order of their texts. Null and empty texts are the end id
     alone. Other columns are ignored. Runs jobs: ids are stored once (compressed)
-    to count them before they are coded.
+    and counted before they are coded.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -284,10 +341,11 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     raw_path = scratch_folder(spark, "token-ids")
     _raw_blocks(ordered, vocabulary).write.option("compression", "none").parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
+    stored = spark.read.parquet(raw_path)
+    raw = stored.where("place IS NOT NULL").drop("counts")
 
     # The table holds a row per id of the vocabulary, however large the corpus.
-    counted = raw.select("ids").mapInArrow(_count_ids, "id int, n long")
+    counted = stored.where("place IS NULL").select("counts").mapInArrow(_add_counts, "id int, n long")
     counts = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_id = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     by_id[counts["id"]] = counts["n"]
@@ -328,15 +386,14 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     mapped(placed, code, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def _count_ids(batches):
-    total = np.zeros(1, np.int64)
+def _add_counts(batches):
     for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            found = np.bincount(_raw_ids(data), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
+        for data in batch.column("counts").to_pylist():
+            total = unpack_any(data).astype(np.int64)
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict(
+                {"id": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())}
+            )
 
 
 # --------------------------------------------------------------------------
