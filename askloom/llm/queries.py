@@ -14,6 +14,7 @@ from askloom.llm import (
     near_dedup,
     ngram_lm,
     quality,
+    suffix_dedup,
     token_files,
     window_dedup,
 )
@@ -74,6 +75,10 @@ def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf), percent=85)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(_documents(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_window_dedup": op8_window_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
     "op1_chat_perspectives": chat.SQL,
