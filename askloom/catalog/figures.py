@@ -269,15 +269,14 @@ def axis_sums(spark, sf):
 @query(
     "best_gain",
     """WITH low AS (
-      SELECT user_id, value, min(value) OVER (
-        PARTITION BY user_id ORDER BY ts, event_id
+      SELECT nullif(user_id, 1) AS user_id, value, min(value) OVER (
+        PARTITION BY nullif(user_id, 1) ORDER BY ts, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM events)
     SELECT user_id, round(max(value - m), 2) AS best_gain FROM low GROUP BY user_id""",
 )
 def best_gain(spark, sf):
-    gained = sequences.best_gain(
-        table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value"
-    )
+    events = table(spark, sf, "events").withColumn("user_id", F.nullif("user_id", F.lit(1)))
+    gained = sequences.best_gain(events, "user_id", ["ts", "event_id"], "value")
     return gained.select("user_id", F.round("best_gain", 2).alias("best_gain"))
 
 
@@ -285,14 +284,15 @@ _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
 def _numbered_events(spark, sf):
+    """Events with a whole number each; one user has no id."""
     return table(spark, sf, "events").select(
-        "user_id", "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")
+        F.nullif("user_id", F.lit(1)).alias("user_id"), "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
 
 
 @query(
     "longest_run",
-    f"""WITH v AS (SELECT DISTINCT user_id, {_K} AS k FROM events),
+    f"""WITH v AS (SELECT DISTINCT nullif(user_id, 1) AS user_id, {_K} AS k FROM events),
     runs AS (
       SELECT user_id, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS run FROM v),
     lengths AS (SELECT user_id, run, count(*) AS n FROM runs GROUP BY ALL)
@@ -304,14 +304,15 @@ def longest_run(spark, sf):
 
 @query(
     "runs_with_sum",
-    f"""WITH v AS (SELECT user_id, event_id, {_K} % 7 - 3 AS k FROM events),
+    f"""WITH v AS (
+      SELECT nullif(user_id, 1) AS user_id, event_id, {_K} % 7 - 3 AS k FROM events),
     sums AS (
       SELECT user_id, row_number() OVER w AS at, CAST(sum(k) OVER w AS BIGINT) AS s FROM v
       WINDOW w AS (PARTITION BY user_id ORDER BY event_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     starts AS (SELECT * FROM sums UNION ALL SELECT DISTINCT user_id, 0, 0 FROM sums)
     SELECT e.user_id, count(b.at) AS n_runs
-    FROM sums e LEFT JOIN starts b ON b.user_id = e.user_id AND b.at < e.at AND b.s = e.s - 2
+    FROM sums e LEFT JOIN starts b ON b.user_id IS NOT DISTINCT FROM e.user_id AND b.at < e.at AND b.s = e.s - 2
     GROUP BY e.user_id""",
 )
 def runs_with_sum(spark, sf):

@@ -18,7 +18,7 @@ from askloom.operators.vectors import (
     CellIndex,
     assign_cells,
     embed_text,
-    fit_cells,
+    mean_cells,
     vector_topk,
 )
 from askloom.session import land, scratch_folder
@@ -62,11 +62,12 @@ def cell_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CellIndex]:
     """The embeddings table stored by cell, and its centroids."""
 
     def build() -> tuple[DataFrame, CellIndex]:
-        chunks = tables.table(spark, sf, "embeddings").select(
-            F.col("vec_id").alias("chunk_id"), "embedding"
-        )
-        index = fit_cells(chunks, 16)
-        return land(assign_cells(chunks, index).sortWithinPartitions("cell"), "cells"), index
+        rows = tables.table(spark, sf, "embeddings")
+        chunks = rows.select(F.col("vec_id").alias("chunk_id"), "embedding")
+        index = mean_cells(rows, "label")
+        # Files hold ranges of cells, so the filter on the probed ones skips files.
+        celled = assign_cells(chunks, index).repartitionByRange("cell", "chunk_id")
+        return land(celled.sortWithinPartitions("cell"), "cells"), index
 
     return _once(spark, sf, "cells", build)
 

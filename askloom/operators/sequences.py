@@ -18,7 +18,7 @@ def best_gain(
     Every block of a key is reduced to its lowest price, highest price and best
     gain; the blocks of a key, a bounded number, are then combined in order.
     """
-    blocked = order_blocks(df.select(key, *order, price), order[0], blocks)
+    blocked = order_blocks(df.select(key, *order, price), [key, *order], blocks)
     so_far = (
         Window.partitionBy(key, "_block")
         .orderBy(*order)
@@ -93,6 +93,7 @@ def runs_with_sum(
         {"_earlier": F.col("_adds").cast("bigint")},
         blocks=blocks,
     )
+    # A null key groups like any other.
     return counted.groupBy(key).agg(
         F.sum(F.when(F.col("_adds") == 0, F.col("_earlier")).otherwise(F.lit(0))).alias("n_runs")
     )

@@ -7,25 +7,23 @@ task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from askloom.session import broadcast_if_small, land
 
 #: Rows of one key that a single task should handle.
 ROWS_PER_TASK = 1_000_000
-#: Most value ranges a table is cut into.
-MAX_BLOCKS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(key, parts)`` for keys with more rows than one task should handle.
 
     Only the key column is read and counts are combined before the shuffle. The
-    result holds at most ``rows / rows_per_task`` keys, so it is safe to
-    broadcast.
+    result holds at most ``rows / rows_per_task`` keys.
     """
     return (
         df.groupBy(key)
@@ -49,7 +47,9 @@ def spread_join(
     does not change when a task is run again; the matching row of ``one`` is
     repeated once per part. Other keys have one part.
     """
-    hot = F.broadcast(hot_keys(many.where(F.col(key).isNotNull()), key, rows_per_task))
+    hot = hot_keys(many.where(F.col(key).isNotNull()), key, rows_per_task)
+    # Counted once; its size is measured before it is shipped.
+    hot = broadcast_if_small(land(hot, "hot-keys"))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     # Never null, so that no filter recomputes the hash to test it.
     place = F.coalesce(F.pmod(F.xxhash64(*many.columns), parts).cast("int"), F.lit(0))
@@ -66,57 +66,32 @@ def spread_join(
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    """Order value as a double, times in seconds with their fraction. Nulls sort
-    first and NaN last, as in a window."""
-    kind = df.schema[column].dataType.typeName()
-    value = F.col(column)
-    if kind == "timestamp_ntz":
-        # By its fields: a local time has no instant, and zones have gaps.
-        value = (
-            F.unix_date(value.cast("date")).cast("double") * 86400
-            + F.hour(value) * 3600
-            + F.minute(value) * 60
-            + F.extract(F.lit("SECOND"), value).cast("double")
-        )
-    elif kind == "timestamp":
-        value = F.unix_micros(value)
-    elif kind == "date":
-        value = F.unix_date(value)
-    number = F.nanvl(value.cast("double"), F.lit(float("inf")))
-    return F.coalesce(number, F.lit(-float("inf")))
-
-
-def order_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
-    """Add ``_block``: which of about ``blocks`` equally filled value ranges the
-    order column falls into. Runs a count and, for a table of more than one
-    block, a job that estimates the range bounds.
-
-    By default a block holds about a million rows. A key that holds a third of
-    all rows is cut with everything else, so no (key, block) pair holds more
-    than one range. The bounds are plain numbers in the plan: a row's block
-    never depends on how a task was scheduled.
+def order_blocks(df: DataFrame, by: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Add ``_block``: which of ``blocks`` about equally filled ranges a row falls
+    into when all rows are sorted by ``by``, nulls first. Runs a count, and for more
+    than one block stores the rows with their block.
+
+    By default a block holds about a million rows, however many blocks that makes.
+    Ranges are cut on all of ``by`` and, among rows that tie there, on the other
+    columns, so neither a key nor an order value that a third of all rows share
+    stays in one block. A block never changes once it is stored.
     """
     if blocks is None:
-        blocks = min(MAX_BLOCKS, -(-df.count() // ROWS_PER_TASK))
-    numbered = df.withColumn("_order", _as_number(df, order))
-    shares = [i / blocks for i in range(1, blocks)]
-    bounds: list[float] = []
-    if shares:
-        found = numbered.agg(
-            F.percentile_approx("_order", shares, max(1000, 20 * blocks)).alias("bounds")
-        ).first()["bounds"]
-        bounds = sorted({bound for bound in found or [] if math.isfinite(bound)})
-    if not bounds:
-        return numbered.withColumn("_block", F.lit(0)).drop("_order")
-    ranges = Bucketizer(
-        splits=[-float("inf"), *bounds, float("inf")], inputCol="_order", outputCol="_range"
-    )
-    return (
-        ranges.transform(numbered)
-        .withColumn("_block", F.col("_range").cast("int"))
-        .drop("_order", "_range")
-    )
+        blocks = -(-df.count() // ROWS_PER_TASK)
+    if blocks <= 1:
+        return df.withColumn("_block", F.lit(0))
+    rest = [f.name for f in df.schema if f.name not in by and _sorts(f.dataType)]
+    ranges = df.repartitionByRange(blocks, *by, *rest)
+    return land(ranges.withColumn("_block", F.spark_partition_id()), "blocks")
+
+
+def _sorts(kind: T.DataType) -> bool:
+    """Whether Spark can order values of a type."""
+    if isinstance(kind, T.ArrayType):
+        return _sorts(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sorts(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def running_totals(
@@ -134,7 +109,7 @@ def running_totals(
     differ between most rows of a key.
     """
     values = {f"_value_{name}": value for name, value in totals.items()}
-    blocked = order_blocks(df.withColumns(values), order[0], blocks)
+    blocked = order_blocks(df.withColumns(values), [*keys, *order], blocks)
     group = [*keys, "_block"]
     local = (
         Window.partitionBy(*group)
@@ -160,8 +135,10 @@ def running_totals(
             for name in totals
         ],
     )
+    theirs = {name: f"_of_{name}" for name in group}
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in theirs.items()]
     return (
-        within.join(offsets, group)
+        within.join(offsets.withColumnsRenamed(theirs), same)
         .withColumns({name: F.col(name) + F.col(f"_offset_{name}") for name in totals})
-        .drop("_block", *[f"_offset_{name}" for name in totals])
+        .drop("_block", *theirs.values(), *[f"_offset_{name}" for name in totals])
     )

@@ -31,6 +31,8 @@ MAX_SHIPPED_QUERIES = 8192
 GRID_CHUNKS = 65_536
 # Queries multiplied at once; bounds the distance block held by one task.
 _QUERY_SLICE = 512
+# Scores of vectors against centroids held at once.
+_SCORES_AT_ONCE = 4_000_000
 
 # Functions of this module travel to the tasks by value, so that executors need
 # not have the package installed.
@@ -282,7 +284,9 @@ def _grid_search(
 ) -> DataFrame:
     """Queries beyond the shipping bound: both sides are cut into blocks and
     every pair of blocks meets in one bounded task (a fragment-and-replicate
-    grid). Half-size targets leave room for uneven hashing."""
+    grid). Half-size targets leave room for uneven hashing. With cells, chunks go
+    only to the query blocks that probe their cell, and queries only to the chunk
+    blocks of the cells that they probe."""
     n_query_blocks = max(1, math.ceil(2 * asked.count() / block_queries))
     n_chunk_blocks = max(1, math.ceil(2 * corpus.count() / block_chunks))
     types = _arrow_types(schema)
@@ -293,12 +297,25 @@ def _grid_search(
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    left = corpus.withColumn("chunk_block", block(F.col("chunk_id"), n_chunk_blocks)).withColumn(
-        "query_block", every(n_query_blocks)
-    )
-    right = asked.withColumn("query_block", block(F.col("query_id"), n_query_blocks)).withColumn(
-        "chunk_block", every(n_chunk_blocks)
-    )
+    left = corpus.withColumn("chunk_block", block(F.col("chunk_id"), n_chunk_blocks))
+    right = asked.withColumn("query_block", block(F.col("query_id"), n_query_blocks))
+    keys = ["query_block", "chunk_block"]
+    if probe_column:
+        keys.append("cell")
+        right = right.withColumn("cell", F.explode(probe_column))
+        probed = right.select(F.col("cell").alias("_cell"), F.col("query_block").alias("_asked"))
+        left = left.join(probed.distinct(), F.col("cell") == F.col("_cell"))
+        left = left.drop("_cell").withColumnRenamed("_asked", "query_block")
+        held = left.select(
+            F.col("cell").alias("_cell"), F.col("query_block").alias("_asked"),
+            F.col("chunk_block").alias("_held"),
+        ).distinct()
+        right = right.join(
+            held, (F.col("cell") == F.col("_cell")) & (F.col("query_block") == F.col("_asked"))
+        ).drop("_cell", "_asked").withColumnRenamed("_held", "chunk_block")
+    else:
+        left = left.withColumn("query_block", every(n_query_blocks))
+        right = right.withColumn("chunk_block", every(n_chunk_blocks))
     out_names = schema.names
 
     def cell(chunk_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
@@ -317,7 +334,6 @@ def _grid_search(
         ids = np.array(query_rows.column("query_id").to_pylist(), dtype=object)
         return pa.Table.from_batches([_answer(best, ids, types)])
 
-    keys = ["query_block", "chunk_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
 
 
@@ -353,42 +369,56 @@ class CellIndex:
 def _nearest_cells(vectors: np.ndarray, centroids: np.ndarray, count: int) -> np.ndarray:
     """Cells of every vector, nearest first. Vectors without direction go to
     the first cells."""
-    score = np.nan_to_num(vectors @ centroids.T, nan=-2.0)
-    return np.argsort(-score, axis=1, kind="stable")[:, :count]
-
-
-def fit_cells(
-    chunks: DataFrame, n_cells: int, *, seed: int = 7, rows_per_cell: int = 1024
-) -> CellIndex:
-    """Fit cell centroids with k-means. Runs Spark jobs.
-
-    The fit reads about ``rows_per_cell * n_cells`` vectors, which fixes the
-    centroids well; every vector of the table is assigned to a cell afterwards.
-    """
+    out = np.empty((len(vectors), min(count, len(centroids))), np.int64)
+    # A bounded number of scores at a time, however many cells there are.
+    step = max(1, _SCORES_AT_ONCE // len(centroids))
+    for a in range(0, len(vectors), step):
+        score = -np.nan_to_num(vectors[a : a + step] @ centroids.T, nan=-2.0)
+        if out.shape[1] == 1:
+            out[a : a + step, 0] = score.argmin(axis=1)
+        else:
+            out[a : a + step] = np.argsort(score, axis=1, kind="stable")[:, : out.shape[1]]
+    return out
+
+
+def _unit(embedding: str) -> Column:
+    """The vector at length one; null for a vector without direction."""
+    norm = F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+    return F.when(norm > 0, F.transform(embedding, lambda x: x.cast("double") / norm))
+
+
+def fit_cells(chunks: DataFrame, n_cells: int, *, seed: int = 7) -> CellIndex:
+    """Fit cell centroids with k-means over all vectors. Runs Spark jobs."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    norm = F.sqrt(
-        F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    )
-    usable = chunks.select("embedding", norm.alias("norm")).where(F.col("norm") > 0)
-    total = usable.count()
-    wanted = rows_per_cell * n_cells
-    if total > wanted:
-        usable = usable.sample(fraction=wanted / total, seed=seed)
-    unit = usable.select(
-        array_to_vector(
-            F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))
-        ).alias("features")
-    )
-    unit.persist()  # read once per iteration
+    unit = chunks.select(_unit("embedding").alias("unit")).where(F.col("unit").isNotNull())
+    features = unit.select(array_to_vector("unit").alias("features"))
+    features.persist()  # read once per iteration
     try:
-        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(unit)
+        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(features)
     finally:
-        unit.unpersist()
+        features.unpersist()
     return CellIndex(np.array(model.clusterCenters()))
 
 
+def mean_cells(chunks: DataFrame, group: str) -> CellIndex:
+    """One cell per known group, in order of the groups: its centroid is the mean
+    of the group's vectors at length one. Runs a job; the driver holds a vector
+    per group, so group by something that the caller knows to be few."""
+    unit = chunks.select(group, _unit("embedding").alias("unit"))
+    means = (
+        unit.where(F.col("unit").isNotNull() & F.col(group).isNotNull())
+        .select(group, F.posexplode("unit").alias("place", "x"))
+        .groupBy(group, "place")
+        .agg(F.avg("x").alias("x"))
+        .groupBy(group)
+        .agg(F.array_sort(F.collect_list(F.struct("place", "x")))["x"].alias("mean"))
+        .orderBy(group)
+    )
+    return CellIndex(np.array([row["mean"] for row in means.collect()]))
+
+
 def assign_cells(chunks: DataFrame, index: CellIndex) -> DataFrame:
     """Add ``cell``. Write the result partitioned or sorted by cell, so that a
     search reads only the cells it probes."""

@@ -66,7 +66,7 @@ def test_running_totals(spark, blocks):
 def test_blocks_keep_the_order_of_a_window(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(v,) for v in [5.0, None, 1.0, nan, 3.0, -inf, inf, 2.0]], "o double")
-    got = skew.order_blocks(df, "o", 4).orderBy("o").collect()
+    got = skew.order_blocks(df, ["o"], 4).orderBy("o").collect()
     blocks = [r["_block"] for r in got]
     assert blocks == sorted(blocks) and len(set(blocks)) > 1
 
@@ -76,17 +76,39 @@ def test_blocks_of_times(spark, kind):
     df = spark.range(40).select(
         (F.lit("2024-03-31 00:10:00.25").cast(kind) + F.make_dt_interval(F.col("id").cast("int"))).cast(kind).alias("o")
     )
-    blocks = [r["_block"] for r in skew.order_blocks(df, "o", 4).orderBy("o").collect()]
+    blocks = [r["_block"] for r in skew.order_blocks(df, ["o"], 4).orderBy("o").collect()]
     assert blocks == sorted(blocks) and len(set(blocks)) == 4
 
 
 def test_blocks_follow_the_table_size(spark, monkeypatch):
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 25)
-    blocked = skew.order_blocks(spark.range(100).withColumnRenamed("id", "o"), "o")
+    blocked = skew.order_blocks(spark.range(100).withColumnRenamed("id", "o"), ["o"])
     sizes = [r["count"] for r in blocked.groupBy("_block").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 40
 
 
+def test_blocks_cut_ties(spark):
+    """One key, one first order value: the whole tuple cuts, then the other columns."""
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.lit(7).alias("o"), F.col("id").alias("p"), F.lit(0).alias("v"))
+    for by in (["k", "o", "p"], ["k", "o"]):
+        sizes = [r["count"] for r in skew.order_blocks(df, by, 8).groupBy("_block").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1200
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_null_keys_and_tied_orders(spark, blocks):
+    data = [(None, i // 3, i, i % 4) for i in range(30)] + [("a", 0, i, 1) for i in range(10)]
+    df = spark.createDataFrame(data, "k string, o long, p long, v long")
+    gains = rows(sequences.best_gain(df, "k", ["o", "p"], "v", blocks=blocks).fillna("-"), "k", "best_gain")
+    assert gains == [("-", 3), ("a", 0)]
+    runs = rows(sequences.longest_run(df, "k", "p", blocks=blocks).fillna("-"), "k", "longest_run")
+    assert runs == [("-", 30), ("a", 10)]
+    sums = rows(sequences.runs_with_sum(df, "k", ["o", "p"], "v", 3, blocks=blocks).fillna("-"), "k", "n_runs")
+    values = [i % 4 for i in range(30)]
+    want = sum(sum(values[i:j]) == 3 for i in range(30) for j in range(i + 1, 31))
+    assert sums == [("-", want), ("a", 8)]
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 @pytest.mark.parametrize("prices, gain", [([7, 1, 5, 3, 6, 4], 5), ([7, 6, 4, 3, 1], 0), ([2], 0), ([9, 1, 8, 0, 3], 7)])
 def test_best_gain(spark, prices, gain, blocks):
