@@ -22,8 +22,8 @@ def window_step(size: int, overlap_share: float) -> int:
     return step
 
 
-def _join_words(tokens: Column) -> Column:
-    return F.array_join(tokens, " ")
+def _join_words(windows: Column) -> Column:
+    return F.transform(windows, lambda tokens: F.array_join(tokens, " "))
 
 
 def chunk_windows(
@@ -47,7 +47,8 @@ def chunk_windows(
     starts = F.when(count > 0, F.sequence(F.lit(0), last_start, F.lit(step))).otherwise(
         F.array().cast("array<int>")
     )
-    texts = F.transform(starts, lambda start: joiner(F.slice(tokens, start + 1, F.lit(size))))
+    windows = F.transform(starts, lambda start: F.slice(tokens, start + 1, F.lit(size)))
+    texts = joiner(windows)
     return F.filter(texts, lambda text: text != "")
 
 
@@ -64,7 +65,8 @@ def chunk_overlap(
     """One row per window: the input columns without ``text``, then
     ``chunk_index`` and ``chunk_text``. No shuffle: windows are cut in the row.
 
-    ``tokens`` and ``joiner`` take a model tokenizer as a pandas UDF.
+    ``tokens`` maps the text to an array of tokens, ``joiner`` an array of token
+    windows to an array of texts; both may be pandas UDFs of a model's tokenizer.
     """
     kept = [name for name in df.columns if name != text]
     # The token array is projected first, so it is split once for all windows.

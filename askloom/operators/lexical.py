@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.functions.text import simple_tokens
-from askloom.session import fits_broadcast, land
+from askloom.operators import skew
+from askloom.session import broadcast_if_small, fits_broadcast, land
 
-#: Folders of a large stored index. A search reads only those its rarest terms
-#: fall in.
+#: Folders of a large stored index. A search reads only those its terms fall in.
 TERM_BUCKETS = 256
 #: Scores are ranked after rounding, so that equal scores tie exactly.
 SCORE_DIGITS = 9
@@ -79,26 +79,31 @@ def lexical_index(chunks: DataFrame, text: str = "chunk_text") -> LexicalIndex:
 def write_index(
     chunks: DataFrame, path: str, text: str = "chunk_text", buckets: int = TERM_BUCKETS
 ) -> LexicalIndex:
-    """Store the index: postings in one folder per term bucket, in term order
-    inside each file.
+    """Store the index: postings in one folder per term bucket, in term order.
 
-    Postings come out of their grouping spread by (term, chunk), so a very
-    common term is written by many tasks; no second shuffle is needed.
+    Tasks write ranges of (bucket, term, chunk), so a folder has few files and the
+    postings of a very common term are still written by many tasks.
     """
     spark = chunks.sparkSession
     (
         postings(chunks, text)
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .sortWithinPartitions("bucket", "term")
+        .repartitionByRange("bucket", "term", "chunk_id")
+        .sortWithinPartitions("bucket", "term", "chunk_id")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
     stored = spark.read.parquet(f"{path}/postings")
     document_frequencies(stored).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_totals(chunks, text).withColumn("buckets", F.lit(buckets)).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/totals")
+    # The stored counts add up to all tokens, so texts are split once.
+    tokens = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    totals = chunks.agg(F.count(F.lit(1)).alias("n_chunks")).join(F.broadcast(tokens))
+    totals.select(
+        "n_chunks",
+        (F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))).alias("avg_dl"),
+        F.lit(buckets).alias("buckets"),
+    ).write.mode("overwrite").parquet(f"{path}/totals")
     return read_index(spark, path)
 
 
@@ -161,15 +166,28 @@ def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) ->
     those are few enough to ship, and then both sides are shuffled.
     """
     plans = land(_plans_of_queries(index, queries, min_share), "query-plans")
+    terms = plans.select("query_id", F.posexplode("known").alias("_place", "_known")).select(
+        "query_id", "_place", "_known.term", "_known.df"
+    )
     hits = F.lit(1) if min_share == 1 else F.ceil(F.col("needed") / 3).cast("int")
     rarest = F.slice(
         F.col("known"), F.lit(1), (F.size("known") - F.col("needed") + hits).cast("int")
     )
-    probes = plans.select(
-        "query_id", hits.alias("hits"), F.explode(rarest.getField("term")).alias("term")
+    probes = plans.select("query_id", hits.alias("hits"), F.explode(rarest).alias("_known")).select(
+        "query_id", "hits", "_known.term", "_known.df"
     )
     probed = _in_buckets(index, probes).select("term", "chunk_id")
-    found = probed.join(probes, "term").select("query_id", "chunk_id", "hits")
+    found = _by_term(probed, probes).select("query_id", "chunk_id", "hits")
+    if min_share == 1:
+        # The next rarest term thins the candidates out before all are looked up.
+        second = terms.where("_place = 1").select("query_id", "term")
+        wanted = found.select("query_id", "chunk_id").join(second, "query_id", "left")
+        held = _in_buckets(index, second).select("term", "chunk_id", F.lit(True).alias("_held"))
+        found = (
+            wanted.join(held, ["chunk_id", "term"], "left")
+            .where("term IS NULL OR _held")
+            .select("query_id", "chunk_id")
+        )
     if min_share < 1:
         # Several probes of a query may meet in the same chunk.
         found = (
@@ -182,7 +200,7 @@ def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) ->
         "query_id", "chunk_id", "n_terms", "needed", F.explode("known").alias("_known")
     ).select("query_id", "chunk_id", "n_terms", "needed", "_known.term", "_known.df")
     lookups = land(lookups, "lookups")
-    posted = index.postings.select("term", "chunk_id", "tf", "dl")
+    posted = _in_buckets(index, terms).select("term", "chunk_id", "tf", "dl")
     if fits_broadcast(lookups):
         return posted.join(F.broadcast(lookups), ["chunk_id", "term"])
     chunk_ids = lookups.select("chunk_id").distinct()
@@ -191,6 +209,21 @@ def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) ->
     return lookups.join(posted, ["chunk_id", "term"])
 
 
+def _by_term(posted: DataFrame, probes: DataFrame) -> DataFrame:
+    """Postings of the probed terms. The postings of a term with very many are cut
+    into parts by chunk, and its probes are repeated once per part."""
+    parts = F.ceil(F.col("df") / skew.ROWS_PER_TASK).cast("int")
+    hot = probes.where(F.col("df") > skew.ROWS_PER_TASK).select("term", parts.alias("_parts"))
+    many = posted.join(broadcast_if_small(hot.distinct()), "term", "left").withColumn(
+        "_part",
+        F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.coalesce("_parts", F.lit(1))), F.lit(0)),
+    )
+    each = probes.withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(parts, F.lit(1)).cast("bigint") - 1))
+    )
+    return many.drop("_parts").join(each, ["term", "_part"])
+
+
 def all_terms_match(index: LexicalIndex, queries: DataFrame, min_share: float = 1.0) -> DataFrame:
     """Chunks that hold every term of the query (or ``min_share`` of them):
     ``(query_id, chunk_id, n_terms, n_matched)``. A query without terms matches

@@ -67,3 +67,22 @@ def test_prepared_rows(spark):
     assert rows[0]["chunk_text"] == "Title: how to Tag: python Question:"
     for row in rows:
         assert sum(x * x for x in row["embedding"]) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_tokenizer_plug_in(spark):
+    """A model's tokenizer as pandas UDFs, for tokens and for the texts of windows."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def letters(texts: pd.Series) -> pd.Series:
+        return texts.map(list)
+
+    @F.pandas_udf("array<string>")
+    def spelt(windows: pd.Series) -> pd.Series:
+        return windows.map(lambda row: ["".join(tokens).strip() for tokens in row])
+
+    df = spark.createDataFrame([(1, "abcd  efg"), (2, "")], "id int, t string")
+    got = ck.chunk_overlap(df, "t", 4, 0.5, tokens=letters, joiner=spelt)
+    assert [tuple(r) for r in got.orderBy("id", "chunk_index").collect()] == [
+        (1, 0, "abcd"), (1, 1, "cd"), (1, 2, "ef"), (1, 3, "efg"), (1, 4, "g"),
+    ]

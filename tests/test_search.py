@@ -189,3 +189,33 @@ def test_all_terms_match(spark, corpus):
     }
     assert {(r["query_id"], r["chunk_id"]) for r in rows} == want
     assert all(r["n_terms"] == r["n_matched"] for r in rows)
+
+
+@pytest.mark.parametrize("share", [1.0, 0.6])
+def test_every_postings_scan_is_pruned(spark, tmp_path, share):
+    words = ["red", "blue", "green", "tall", "old", "new"]
+    texts = [(str(i), " ".join(w for k, w in enumerate(words) if (i >> k) & 1) + f" w{i}") for i in range(64)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, chunk_text string")
+    index = lx.write_index(chunks, str(tmp_path / "index"), buckets=64)
+    # Common terms only: every word is in half of the chunks.
+    queries = spark.createDataFrame([(1, "red tall new"), (2, "blue"), (3, "none")], "query_id int, text string")
+    matched = lx.all_terms_match(index, queries, share)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "term#" in x and "query_id#" not in x]
+    assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    got = {(r.query_id, r.chunk_id) for r in matched.collect()}
+    asked = {1: {"red", "tall", "new"}, 2: {"blue"}}
+    want = {
+        (q, c) for q, terms in asked.items() for c, t in texts if len(terms & set(t.split())) >= max(1, -(-len(terms) * share // 1))
+    }
+    assert got == want
+
+
+def test_hot_terms_are_cut(spark, monkeypatch):
+    from askloom.operators import skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
+    chunks = spark.createDataFrame([(str(i), "red " + "blue " * (i % 2)) for i in range(50)], "chunk_id string, chunk_text string")
+    queries = spark.createDataFrame([(1, "red blue"), (2, "red")], "query_id int, text string")
+    got = lx.all_terms_match(lx.lexical_index(chunks), queries)
+    assert {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()} == {1: 25, 2: 50}
