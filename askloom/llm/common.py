@@ -306,3 +306,13 @@ def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     place = np.searchsorted(distinct, every)
     bounds = np.cumsum([0, *map(len, keys)]).tolist()
     return distinct, place, bounds
+
+
+# --------------------------------------------------------------------------
+# the same in DuckDB's SQL
+
+#: Texts in lower case A-Z, and the pattern of a word.
+SQL_LOWER = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+SQL_WORD = r"'[^\x20\x09-\x0D]+'"

@@ -17,7 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import arrow_schema, pieces, texts, window_hashes, word_hashes
+from askloom.llm.common import (
+    SQL_LOWER,
+    SQL_WORD,
+    arrow_schema,
+    pieces,
+    texts,
+    window_hashes,
+    word_hashes,
+)
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 80
@@ -142,3 +150,28 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> Data
     ``doc_id`` stay only if no row without one contains an item."""
     leaks = contained_items(docs, items, percent).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+
+
+SQL = f"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({SQL_LOWER}, {SQL_WORD}) AS w FROM benchmark
+), items AS (
+  SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i
+        FROM (SELECT *, least(5, len(w)) AS k FROM item_words WHERE len(w) > 0))
+), sets AS (
+  SELECT DISTINCT item_id, k, s FROM items
+), sizes AS (
+  SELECT item_id, count(*) AS n_item FROM sets GROUP BY item_id
+), words AS (
+  SELECT doc_id, regexp_extract_all({SQL_LOWER}, {SQL_WORD}) AS w FROM documents
+), held AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i
+        FROM words CROSS JOIN (SELECT DISTINCT k FROM sets))
+), shared AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM held JOIN sets USING (k, s) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_item, n_shared FROM shared JOIN sizes USING (item_id)
+WHERE 100 * n_shared >= 80 * n_item
+"""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import arrow_schema, mapped, mix, shingle_set, texts, word_hashes
+from askloom.llm.common import SQL_LOWER, SQL_WORD, mapped, mix, shingle_set, texts, word_hashes
 from askloom.llm.graphs import connected_components, in_blocks, labels, sorted_groups
 from askloom.operators.skew import spread_join
 from askloom.session import land
@@ -282,3 +282,30 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, all columns kept."""
     gone = near_dedup(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({SQL_LOWER}, {SQL_WORD}) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i
+        FROM (SELECT *, least(5, len(w)) AS k FROM words WHERE len(w) > 0))
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

@@ -94,4 +94,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_chat_perspectives": chat.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_decontaminate": decontaminate.SQL,
+    "op8_window_dedup": window_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from askloom.llm.common import (
+    SQL_WORD,
     Layout,
     answer,
     ask,
@@ -189,3 +190,28 @@ def least_and_most(first: np.ndarray, second: np.ndarray, ids: np.ndarray):
         return first, second, ids, ids
     starts = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)]))
     return first[starts], second[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+
+
+SQL = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SQL_WORD}) AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM words)
+), firsts AS (
+  SELECT k, min(doc_id) AS least FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM windows JOIN firsts USING (k) WHERE least < doc_id
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+  FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
