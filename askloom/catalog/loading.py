@@ -156,18 +156,12 @@ def embedding_sink(spark, sf):
     return stored.select("chunk_id", "chunk_index", "dim")
 
 
-@query(
-    "chunk_sink_contract",
-    """SELECT 'd' || doc_id AS chunk_id,
-       CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'embedding is missing'
-            WHEN lang = 'es' THEN 'answer_id is not a whole number' ELSE 'valid' END AS verdict
-    FROM documents""",
-)
-def chunk_sink_contract(spark, sf):
+def _chunk_rows(spark, sf):
+    """Documents as chunk rows, some of which break the contract."""
     toxic = tables.table(spark, sf, "labels").where(F.col("toxic") == 1).select(
         "doc_id", F.lit(True).alias("toxic")
     )
-    chunks = tables.table(spark, sf, "documents").join(toxic, "doc_id", "left").select(
+    return tables.table(spark, sf, "documents").join(toxic, "doc_id", "left").select(
         F.concat(F.lit("d"), "doc_id").alias("chunk_id"),
         F.col("doc_id").alias("question_id"),
         F.when(F.col("lang") == "es", F.lit("none"))
@@ -181,12 +175,36 @@ def chunk_sink_contract(spark, sf):
         F.col("text").alias("chunk_text"),
         F.when(F.col("toxic").isNull(), F.array(F.col("n_chars").cast("float"))).alias("embedding"),
     )
+
+
+@query(
+    "chunk_sink_contract",
+    """SELECT 'd' || doc_id AS chunk_id,
+       CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'embedding is missing'
+            WHEN lang = 'es' THEN 'answer_id is not a whole number' ELSE 'valid' END AS verdict
+    FROM documents""",
+)
+def chunk_sink_contract(spark, sf):
+    chunks = _chunk_rows(spark, sf)
     valid, rejects = sinks.chunk_sink_contract(chunks)
     return valid.select("chunk_id", F.lit("valid").alias("verdict")).unionByName(
         rejects.select("chunk_id", F.col("reason").alias("verdict"))
     )
 
 
+@query(
+    "chunk_sink",
+    """SELECT 'd' || doc_id AS chunk_id, doc_id AS question_id, lang AS tags FROM documents
+    WHERE lang <> 'es' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+)
+def chunk_sink(spark, sf):
+    """Stored twice: the second time adds nothing."""
+    target = scratch_folder(spark, "qa-chunks")
+    sinks.chunk_sink(_chunk_rows(spark, sf), target)
+    stored, _ = sinks.chunk_sink(_chunk_rows(spark, sf), target)
+    return stored.select("chunk_id", "question_id", "tags")
+
+
 @query(
     "csv_sink",
     "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders",

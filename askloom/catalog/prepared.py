@@ -1,7 +1,7 @@
 """Search tables that several catalog queries share.
 
-They stand for stored indexes: each is written once per session and input folder
-under the scratch folder, and every query reads the files.
+Indexes are written once per session and input folder under the scratch folder, and
+every query reads the files; what is searched with them is searched each time.
 """
 
 from __future__ import annotations
@@ -74,22 +74,15 @@ def cell_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CellIndex]:
 
 def ranked_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The vector list and the lexical list of every benchmark query."""
-
-    def build() -> tuple[DataFrame, DataFrame]:
-        t = search_tables(spark, sf)
-        return (
-            land(vector_topk(t.chunks, t.queries, TOP), "nearest"),
-            land(lexical_topk(t.index, t.queries, TOP), "lexical-best"),
-        )
-
-    return _once(spark, sf, "lists", build)
+    t = search_tables(spark, sf)
+    return (
+        land(vector_topk(t.chunks, t.queries, TOP), "nearest"),
+        land(lexical_topk(t.index, t.queries, TOP), "lexical-best"),
+    )
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
-    def build() -> DataFrame:
-        return land(fuse_lists(*ranked_lists(spark, sf)), "fused")
-
-    return _once(spark, sf, "fused", build)
+    return land(fuse_lists(*ranked_lists(spark, sf)), "fused")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -586,11 +586,7 @@ def build_prompt(spark, sf):
 )
 def rag_context(spark, sf):
     t = prepared.search_tables(spark, sf)
-    return answering.rag_context(
-        prepared.fused(spark, sf),
-        t.chunks,
-        t.queries.select("query_id", "text"),
-        top=RERANK_TOP,
-        prompt=PROMPT,
-        min_rrf=_STRICT,
+    return answering.answer_queries(
+        tables.benchmark_queries(spark, sf), t.chunks, t.index, TOP,
+        top=RERANK_TOP, prompt=PROMPT, dim=tables.DIM, min_rrf=_STRICT,
     )

@@ -106,17 +106,14 @@ def strip_leading_digit(spark, sf):
     f"""WITH occurrences AS (SELECT unnest({sql_tokens('text')}) AS w FROM documents),
     counted AS (SELECT w, count(*) AS c FROM occurrences GROUP BY w)
     SELECT array_to_string(list_sort(string_split(w, '')), '') AS signature,
-           string_agg(w || ':' || c, ' ' ORDER BY w) AS members,
-           CAST(sum(c) AS BIGINT) AS n
-    FROM counted GROUP BY 1""",
+           w AS word, c AS n
+    FROM counted""",
 )
 def anagram_groups(spark, sf):
     words = texts(spark, sf, "documents", "text").select(
         F.explode(tx.simple_tokens(F.col("text"))).alias("w")
     )
-    grouped = analytics.anagram_groups(words, "w")
-    members = F.zip_with("words", "counts", lambda w, c: F.concat(w, F.lit(":"), c))
-    return grouped.select("signature", F.array_join(members, " ").alias("members"), "n")
+    return analytics.anagram_groups(words, "w")
 
 
 @query(

@@ -96,19 +96,13 @@ def majority_value(df: DataFrame, column: str) -> DataFrame:
 
 
 def anagram_groups(words: DataFrame, column: str) -> DataFrame:
-    """``(signature, words, counts, n)``: words with the same letters, sorted,
-    and how often each occurs. Repeats are counted first, so a group gathers
-    distinct words only."""
-    counted = words.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    grouped = counted.groupBy(letter_signature(F.col(column)).alias("signature")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(column).alias("w"), "_n"))).alias("_g"),
-        F.sum("_n").alias("n"),
-    )
-    return grouped.select(
-        "signature",
-        F.transform("_g", lambda g: g.getField("w")).alias("words"),
-        F.transform("_g", lambda g: g.getField("_n")).alias("counts"),
-        "n",
+    """``(signature, word, n)``: words with the same letters have one signature,
+    and ``n`` is how often each occurs. A row per distinct word, however many share
+    a signature; gather them where their number is known to be small."""
+    return (
+        words.groupBy(F.col(column).alias("word"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(letter_signature(F.col("word")).alias("signature"), "word", "n")
     )
 
 

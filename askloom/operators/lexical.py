@@ -97,11 +97,11 @@ def write_index(
     stored = spark.read.parquet(f"{path}/postings")
     document_frequencies(stored).write.mode("overwrite").parquet(f"{path}/terms")
     # The stored counts add up to all tokens, so texts are split once.
-    tokens = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-    totals = chunks.agg(F.count(F.lit(1)).alias("n_chunks")).join(F.broadcast(tokens))
+    tokens = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).scalar()
+    totals = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
     totals.select(
         "n_chunks",
-        (F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))).alias("avg_dl"),
+        (tokens / F.nullif("n_chunks", F.lit(0))).alias("avg_dl"),
         F.lit(buckets).alias("buckets"),
     ).write.mode("overwrite").parquet(f"{path}/totals")
     return read_index(spark, path)

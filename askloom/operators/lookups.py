@@ -6,29 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions.text import words
-from askloom.session import broadcast_if_small
+from askloom.session import fits_broadcast
 
 
 def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFrame:
-    """Replace every word found in ``lemmas(token, lemma)``; others stay. Words
-    are split on white space and rejoined with one blank.
+    """Replace every word found in ``lemmas(token, lemma)``; others stay. Words are
+    split on white space and rejoined with one blank. Of several lemmas of a token
+    the first in order counts. ``key`` must be unique.
 
-    Only the distinct words of a text that do change are joined and gathered
-    (usually few), then applied to the text in the row. ``key`` must be unique.
+    A dictionary measured to be small is one map that is applied in the row, without
+    a shuffle. A larger one is joined to the distinct words of each text, and what
+    was found is applied in the row.
     """
-    dictionary = broadcast_if_small(lemmas.where(F.col("token") != F.col("lemma")))
-    changes = (
-        df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
-        .join(dictionary, "token")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
+    known = (
+        lemmas.where(F.col("token") != F.col("lemma"))
+        .groupBy("token")
+        .agg(F.min("lemma").alias("lemma"))
     )
+    changes = F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes")
+    if fits_broadcast(known):
+        found = df.withColumn("_changes", known.agg(changes).scalar())
+    else:
+        words_of = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
+        found = df.join(words_of.join(known, "token").groupBy(key).agg(changes), key, "left")
     replaced = F.transform(
         words(F.col(text)),
         lambda word: F.coalesce(F.try_element_at(F.col("_changes"), word), word),
     )
-    return (
-        df.join(changes, key, "left")
-        .withColumn(text, F.array_join(replaced, " "))
-        .drop("_changes")
-    )
+    return found.withColumn(text, F.array_join(replaced, " ")).drop("_changes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from askloom.operators import context, fusion, gates
 from askloom.operators.lexical import LexicalIndex, lexical_topk
 from askloom.operators.rerank import PairScorer, rerank, term_coverage
-from askloom.operators.vectors import vector_topk
+from askloom.operators.vectors import CellIndex, Encoder, ann_topk, embed_text, vector_topk
 from askloom.session import broadcast_if_small, land
 
 
@@ -33,13 +33,20 @@ def hybrid_search(
     *,
     rrf_k: int = fusion.RRF_K,
     min_share: float = 1.0,
+    cells: CellIndex | None = None,
+    nprobe: int = 0,
 ) -> DataFrame:
     """k nearest chunks and k best term matches of every query, fused.
 
-    ``chunks(chunk_id, embedding, ...)``, ``queries(query_id, text, embedding)``.
+    ``chunks(chunk_id, embedding, ...)``, ``queries(query_id, text, embedding)``. With
+    ``cells``, chunks also have ``cell``, and the ``nprobe`` nearest are searched.
     """
+    if cells is None:
+        nearest = vector_topk(chunks, queries, k)
+    else:
+        nearest = ann_topk(chunks, queries, k, cells, nprobe)
     return fusion.fuse_lists(
-        vector_topk(chunks, queries, k),
+        nearest,
         lexical_topk(index, queries, k, min_share=min_share),
         rrf_k,
     )
@@ -89,3 +96,31 @@ def rag_context(
         F.when(F.col("route") == "answer", finished).alias("prompt"),
         "canned_answer",
     )
+
+
+def answer_queries(
+    queries: DataFrame,
+    chunks: DataFrame,
+    index: LexicalIndex,
+    k: int,
+    *,
+    top: int,
+    prompt: Prompt,
+    dim: int,
+    encoder: Encoder | None = None,
+    min_rrf: float = gates.MIN_RRF,
+    scorer: PairScorer = term_coverage,
+    **search: object,
+) -> DataFrame:
+    """From query texts (``query_id, text``) to prompts, as ``rag_context`` returns
+    them. Moderation comes first: only queries that it lets through are embedded,
+    once, and searched. ``search`` goes to ``hybrid_search``.
+    """
+    allowed = gates.moderation_gate(queries.select("query_id", "text")).where("is_allowed")
+    asked = land(
+        embed_text(allowed.select("query_id", "text"), "text", encoder=encoder, dim=dim), "asked"
+    )
+    fused = hybrid_search(chunks, index, asked, k, **search)
+    return rag_context(
+        fused, chunks, queries, top=top, prompt=prompt, min_rrf=min_rrf, scorer=scorer
+    )

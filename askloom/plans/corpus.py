@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.chunking import chunk_id, chunk_overlap
-from askloom.functions.text import chunk_source_text, prepare_document, words
+from askloom.functions.text import chunk_source_text, document_text, prepare_document, words
 from askloom.operators.assemble import best_answer_ties, qa_assemble
 from askloom.operators.vectors import Encoder, embed_text
 from askloom.sources import dumps
@@ -73,6 +73,22 @@ def prepare_chunk_rows(
     return embed_text(rows, "chunk_text", encoder=encoder, dim=dim)
 
 
+def document_texts(qa: DataFrame) -> DataFrame:
+    """``(question_id, answer_id, document_text)``: best answers, cleaned, as the
+    labelled text of each document."""
+    doc = prepare_document(
+        F.col("title"), F.col("tags"), F.col("question_body"), F.col("answer_body")
+    )
+    cleaned = best_answer_ties(qa).select("question_id", "answer_id", doc.alias("doc"))
+    return cleaned.select(
+        "question_id",
+        "answer_id",
+        document_text(
+            F.col("doc.title"), F.col("doc.tags"), F.col("doc.question"), F.col("doc.answer")
+        ).alias("document_text"),
+    )
+
+
 def prepare_corpus(qa: DataFrame, root: str, **options: object) -> DataFrame:
     """Best answers of all questions, chunked, embedded and stored."""
     return embedding_sink(prepare_chunk_rows(best_answer_ties(qa), **options), root)

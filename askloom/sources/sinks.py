@@ -101,6 +101,14 @@ def chunk_sink_contract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, checked.where(F.col("reason").isNotNull())
 
 
+def chunk_sink(chunks: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Store the chunks that meet the contract and whose ``chunk_id`` is new:
+    ``(stored table, rejects)``. A stored chunk wins; inside the input the lowest
+    chunk index does."""
+    valid, rejects = chunk_sink_contract(chunks)
+    return write_if_absent(valid, path, ["chunk_id"], ["chunk_index", "question_id", "answer_id", "chunk_text"]), rejects
+
+
 def csv_sink(
     df: DataFrame,
     path: str,
