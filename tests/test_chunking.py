@@ -86,3 +86,15 @@ def test_tokenizer_plug_in(spark):
     assert [tuple(r) for r in got.orderBy("id", "chunk_index").collect()] == [
         (1, 0, "abcd"), (1, 1, "cd"), (1, 2, "ef"), (1, 3, "efg"), (1, 4, "g"),
     ]
+
+
+def test_best_answers_to_document_texts(spark):
+    from askloom.plans.corpus import document_texts
+
+    qa = spark.createDataFrame(
+        [(1, 10, " The  Title", "<p>Q</p>", "<p>worse</p>", 5, 1, "x"), (1, 11, " The  Title", "<p>Q</p>", "<b>Best</b> one", 5, 3, "x")],
+        "question_id long, answer_id long, title string, question_body string, answer_body string, question_score int, answer_score int, tags string",
+    )
+    got = document_texts(qa).collect()
+    assert [(r.question_id, r.answer_id) for r in got] == [(1, 11)]
+    assert "the title" in got[0].document_text and "best one" in got[0].document_text

@@ -219,3 +219,47 @@ def test_hot_terms_are_cut(spark, monkeypatch):
     queries = spark.createDataFrame([(1, "red blue"), (2, "red")], "query_id int, text string")
     got = lx.all_terms_match(lx.lexical_index(chunks), queries)
     assert {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()} == {1: 25, 2: 50}
+
+
+def test_from_query_to_prompt(spark, tmp_path):
+    """Rejected queries are never embedded; cells serve the vector side."""
+    import pyarrow as pa
+
+    from askloom.plans import answering
+
+    chunks = spark.createDataFrame(
+        [(f"c{i}", i, f"red dog number {i}") for i in range(6)], "chunk_id string, chunk_index int, chunk_text string"
+    )
+    chunks = vc.embed_text(chunks, "chunk_text", dim=32)
+    index = lx.write_index(chunks, str(tmp_path / "terms"), buckets=4)
+    queries = spark.createDataFrame(
+        [(1, "red dog"), (2, "drop table now"), (3, "zebra")], "query_id int, text string"
+    )
+
+    def encoder(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            if any("drop table" in t for t in texts):
+                raise ValueError("a rejected query was embedded")
+            yield batch.append_column("embedding", pa.array([[1.0] * 32] * len(texts), pa.list_(pa.float32())))
+
+    prompt = answering.Prompt("S", ("Q ", " C ", " A"), "no", "nothing")
+    made = answering.answer_queries(queries, chunks, index, 3, top=2, prompt=prompt, dim=32, encoder=encoder)
+    got = {r.query_id: r for r in made.collect()}
+    assert got[2].route == "reject" and got[2].prompt is None and got[2].canned_answer == "unsafe"
+    assert got[1].route == "answer" and got[1].prompt.startswith("S\nQ red dog C [Source 1]")
+    cells = vc.fit_cells(chunks, 2)
+    celled = vc.assign_cells(chunks, cells)
+    asked = vc.embed_text(queries.where("query_id = 1"), "text", dim=32)
+    every = answering.hybrid_search(celled, index, asked, 3, cells=cells, nprobe=2)
+    plain = answering.hybrid_search(chunks, index, asked, 3)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(SimpleNamespace(conf=conf, sparkContext=context), "x")
