@@ -152,3 +152,22 @@ def test_checkpoints_and_checksums():
             len(ids), lanes, states, offsets, bytes(broken), checks,
             (symbol, start.astype(np.uint64), frequency.astype(np.uint64)),
         )
+
+
+def test_chunk_encoder_equals_library():
+    import random
+
+    made = token_files.ChunkEncoder(WORDS)
+    assert made.separable and made.chunks.plain
+    rng = random.Random(1)
+    letters = [*"ab THE  \n\t  'sé日😀1²٣.,-_\x1c\x85ΣİḰß", "<|endoftext|>", "it's", "We'll "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += [f"a{chr(c)} {chr(c)}B {chr(c)}.. x{chr(c)}y" for c in range(0x600) if not 0xD800 <= c < 0xE000]
+    for text, ids in zip(texts, made.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(text, WORDS), text
+
+
+def test_other_vocabularies_are_encoded_whole():
+    made = token_files.ChunkEncoder(BYTES)
+    assert not made.separable
+    assert np.frombuffer(made.encode(["a  b c"])[0], "<u4").tolist() == ids_of("a  b c")
