@@ -35,7 +35,7 @@ MISS = 1e-6
 #: Standard errors below the threshold at which an estimate still counts.
 MARGIN = 5.5
 #: Members of a bucket or family that are compared at once.
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 256
 #: Shingles of a family that are compared at once.
 BLOCK_SHINGLES = 1_000_000
 
