@@ -93,15 +93,33 @@ def test_repeats_in_noise(spark, seed):
     assert of(window_dedup.repeated_passages(docs, width=3, layout=SPREAD)) == brute_windows(rows, 3)
 
 
-def test_long_document_is_hashed_in_pieces(monkeypatch):
-    rng = np.random.default_rng(1)
-    data = rng.integers(97, 100, 3000).astype(np.uint8)
-    whole = suffix_dedup.minimizers(data, np.array([3000]), 50)[0]
+def test_every_string_has_one_minimizer(monkeypatch):
+    """Also across the pieces of a long document, and wherever the string stands."""
     import pyarrow as pa
 
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 100, 3000).astype(np.uint8).tobytes().decode()
+    texts = [text, text[500:900], "x" * 49, "", "y" + text[100:400], "z" * 200]
+
+    def hash_of_strings():
+        table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+        block = suffix_dedup.Block(table)
+        found = {}
+        for first, last, h in zip(*(x.tolist() for x in block.minimizers(50))):
+            for at in range(first, last + 1):
+                assert at not in found
+                found[at] = h
+        ends = np.concatenate([[0], block.ends])
+        whole = [a for x, y in zip(ends, ends[1:]) for a in range(x, y - 49)]
+        assert sorted(found) == whole
+        by_string = {}
+        for at, h in found.items():
+            assert by_string.setdefault(bytes(block.data[at : at + 50]), h) == h
+        return found
+
+    whole = hash_of_strings()
     monkeypatch.setattr(suffix_dedup, "_HASHED_AT_ONCE", 300)
-    table = pa.table({"doc_id": [1], "text": [data.tobytes().decode()]})
-    assert suffix_dedup.Block(table).minimizers(50)[0].tolist() == whole.tolist()
+    assert hash_of_strings() == whole
 
 
 def test_run_length_index():
