@@ -285,7 +285,13 @@ class Codec:
             self.word[word] = ids.astype("<u4").tobytes()
 
     def _learn_chunks(self, missing: set[str], into: dict[str, bytes], lead: str) -> None:
-        parts = {c: self.words.findall(lead + c) for c in missing}
+        parts = {}
+        for chunk in missing:
+            if found := _WORD.fullmatch(chunk):
+                word, marks = found.groups()
+                parts[chunk] = [lead + word, marks] if marks else [lead + word]
+            else:
+                parts[chunk] = self.words.findall(lead + chunk)
         self._learn_words({w for words in parts.values() for w in words})
         for chunk, words in parts.items():
             into[chunk] = b"".join([self.word[w] for w in words])
@@ -307,9 +313,9 @@ class Codec:
             if len(learnt) > REMEMBERED:
                 learnt.clear()
         self._learn_chunks({c[0] for _, c in simple} - self.first_chunk.keys(), self.first_chunk, "")
-        self._learn_chunks(
-            {c for _, chunks in simple for c in chunks[1:]} - self.chunk.keys(), self.chunk, " "
-        )
+        # A few first chunks are learnt here without need.
+        later = set().union(*(chunks for _, chunks in simple)) - self.chunk.keys()
+        self._learn_chunks(later, self.chunk, " ")
         look = self.chunk.__getitem__
         for i, chunks in simple:
             out[i] = self.first_chunk[chunks[0]] + b"".join(map(look, chunks[1:]))
@@ -332,6 +338,9 @@ class Codec:
 
 
 _BLANK_BETWEEN = re.compile(r"\s \s")
+# The most common chunk, a word of Latin letters and the ASCII marks after it, which
+# the pattern cuts in two.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
 def codec(path: str) -> Codec:
