@@ -16,12 +16,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askloom.session import land
+
 #: UTF-8 bytes of text that one block of documents holds on average, at least.
 BLOCK_BYTES = 16 << 20
 #: Text bytes whose digests one slice of the hash range answers for, at least.
 SLICE_BYTES = 6 << 20
 #: Null ids take this place in the order of documents: after all others.
 NO_ID = (1 << 63) - 1
+#: Column that tells stored rows apart, whatever their ids.
+ROW = "_row_key"
 
 
 def worker_store() -> dict:
@@ -29,14 +33,30 @@ def worker_store() -> dict:
     return sys.__dict__.setdefault("_askloom_llm", {})
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` as long and ``text``, null read as empty; other columns go."""
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """``doc_id`` as long and ``text``, null read as empty; columns but ``others`` go."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *others,
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` stored with a number of its own for every row, in ``ROW``."""
+    return land(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def by_row(keyed: DataFrame) -> DataFrame:
+    """``doc_id, text`` of numbered rows, where the number stands in for the id."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered rows but those whose number ``gone`` lists, without the number."""
+    return keyed.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
+
+
 def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` for a function from a batch to columns (or None)."""
     types = arrow_schema(df, schema)

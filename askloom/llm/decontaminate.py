@@ -11,9 +11,11 @@ pass; every candidate is verified on the words of both texts.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,18 +109,22 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINMEN
     items when called.
     """
     source = texts(docs)
+    found = None
+    for rows in _item_blocks(items):
+        made = _probe(source, rows, percent)
+        found = made if found is None else found.unionByName(made)
+    return found
+
+
+def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     asked = items.select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = None
     for k in range(blocks):
-        rows = [tuple(r) for r in asked.where(part == k).toLocalIterator()]
-        made = _probe(source, rows, percent)
-        found = made if found is None else found.unionByName(made)
-    return found
+        yield [tuple(r) for r in asked.where(part == k).toLocalIterator()]
 
 
 _SCHEMA = "doc_id long, item_id long, n_item long, n_shared long"
@@ -152,6 +158,25 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> Data
     return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
+    """``docs`` without the rows that contain an item, all columns kept. Every row is
+    judged by its own text, whatever its id. Items are read as by ``contained_items``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for rows in _item_blocks(items):
+        docs = docs.where(~_contains(docs.sparkSession.sparkContext.broadcast(rows), percent)(text))
+    return docs
+
+
+def _contains(shared: Broadcast, percent: int):
+    @F.arrow_udf("boolean")
+    def contains(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = Items(shared.value, percent)
+        for batch in texts:
+            yield pa.array([next(items.found_in(t.as_py()), None) is not None for t in batch], pa.bool_())
+
+    return contains
+
+
 SQL = f"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all({SQL_LOWER}, {SQL_WORD}) AS w FROM benchmark

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm.common import texts
+from askloom.llm.common import ROW, numbered, texts
 from askloom.operators.skew import spread_join
 from askloom.session import land, spread
 
@@ -52,8 +52,8 @@ class DigestIndex:
         new.repartition(self.buckets, "digest").write.insertInto(self.name)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    return texts(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+def digests(docs: DataFrame, *others: str) -> DataFrame:
+    return texts(docs, *others).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), *others)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -95,6 +95,26 @@ def keep_one(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+def keep_one_row(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """``docs`` with one row of each text, all columns kept: one with the largest
+    ``doc_id``, null being smaller than any other. Of a text that the index holds
+    already, only a row with its entry's id stays. Every row has a decision of its
+    own, so copies without an id or with the same id go too; which of rows with
+    equal id and text stays is open. Runs jobs, and extends the index."""
+    keyed = numbered(spread(docs))
+    found = land(digests(keyed, ROW), "digests")
+    groups = found.groupBy("digest").agg(F.max("doc_id").alias("doc_id"))
+    held = index.rows().hint("merge").select("digest", F.lit(True).alias("held"))
+    groups = land(groups.join(held, "digest", "left"), "digest-groups")
+    index.append(groups)
+    known = index.rows().hint("merge").select("digest", F.col("doc_id").alias("keep_id"))
+    named = spread_join(found, groups.select("digest", "held").join(known, "digest"), "digest").where(
+        F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("held").isNull() | F.col("keep_id").isNotNull())
+    )
+    stays = named.groupBy("digest").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return keyed.join(stays, ROW, "left_semi").drop(ROW)
+
+
 SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -21,7 +21,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import SQL_LOWER, SQL_WORD, mapped, mix, shingle_set, texts, word_hashes
+from askloom.llm.common import (
+    ROW,
+    SQL_LOWER,
+    SQL_WORD,
+    by_row,
+    mapped,
+    mix,
+    numbered,
+    shingle_set,
+    texts,
+    without,
+    word_hashes,
+)
 from askloom.llm.graphs import connected_components, in_blocks, labels, sorted_groups
 from askloom.operators.skew import spread_join
 from askloom.session import land
@@ -279,9 +291,21 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept."""
-    gone = near_dedup(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component of its rows, all columns kept: one
+    with the smallest ``doc_id``, null being larger than any other. Rows are linked
+    and dropped one by one, whatever their ids, so copies without an id or with the
+    same id go too; which of rows with equal ids stays is open. Texts without words
+    are linked with nothing and stay. Runs jobs, as ``near_dedup`` does."""
+    keyed = numbered(docs)
+    found = near_dedup(by_row(keyed), percent).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = keyed.select(ROW, F.col("doc_id").cast("long").alias("doc_id"))
+    rows = land(found.join(ids, ROW), "near-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(ROW).alias("row"))
+    first = (
+        rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(order)["row"].alias("first"))
+        .where("n > 1").drop("n")
+    )
+    return without(keyed, spread_join(rows, first, "component_id").where(F.col(ROW) != F.col("first")))
 
 
 SQL = f"""

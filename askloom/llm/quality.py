@@ -227,7 +227,14 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted bad, all columns kept. Rows that share an
-    id go if one of them is bad; so do rows without one."""
-    bad = classify(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows predicted bad, all columns kept. Every row is judged
+    by its own text, whatever its id. Runs jobs; a text is described once to learn and
+    once to judge it, so that no texts are stored."""
+    weights = fit(land(features(docs), "features"), labels)
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        values = np.array([shares(t) for t in text.to_pylist()]).reshape(-1, len(_NAMES))
+        return pa.array(probability(indicators(values) @ weights) >= THRESHOLD)
+
+    return docs.where(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))

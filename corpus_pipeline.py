@@ -2,8 +2,8 @@
 and benchmark leaks, then encode what is left.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``; all
-but the last return the columns they were given. Rows without ``doc_id`` share one
-decision in each filtering stage, as the operators describe.
+but the last return the columns they were given. Every row has a decision of its own
+in each filtering stage, also where ids are null or repeat.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.keep_one(docs, fresh_index(spark))
+    return exact_dedup.keep_one_row(docs, fresh_index(spark))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

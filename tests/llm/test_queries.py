@@ -54,3 +54,34 @@ def test_pipeline_stages_take_awkward_rows(spark, sf, awkward, nothing):
                 assert made.columns == docs.columns, name
             assert made.count() <= docs.count(), name
     assert bpe.round_trip(awkward).count() == awkward.count()
+
+
+def test_pipeline_decides_row_by_row(spark, sf):
+    """Null ids and repeated ids: a poor, copied or leaking row takes no other with it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    score = {r.doc_id: r.score for r in queries.op6_quality_classifier(spark, sf).collect()}
+    good, bad = (texts[f(score, key=score.get)] for f in (max, min))
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    words = [f"w{i}" for i in range(80)]
+    near = [" ".join(words), " ".join(words[:-1] + ["other"])]
+    clean = ["one clean text without an id", "a second clean text of its own"]
+
+    def left(stage, some):
+        made = spark.createDataFrame(some, "doc_id long, text string")
+        return sorted((tuple(r) for r in stage(spark, made, sf).collect()), key=repr)
+
+    def same(got, want):
+        assert got == sorted(want, key=repr)
+
+    for i in (None, 10**9):
+        kept = left(corpus_pipeline.keep_good_quality, [*texts.items(), (i, good), (i, bad)])
+        assert (i, good) in kept and (i, bad) not in kept
+        same(left(corpus_pipeline.drop_exact_copies, [(i, clean[0]), (i, clean[0]), (i, clean[1]), (5, near[0])]),
+             [(i, clean[0]), (i, clean[1]), (5, near[0])])
+        same(left(corpus_pipeline.drop_near_copies, [(i, near[0]), (i, near[0]), (i, clean[0]), (i, clean[1])]),
+             [(i, near[0]), (i, clean[0]), (i, clean[1])])
+        same(left(corpus_pipeline.drop_benchmark_leaks, [(i, leak), (i, clean[0]), (i, clean[1])]),
+             [(i, clean[0]), (i, clean[1])])
+    same(left(corpus_pipeline.drop_exact_copies, [(None, near[0]), (3, near[0]), (4, near[0])]), [(4, near[0])])
+    same(left(corpus_pipeline.drop_near_copies, [(None, near[0]), (4, near[0]), (3, near[1])]), [(3, near[1])])
