@@ -11,14 +11,17 @@ from askloom.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    fill_middle,
+    hard_negatives,
     near_dedup,
     ngram_lm,
+    pieces,
     quality,
     suffix_dedup,
     token_files,
     window_dedup,
 )
-from askloom.session import scratch_folder, spread
+from askloom.session import land, scratch_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +82,19 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.repeated_strings(_documents(spark, sf))
 
 
+def op11_piece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.round_trip(_documents(spark, sf))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.mine(_read(spark, sf, "embeddings"), label=hard_negatives.changed_label())
+
+
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    stored = land(fill_middle.store(_documents(spark, sf)), "frames")
+    return fill_middle.digests(fill_middle.fill_in_middle(stored))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -90,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "op8_window_dedup": op8_window_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_piece_round_trip": op11_piece_round_trip,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 SQL: dict[str, str] = {
     "op1_chat_perspectives": chat.SQL,
@@ -97,4 +116,6 @@ SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_window_dedup": window_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_fill_in_middle": fill_middle.SQL,
 }

@@ -17,7 +17,7 @@ from .test_tokens import expected  # noqa: E402
 
 
 def test_names():
-    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
