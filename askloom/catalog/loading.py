@@ -28,6 +28,15 @@ def csv_staging_scan(spark, sf):
     return dumps.read_questions(spark, _dumped(spark, tables.questions(spark, sf), "questions"))
 
 
+@query("csv_split_scan", f"WITH {SQL_QUESTIONS} SELECT CAST(\"Id\" AS VARCHAR) AS \"Id\", "
+       '"OwnerUserId", "CreationDate", "ClosedDate", CAST("Score" AS VARCHAR) AS "Score", '
+       '"Title", "Body" FROM questions')
+def csv_split_scan(spark, sf):
+    """The same rows, with every multi-line file read in splits."""
+    path = _dumped(spark, tables.questions(spark, sf), "questions")
+    return dumps.read_questions(spark, path, one_task_bytes=0)
+
+
 @query(
     "stage_questions",
     f"""WITH {SQL_QUESTIONS}

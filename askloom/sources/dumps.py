@@ -7,6 +7,7 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askloom.sources.records import can_split, read_csv_records
 from askloom.sources.schemas import (
     ANSWER_COLUMNS,
     QUESTION_COLUMNS,
@@ -15,6 +16,10 @@ from askloom.sources.schemas import (
 )
 
 
+#: A multi-line file up to this size is read by one task; a larger one in splits.
+ONE_TASK_BYTES = 64 << 20
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -24,6 +29,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file that a path, folder or glob names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    most, left = 0, [status.getPath() for status in files.globStatus(target) or ()]
+    while left:
+        for status in files.listStatus(left.pop()):
+            if status.isDirectory():
+                left.append(status.getPath())
+            else:
+                most = max(most, status.getLen())
+    return most
+
+
 def required_inputs(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Fail with a list of all inputs that are missing."""
     missing = [f"{name}: {path}" for name, path in paths.items() if not path_exists(spark, path)]
@@ -41,17 +61,22 @@ def read_dump(
     limit: int | None = None,
     null_value: str = "NA",
     multi_line: bool = True,
+    one_task_bytes: int = ONE_TASK_BYTES,
 ) -> DataFrame:
     """Text columns of a CSV dump with a header; fields may hold line breaks.
 
-    A multi-line CSV file is read by one task, so a large dump should come as
-    many files, and is best written to Parquet once (``plans.corpus``). Turn
-    ``multi_line`` off for dumps without line breaks: those are split.
+    Small multi-line files are read by one task each. If one is larger than
+    ``one_task_bytes``, all are read in splits (``records.read_csv_records``), which
+    stores the numbered lines once; encodings that can't be split stay with one task.
+    Turn ``multi_line`` off for dumps without line breaks: those are split anyhow.
     """
     required_inputs(spark, {"dump": path})
     left = [name for name in columns if name not in set(drop_columns)]
     if not left:
         raise ValueError("no columns are left")
+    if multi_line and can_split(encoding) and largest_file(spark, path) > one_task_bytes:
+        dump = read_csv_records(spark, path, columns, encoding=encoding, null_value=null_value).select(*left)
+        return dump if limit is None else dump.limit(limit)
     reader = (
         spark.read.schema(text_schema(columns))
         .option("header", True)

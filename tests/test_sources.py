@@ -1,8 +1,11 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from askloom.plans.corpus import load_corpus, prepare_corpus
-from askloom.sources import dumps, sinks
+from askloom.sources import dumps, records, sinks
 
 QUESTIONS = (
     "Id,OwnerUserId,CreationDate,ClosedDate,Score,Title,Body\n"
@@ -142,3 +145,61 @@ def test_document_batches(spark, sf):
 def test_rename(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert dumps.rename_columns(df, {"a": "b", "zz": "y"}).columns == ["b"]
+
+
+def hard_csv(path, rows, ends, encoding="latin-1"):
+    with open(path, "w", encoding=encoding, newline="") as file:
+        writer = csv.writer(file, lineterminator=ends)
+        writer.writerow(["Id", "x", "y"])
+        writer.writerows(rows)
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_one_large_file_is_read_in_splits(spark, tmp_path, ends):
+    """The rows and their order are those of the one-task reader, wherever a border lies."""
+    rng = random.Random(3)
+    parts = ["a", '"', ",", "\n", "\r\n", "é", "NA", " ", "xx", '""', "\n\n"]
+    rows = [[i, *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in "xy")] for i in range(300)]
+    rows.insert(150, ["long", "line\n" * 900, '",\n' * 300])  # longer than a split
+    path = str(tmp_path / "hard.csv")
+    hard_csv(path, rows, ends)
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in sizes}
+    columns = ("Id", "x", "y")
+    want = [tuple(r) for r in dumps.read_dump(spark, path, columns).collect()]
+    assert len(want) == 301
+    try:
+        spark.conf.set(sizes[0], "1000b")
+        spark.conf.set(sizes[1], "1b")
+        assert records.numbered_lines(spark, path, "ISO-8859-1").rdd.getNumPartitions() >= 8
+        got = records.read_csv_records(spark, path, columns, encoding="ISO-8859-1", null_value="NA", arrival=True)
+        inside = records.numbered_lines(spark, path, "ISO-8859-1").where("at = 1 AND split > 0")
+        spark.conf.set(sizes[0], "100000b")
+        got = got.orderBy(*records.ARRIVAL).drop(*records.ARRIVAL)
+        assert [tuple(r) for r in got.collect()] == want
+        spark.conf.set(sizes[0], "1000b")
+        # Some splits begin inside a quoted field.
+        marks = [r["line"] for r in inside.where("split BETWEEN 4000 AND 9000").collect()]
+        assert any("," not in line or line.startswith('""') for line in marks)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_split_reader_options(spark, tmp_path, dump):
+    same = [dumps.read_questions(spark, dump["questions"], one_task_bytes=n).collect() for n in (0, 1 << 20)]
+    assert sorted(map(repr, same[0])) == sorted(map(repr, same[1]))
+    one = dumps.read_tags(spark, dump["tags"], one_task_bytes=0, drop_columns={"Id"}, limit=2)
+    assert one.columns == ["Tag"] and one.count() == 2
+    assert dumps.largest_file(spark, str(tmp_path)) == len(QUESTIONS.encode("latin-1"))
+    bad = tmp_path / "bad.csv"
+    bad.write_text("Id,Other\n1,a\n")
+    with pytest.raises(ValueError, match="header"):
+        dumps.read_tags(spark, str(bad), one_task_bytes=0)
+    bad.write_text("﻿Id,Tag\n1,a,b,c\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        dumps.read_tags(spark, str(bad), one_task_bytes=0, encoding="UTF-8").collect()
+    bad.write_text("Id,Tag\n")
+    assert dumps.read_tags(spark, str(bad), one_task_bytes=0).count() == 0
+    with pytest.raises(ValueError, match="split"):
+        records.read_records(spark, str(bad), encoding="UTF-16")
