@@ -58,6 +58,16 @@ def search_tables(spark: SparkSession, sf: str) -> SearchTables:
     return _once(spark, sf, "search", build)
 
 
+def positional_index(spark: SparkSession, sf: str) -> LexicalIndex:
+    """Term index of the chunks with the places of the terms."""
+
+    def build() -> LexicalIndex:
+        chunks = search_tables(spark, sf).chunks
+        return write_index(chunks, scratch_folder(spark, "positions"), buckets=8, positions=True)
+
+    return _once(spark, sf, "positions", build)
+
+
 def cell_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CellIndex]:
     """The embeddings table stored by cell, and its centroids."""
 

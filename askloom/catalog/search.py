@@ -9,8 +9,9 @@ from askloom.catalog import prepared, tables
 from askloom.catalog.prepared import ANY_SHARE, TOP
 from askloom.catalog.registry import query
 from askloom.catalog.tables import SQL_CHUNKS, SQL_QUERIES, sql_tokens, sql_vectors
-from askloom.operators import context, fusion, gates, lexical, rerank, vectors
+from askloom.operators import context, fusion, gates, lexical, rerank, segments, vectors
 from askloom.plans import answering
+from askloom.session import scratch_folder
 
 RERANK_TOP = 5
 #: Of ten cells; the recall of 0.9 that a test asks for needs so many, as the vectors
@@ -222,6 +223,70 @@ def any_term_topk(spark, sf):
     )
 
 
+@query(
+    "index_appends",
+    f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {_sql_lexical(ANY_SHARE)}
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best_terms""",
+)
+def index_appends(spark, sf):
+    """The search over an index that was built by two appends and a delete: a fourth
+    of the chunks come with other texts first, and some that are no chunks go again."""
+    t = prepared.search_tables(spark, sf)
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+    other = t.chunks.where(part == 0).select("chunk_id", F.reverse("chunk_text").alias("chunk_text"))
+    extra = t.chunks.where(part == 1).select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "chunk_text")
+    index = segments.SegmentedIndex(spark, scratch_folder(spark, "segments"), buckets=8)
+    index.append(t.chunks.where(part >= 2).select("chunk_id", "chunk_text").unionByName(other).unionByName(extra))
+    index.append(t.chunks.where(part < 2).select("chunk_id", "chunk_text"))
+    index.delete(extra.select("chunk_id"))
+    return lexical.any_term_topk(index.read(), t.queries, TOP, min_share=ANY_SHARE).withColumn(
+        "score", F.round("score", 6)
+    )
+
+
+def _sql_covers(min_share: float) -> str:
+    """Covers by comparing all places of a query's terms in a chunk with each other."""
+    return f"""
+tokens AS (SELECT chunk_id, {sql_tokens('chunk_text')} AS ts FROM chunks),
+placed AS (
+  SELECT chunk_id, ts[i] AS term, i FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM tokens)),
+asked AS (
+  SELECT query_id, len(ts) AS n_terms, unnest(ts) AS term
+  FROM (SELECT query_id, list_distinct({sql_tokens('text')}) AS ts FROM queries)),
+spots AS (SELECT query_id, chunk_id, n_terms, term, i FROM asked JOIN placed USING (term)),
+held AS (
+  SELECT query_id, chunk_id, count(DISTINCT term) AS n FROM spots GROUP BY query_id, chunk_id, n_terms
+  HAVING count(DISTINCT term) >= greatest(1, ceil(round(n_terms * {min_share}, 9)))),
+lasts AS (
+  SELECT a.query_id, a.chunk_id, n, a.i AS stop, b.term, max(b.i) AS last
+  FROM held JOIN spots a USING (query_id, chunk_id) JOIN spots b
+    ON b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.i <= a.i GROUP BY ALL),
+runs AS (
+  SELECT query_id, chunk_id, n, stop, min(last) AS start FROM lasts
+  GROUP BY ALL HAVING count(*) = n),
+covers AS (
+  SELECT query_id, chunk_id, n, start, min(stop) AS stop FROM runs GROUP BY query_id, chunk_id, n, start),
+dense AS (
+  SELECT query_id, chunk_id, CAST(count(*) AS INTEGER) AS n_covers,
+         round(sum(n::DOUBLE / (stop - start + 1)), 9) AS score FROM covers GROUP BY query_id, chunk_id),
+nearest_terms AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER)
+              AS rank FROM dense)"""
+
+
+@query(
+    "proximity_topk",
+    f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {_sql_covers(ANY_SHARE)}
+    SELECT query_id, chunk_id, n_covers, round(score, 6) AS score, rank
+    FROM nearest_terms WHERE rank <= {TOP}""",
+)
+def proximity_topk(spark, sf):
+    t, index = prepared.search_tables(spark, sf), prepared.positional_index(spark, sf)
+    return lexical.proximity_topk(index, t.queries, TOP, min_share=ANY_SHARE).withColumn(
+        "score", F.round("score", 6)
+    )
+
+
 # --------------------------------------------------------------------------
 # fusion
 

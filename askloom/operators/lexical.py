@@ -27,17 +27,20 @@ TERM_BUCKETS = 256
 SCORE_DIGITS = 9
 
 
-def postings(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
+def postings(chunks: DataFrame, text: str = "chunk_text", positions: bool = False) -> DataFrame:
     """``(term, chunk_id, tf, dl)``: one row per term and chunk; ``dl`` is the
-    chunk's token count. Grouping by term and chunk keeps a term that occurs
-    everywhere spread over all partitions, and the rows of a chunk are combined
-    before the shuffle."""
+    chunk's token count. With ``positions``, also the term's places in the chunk,
+    in order. Grouping by term and chunk keeps a term that occurs everywhere spread
+    over all partitions, and the rows of a chunk are combined before the shuffle."""
     tokens = chunks.select("chunk_id", simple_tokens(F.col(text)).alias("_tokens"))
+    counts = [F.count(F.lit(1)).cast("int").alias("tf")]
+    if positions:
+        counts.append(F.array_sort(F.collect_list("position")).alias("positions"))
     return (
-        tokens.select("chunk_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
+        tokens.select("chunk_id", F.size("_tokens").alias("dl"), F.posexplode("_tokens").alias("position", "term"))
         .groupBy("term", "chunk_id", "dl")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        .select("term", "chunk_id", "tf", "dl")
+        .agg(*counts)
+        .select("term", "chunk_id", "tf", "dl", *(["positions"] if positions else []))
     )
 
 
@@ -71,22 +74,24 @@ def corpus_totals(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     )
 
 
-def lexical_index(chunks: DataFrame, text: str = "chunk_text") -> LexicalIndex:
-    posted = postings(chunks, text)
+def lexical_index(chunks: DataFrame, text: str = "chunk_text", positions: bool = False) -> LexicalIndex:
+    posted = postings(chunks, text, positions)
     return LexicalIndex(posted, document_frequencies(posted), corpus_totals(chunks, text))
 
 
 def write_index(
-    chunks: DataFrame, path: str, text: str = "chunk_text", buckets: int = TERM_BUCKETS
+    chunks: DataFrame, path: str, text: str = "chunk_text", buckets: int = TERM_BUCKETS,
+    positions: bool = False,
 ) -> LexicalIndex:
-    """Store the index: postings in one folder per term bucket, in term order.
+    """Store the index: postings in one folder per term bucket, in term order, with
+    the places of the terms if asked for.
 
     Tasks write ranges of (bucket, term, chunk), so a folder has few files and the
     postings of a very common term are still written by many tasks.
     """
     spark = chunks.sparkSession
     (
-        postings(chunks, text)
+        postings(chunks, text, positions)
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
         .repartitionByRange("bucket", "term", "chunk_id")
         .sortWithinPartitions("bucket", "term", "chunk_id")
@@ -156,9 +161,11 @@ def _in_buckets(index: LexicalIndex, probes: DataFrame) -> DataFrame:
     return index.postings.where(F.col("bucket").isin([row["bucket"] for row in used]))
 
 
-def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) -> DataFrame:
-    """``(query_id, chunk_id, n_terms, needed, term, df, tf, dl)``, one row per
-    matched term of every candidate.
+def _matched_terms(
+    index: LexicalIndex, queries: DataFrame, min_share: float, *more: str
+) -> DataFrame:
+    """``(query_id, chunk_id, n_terms, needed, term, df, tf, dl)`` and columns ``more``
+    of the postings, one row per matched term of every candidate.
 
     The query plans and the lookups of the candidates are written to the scratch
     folder, computed once and measured. Small lookups are shipped to the postings
@@ -200,7 +207,7 @@ def _matched_terms(index: LexicalIndex, queries: DataFrame, min_share: float) ->
         "query_id", "chunk_id", "n_terms", "needed", F.explode("known").alias("_known")
     ).select("query_id", "chunk_id", "n_terms", "needed", "_known.term", "_known.df")
     lookups = land(lookups, "lookups")
-    posted = _in_buckets(index, terms).select("term", "chunk_id", "tf", "dl")
+    posted = _in_buckets(index, terms).select("term", "chunk_id", "tf", "dl", *more)
     if fits_broadcast(lookups):
         return posted.join(F.broadcast(lookups), ["chunk_id", "term"])
     chunk_ids = lookups.select("chunk_id").distinct()
@@ -274,3 +281,53 @@ def any_term_topk(
     """``lexical_topk`` with a share of the terms as the condition: long
     questions seldom have a chunk with all their terms."""
     return lexical_topk(index, queries, k, min_share=min_share, **bm25)
+
+
+def proximity_topk(
+    index: LexicalIndex, queries: DataFrame, k: int, *, min_share: float = 1.0
+) -> DataFrame:
+    """Matching chunks by how near their matched terms stand to each other, k best
+    per query: ``(query_id, chunk_id, n_covers, score, rank)``. The index has to hold
+    positions.
+
+    A cover is a run of tokens that holds every matched term and no smaller such run.
+    The score is the sum over all covers of terms by length, so terms side by side
+    count one, and terms far apart next to nothing (cover density, Clarke, Cormack and
+    Tudhope 2000). Equal scores are ordered by chunk id. A chunk's covers are found in
+    one pass over the places of the query's terms in it.
+    """
+    if "positions" not in index.postings.columns:
+        raise ValueError("the index has no positions")
+    matched = (
+        _matched_terms(index, queries, min_share, "positions")
+        .groupBy("query_id", "chunk_id", "needed")
+        .agg(F.collect_list("positions").alias("_places"))
+        .where(F.size("_places") >= F.col("needed"))
+    )
+    places = F.transform(
+        "_places", lambda at, term: F.transform(at, lambda p: F.struct(p.alias("at"), term.alias("term")))
+    )
+    # Last place of each term so far; the earliest of them begins a run that ends
+    # here, and the run is a cover if that beginning is new.
+    start = F.struct(
+        F.transform("_places", lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("begin"),
+        F.lit(0).alias("n"), F.lit(0.0).alias("sum"),
+    )
+
+    def step(seen: Column, here: Column) -> Column:
+        last = F.transform(seen["last"], lambda x, i: F.when(i == here["term"], here["at"]).otherwise(x))
+        begin = F.array_min(last)
+        new = begin > seen["begin"]
+        part = F.size(seen["last"]).cast("double") / (here["at"] - begin + 1)
+        return F.struct(
+            last.alias("last"), begin.alias("begin"),
+            (seen["n"] + F.when(new, 1).otherwise(0)).alias("n"),
+            (seen["sum"] + F.when(new, part).otherwise(0.0)).alias("sum"),
+        )
+
+    covers = F.aggregate(F.array_sort(F.flatten(places)), start, step)
+    scored = matched.select("query_id", "chunk_id", covers.alias("_c")).select(
+        "query_id", "chunk_id", F.col("_c.n").alias("n_covers"), F.round("_c.sum", SCORE_DIGITS).alias("score")
+    )
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
