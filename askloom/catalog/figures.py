@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from askloom.catalog.registry import query
 from askloom.catalog.tables import table
 from askloom.operators import analytics, sequences
+from askloom.sources.arrival import read_in_order
+from askloom.sources.sinks import insert_if_absent
 
 
 def _sales(spark, sf):
@@ -220,6 +222,32 @@ def top_k_frequent(spark, sf):
     return analytics.top_k_frequent(table(spark, sf, "lineitem"), "l_partkey", 10)
 
 
+@query(
+    "top_k_first_seen",
+    """SELECT o_custkey, count(*) AS n, min(place) AS first_row
+    FROM (SELECT o_custkey, row_number() OVER () - 1 AS place FROM orders) GROUP BY o_custkey
+    ORDER BY n DESC, first_row LIMIT 10""",
+)
+def top_k_first_seen(spark, sf):
+    """Equal counts by the first row in the file."""
+    rows = read_in_order(spark, f"{sf}/orders.parquet")
+    top = analytics.top_k_frequent(rows, "o_custkey", 10, arrival="arrival")
+    return top.select("o_custkey", "n", F.col("arrival.row").alias("first_row"))
+
+
+@query(
+    "insert_first_seen",
+    """SELECT o_custkey, o_orderkey FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY place) AS first FROM (
+        SELECT o_custkey, o_orderkey, row_number() OVER () AS place FROM orders)) WHERE first = 1""",
+)
+def insert_first_seen(spark, sf):
+    """Of several rows with a key, the one that stands first in the file is inserted."""
+    rows = read_in_order(spark, f"{sf}/orders.parquet").select("arrival", "o_custkey", "o_orderkey")
+    made = insert_if_absent(rows, rows.where("false"), ["o_custkey"], ["arrival"])
+    return made.select("o_custkey", "o_orderkey")
+
+
 @query(
     "majority_value",
     """SELECT role, count(*) AS n FROM conversations GROUP BY role

@@ -110,6 +110,46 @@ def quality_gauges(spark, sf):
     return _plain_times(monitor.quality_gauges(request_log(spark, sf), "1 hour"))
 
 
+_GAUGE_VALUES = " UNION ALL ".join(
+    f"SELECT '{gauge}' AS gauge, ts, event_id, {value}::DOUBLE AS value FROM events WHERE event_type = '{kind}'"
+    for gauge, kind, value in (
+        ("retrieved_chunks", "view", _K), ("reranked_chunks", "click", _K),
+        ("best_rrf", "purchase", "value"), ("best_rerank", "signup", "value"),
+    )
+)
+
+
+@query(
+    "carried_gauges",
+    f"""WITH readings AS ({_GAUGE_VALUES}),
+    known AS (
+      SELECT gauge, time_bucket(INTERVAL 10 minutes, ts) AS w, arg_max(value, (ts, event_id)) AS value
+      FROM readings WHERE value IS NOT NULL GROUP BY ALL),
+    spans AS (SELECT min(w) AS a, max(w) AS b FROM known),
+    steps AS (SELECT unnest(generate_series(a, b, INTERVAL 10 minutes)) AS w FROM spans),
+    gauges AS (SELECT gauge, min(w) AS first FROM known GROUP BY gauge)
+    SELECT gauge, s.w AS window_start, s.w + INTERVAL 10 minutes AS window_end, value
+    FROM (SELECT gauge, w FROM steps JOIN gauges ON w >= first) s ASOF JOIN known k USING (gauge, w)""",
+)
+def carried_gauges(spark, sf):
+    return _plain_times(monitor.carried_gauges(request_log(spark, sf), "10 minutes"))
+
+
+@query(
+    "request_steps",
+    """SELECT s.event_id, s.user_id AS request_id, epoch(s.ts - r.ts)::DOUBLE AS seconds
+    FROM events s JOIN events r ON s.user_id = r.user_id AND s.event_type = 'click'
+     AND r.event_type = 'view' AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 6 hours""",
+)
+def request_steps(spark, sf):
+    events = table(spark, sf, "events").select(
+        "event_id", F.col("user_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
+    )
+    views, clicks = (events.where(F.col("event_type") == kind) for kind in ("view", "click"))
+    found = monitor.request_steps(views, clicks, "6 hours")
+    return found.select("event_id", "request_id", "seconds")
+
+
 @query(
     "fallbacks_by_reason",
     f"""SELECT {_HOUR}, CASE WHEN {_K} < 50 THEN 'no_chunks' ELSE 'low_retrieval_confidence' END

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askloom.functions.text import letter_signature
 from askloom.session import broadcast_if_small
@@ -82,16 +87,65 @@ def duplicate_values(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def top_k_frequent(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The k most frequent values; equal counts by value."""
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(F.col("n").desc(), F.col(column)).limit(k)
+def top_k_frequent(df: DataFrame, column: str, k: int, *, arrival: str | None = None) -> DataFrame:
+    """The k most frequent values; equal counts by value, or by the first place in
+    the order of column ``arrival`` (``sources.arrival``), which comes along then."""
+    count = F.count(F.lit(1)).alias("n")
+    if arrival is None:
+        return df.groupBy(column).agg(count).orderBy(F.col("n").desc(), F.col(column)).limit(k)
+    counted = df.groupBy(column).agg(count, F.min(arrival).alias(arrival))
+    return counted.orderBy(F.col("n").desc(), F.col(arrival)).limit(k)
+
+
+def majority_candidate(df: DataFrame, column: str) -> DataFrame:
+    """``value, weight``: the only value that can be held by more than half of all
+    rows (none in an empty table).
+
+    Each task keeps one value and how much it outweighs all others there (Boyer and
+    Moore 1991, Agarwal et al. 2012). A value in more than half of all rows outweighs
+    the other tasks' values together, so it is the heaviest: a shuffle row per task.
+    """
+    kind = df.schema[column].dataType
+    value = F.col(column) + 0.0 if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(column)
+    schema = T.StructType([T.StructField("value", kind), T.StructField("weight", T.LongType())])
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts = pc.value_counts(batch.column(0))
+            top = pc.index(counts.field("counts"), pc.max(counts.field("counts"))).as_py()
+            here = 2 * counts.field("counts")[top].as_py() - batch.num_rows
+            found = counts.field("values").slice(top, 1)
+            if here <= 0:
+                continue
+            if held is None or not weight:
+                held, weight = found, here
+            elif repr(held[0]) == repr(found[0]):  # NaN is one value
+                weight += here
+            elif here > weight:
+                held, weight = found, here - weight
+            else:
+                weight -= here
+        if held is not None and weight:
+            yield pa.RecordBatch.from_arrays([held, pa.array([weight], pa.int64())], names=["value", "weight"])
+
+    return (
+        df.select(value.cast(kind).alias("value")).mapInArrow(summarise, schema)
+        .groupBy("value").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight")).limit(1)
+    )
 
 
 def majority_value(df: DataFrame, column: str) -> DataFrame:
-    """The value held by more than half of all rows (floor of half), if any."""
+    """The value held by more than half of all rows (floor of half), if any, null
+    included. Two scans; what is shuffled is a value per task and a count."""
     total = df.select(F.count(F.lit(1))).scalar()
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    candidate = F.broadcast(majority_candidate(df, column).select(F.col("value").alias("_value")))
+    counted = (
+        df.select(column).join(candidate, F.col(column).eqNullSafe(F.col("_value")))
+        .groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    )
     return counted.where(F.col("n") > F.floor(total / 2))
 
 

@@ -12,7 +12,8 @@ from askloom.session import fits_broadcast
 def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFrame:
     """Replace every word found in ``lemmas(token, lemma)``; others stay. Words are
     split on white space and rejoined with one blank. Of several lemmas of a token
-    the first in order counts. ``key`` must be unique.
+    the first in order counts. ``key`` may be null or repeat: rows that share one look
+    their words up together.
 
     A dictionary measured to be small is one map that is applied in the row, without
     a shuffle. A larger one is joined to the distinct words of each text, and what
@@ -23,12 +24,15 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFram
         .groupBy("token")
         .agg(F.min("lemma").alias("lemma"))
     )
-    changes = F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes")
+    changes = F.map_from_entries(F.collect_set(F.struct("token", "lemma"))).alias("_changes")
     if fits_broadcast(known):
         found = df.withColumn("_changes", known.agg(changes).scalar())
     else:
-        words_of = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
-        found = df.join(words_of.join(known, "token").groupBy(key).agg(changes), key, "left")
+        words_of = df.select(
+            F.col(key).alias("_key"), F.explode(F.array_distinct(words(F.col(text)))).alias("token")
+        )
+        per_key = words_of.join(known, "token").groupBy("_key").agg(changes)
+        found = df.join(per_key, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     replaced = F.transform(
         words(F.col(text)),
         lambda word: F.coalesce(F.try_element_at(F.col("_changes"), word), word),

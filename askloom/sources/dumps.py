@@ -154,13 +154,9 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def read_documents(spark: SparkSession, path: str, batch_rows: int | None = None) -> DataFrame:
-    """Stored documents. ``batch_rows`` sets the Arrow batch size that model
-    plug-ins see."""
-    if batch_rows is not None:
-        if batch_rows <= 0:
-            raise ValueError("batch_rows must be positive")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Stored documents. For models that take a number of rows at a time, wrap them
+    with ``batches.in_batches``."""
     return spark.read.parquet(path)
 
 

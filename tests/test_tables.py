@@ -2,10 +2,14 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from askloom.operators import analytics, assemble, sequences, skew
+from askloom.sources.arrival import read_in_order
+from askloom.sources.batches import in_batches
+from askloom.sources.sinks import insert_if_absent
 
 
 def rows(df, *columns):
@@ -215,3 +219,66 @@ def test_quantities(spark):
     units = spark.createDataFrame(list(analytics.UNIT_MILLILITRES.items()), "unit string, millilitres double")
     got = rows(analytics.quantity_parse(lines, "line", units), "id", "quantity", "unit", "ingredient")
     assert got == [(1, 200.0, "ml", "молока"), (2, 2500.0, "ml", "воды из крана"), (3, 3.0, "шт", "яиц"), (4, None, None, None)]
+
+
+@pytest.mark.parametrize("values", [
+    [], [1], [None, None, 1], [None, 2], [1, 1, 2, 2], [3, 3, 3, 1, 2], [5] * 30 + list(range(29)), [5] * 30 + list(range(30)),
+])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_majority_by_task_summaries(spark, values, parts):
+    counts = Counter(values)
+    want = [(v, n) for v, n in counts.items() if n > len(values) // 2]
+    made = analytics.majority_value(numbers(spark, values).repartition(parts), "x")
+    assert [tuple(r) for r in made.collect()] == want
+
+
+def test_majority_of_doubles(spark):
+    nan = float("nan")
+    frame = spark.createDataFrame([(nan,), (nan,), (1.0,), (nan,), (0.0,)], "x double").repartition(3)
+    assert str(analytics.majority_value(frame, "x").collect()[0]["x"]) == "nan"
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double").coalesce(1)
+    assert [tuple(r) for r in analytics.majority_value(zeros, "x").collect()] == [(0.0, 2)]
+
+
+def test_majority_shuffles_no_distinct_values(spark):
+    """What is shuffled is a row per task, however many values there are."""
+    frame = spark.range(20_000).selectExpr("id % 9999 AS x").repartition(6)
+    made = analytics.majority_candidate(frame, "x")
+    assert made.count() <= 1
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("MapInArrow")  # values are grouped after the summaries only
+
+
+def test_first_in_input_order(spark, tmp_path):
+    path, later = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.createDataFrame([("y", 1), ("x", 2), ("z", 3), ("x", 4), ("y", 5)], "k string, v int").coalesce(1).write.parquet(path)
+    spark.createDataFrame([("w", 6), ("z", 7), ("w", 8)], "k string, v int").coalesce(1).write.parquet(later)
+    both = read_in_order(spark, path, later)
+    assert [r["v"] for r in both.repartition(4).orderBy("arrival").collect()] == [1, 2, 3, 4, 5, 6, 7, 8]
+    top = analytics.top_k_frequent(both, "k", 3, arrival="arrival").collect()
+    assert [(r["k"], r["n"]) for r in top] == [("y", 2), ("x", 2), ("z", 2)]
+    kept = insert_if_absent(both, both.where("k = 'w'"), ["k"], ["arrival"])
+    assert sorted((r["k"], r["v"]) for r in kept.collect()) == [("x", 2), ("y", 1), ("z", 3)]
+    with pytest.raises(ValueError):
+        read_in_order(spark)
+
+
+def test_plugins_with_batches_of_their_own(spark):
+    """Two readers of one session see batches of their own size, and no row is lost."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([batch.num_rows] * batch.num_rows)], names=["id", "rows"])
+
+    frame = spark.range(0, 2500, numPartitions=2)
+    small, large = (frame.mapInArrow(in_batches(sizes, n), "id long, rows long") for n in (100, 400))
+    both = small.join(large.withColumnRenamed("rows", "more"), "id")
+    got = both.groupBy("rows", "more").count().collect()
+    assert {r["rows"] for r in got} == {100, 50} and {r["more"] for r in got} == {400, 50}
+    assert sum(r["count"] for r in got) == 2500
+    wide = spark.range(0, 25_000, numPartitions=1).mapInArrow(in_batches(sizes, 15_000), "id long, rows long")
+    assert {r["rows"] for r in wide.select("rows").distinct().collect()} == {15_000, 10_000}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    with pytest.raises(ValueError):
+        in_batches(sizes, 0)
