@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askloom.session import broadcast_if_small, land
+
 #: Turn numbers that one rendered part covers.
 TURNS_PER_PART = 64
+#: Rows of a part from which on it is cut into pieces, of about this many rows each.
+PIECE_ROWS = 4096
 # Rows without a turn number are dealt into so many parts by hash.
 _LOOSE_PARTS = 1024
+# Characters of a text that take part in the choice of ranges, which passes the driver.
+_RANGE_CHARS = 128
 SYSTEM_ROLES = ("system",)
 
 
@@ -21,14 +27,18 @@ def rotate_perspectives(
     *,
     turns_per_part: int = TURNS_PER_PART,
     system_roles: tuple[str, ...] = SYSTEM_ROLES,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """``conv_id, speaker, part, first_turn, last_turn, n_turns, text, masks``
+    """``conv_id, speaker, part, piece, first_turn, last_turn, n_turns, text, masks``
     from ``conv_id, turn, role, text``.
 
-    One row per conversation, participant and part. A part covers the turn
-    numbers ``part * turns_per_part`` and following, so a conversation of any
-    length is rendered in pieces of bounded size; its text is the parts' texts
-    in order of ``part``. A turn is rendered as
+    One row per conversation, participant, part and piece. A part covers the turn
+    numbers ``part * turns_per_part`` and following. Turn numbers may repeat, so a
+    part with more than ``piece_rows`` rows is cut into pieces in order of its turns,
+    and a conversation of any length and kind is rendered in rows of bounded size
+    (about twice ``piece_rows`` turns at most); its text is the texts in order of
+    ``part``, then ``piece``. Other parts are piece 0. Runs a job that looks for such
+    parts, and one that stores their rows if there are any. A turn is rendered as
 
         <|assistant|>TEXT<|end|>        said by ``speaker``; TEXT<|end|> is learnt
         <|user|>NAME: TEXT<|end|>       said by another participant
@@ -54,8 +64,8 @@ def rotate_perspectives(
         F.col("turn").isNull(), -F.lit(1) - F.pmod(F.xxhash64("role", "text"), F.lit(_LOOSE_PARTS))
     ).otherwise(F.floor(F.col("turn") / turns_per_part))
     parts = (
-        said.withColumn("part", part)
-        .groupBy("conv_id", "part")
+        _in_pieces(said.withColumn("part", part), piece_rows)
+        .groupBy("conv_id", "part", "piece")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     )
     speakers = (
@@ -100,6 +110,7 @@ def rotate_perspectives(
         "conv_id",
         "speaker",
         "part",
+        "piece",
         F.array_min(F.transform("said", lambda x: x["turn"])).alias("first_turn"),
         F.array_max(F.transform("said", lambda x: x["turn"])).alias("last_turn"),
         F.size("said").cast("long").alias("n_turns"),
@@ -108,6 +119,27 @@ def rotate_perspectives(
     )
 
 
+def _in_pieces(said: DataFrame, piece_rows: int) -> DataFrame:
+    """Add ``piece``. Rows of large parts are sorted over all tasks into ranges of
+    about ``piece_rows``, equal rows too, and a range's number is the piece."""
+    sizes = said.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("_rows"))
+    large = land(sizes.where(F.col("_rows") > piece_rows), "large-parts")
+    rows = large.select(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    if not rows:
+        return said.withColumn("piece", F.lit(0))
+    named = large.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))
+    # At most a row per ``piece_rows`` rows of the input, measured before it is sent.
+    named = broadcast_if_small(named)
+    small = said.join(named, same, "left_anti").withColumn("piece", F.lit(0))
+    ranges = said.join(named, same, "left_semi").repartitionByRange(
+        -(-rows // piece_rows), "conv_id", "part", "turn", "role", F.left("text", F.lit(_RANGE_CHARS)),
+        F.sha2("text", 256), F.monotonically_increasing_id(),
+    )
+    # Stored, so that a range keeps its number however often it is read.
+    return small.unionByName(land(ranges.withColumn("piece", F.spark_partition_id()), "pieces"))
+
+
 def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 

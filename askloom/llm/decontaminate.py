@@ -151,13 +151,6 @@ def _probe(source: DataFrame, rows: list[tuple[int, str]], percent: int) -> Data
     return source.mapInArrow(run, _SCHEMA)
 
 
-def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
-    """``docs`` without those that contain an item, all columns kept. Rows without
-    ``doc_id`` stay only if no row without one contains an item."""
-    leaks = contained_items(docs, items, percent).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
-
-
 def clean_rows(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
     """``docs`` without the rows that contain an item, all columns kept. Every row is
     judged by its own text, whatever its id. Items are read as by ``contained_items``."""

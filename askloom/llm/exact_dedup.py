@@ -2,8 +2,9 @@
 
 The index is a Spark table ``digest, doc_id``, bucketed and sorted by digest. New
 documents are grouped by digest, groups that the index knows are removed by a
-sort-merge anti-join (the index is neither shuffled nor sorted for it), and the
-rest is appended. A document stays if the index names it for its digest.
+sort-merge anti-join, and the rest is appended. The index is not shuffled for it;
+once a bucket has several files, one per append, Spark sorts it again. A document
+stays if the index names it for its digest.
 """
 
 from __future__ import annotations
@@ -56,26 +57,25 @@ def digests(docs: DataFrame, *others: str) -> DataFrame:
     return texts(docs, *others).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), *others)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the largest ``doc_id`` stays, unless the index already holds
     the text; then its entry stays and all new copies go. ``group_size`` counts
     the rows of ``docs`` with the text. Runs jobs: digests are stored once, and
-    the index is extended.
+    the index is extended, in so many ``batches`` of falling ids. Later ones meet
+    what those before them have stored; the result is the same for any number.
 
     Null texts count as empty. A null ``doc_id`` is smaller than any other; where
     a text has no other, all its rows stay with a null ``keep_id``. Rows that
     repeat an id and its text share the decision. Other columns are ignored.
     """
     found = land(digests(docs), "digests")
-    groups = found.groupBy("digest").agg(
-        F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    groups = land(groups, "digest-groups")
-    index.append(groups)
+    sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    for batch in _falling(found, batches):
+        index.append(land(batch.groupBy("digest").agg(F.max("doc_id").alias("doc_id")), "digest-groups"))
     known = index.rows().hint("merge").select("digest", F.col("doc_id").alias("keep_id"))
-    stays = groups.drop("doc_id").join(known, "digest")
+    stays = sizes.join(known, "digest")
     return spread_join(found, stays, "digest").select(
         "doc_id",
         "keep_id",
@@ -85,14 +85,20 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """``docs`` without the copies, all columns kept."""
-    stays = exact_dedup(spread(docs), index).where("kept").select("doc_id").distinct()
-    return docs.join(
-        stays.withColumnRenamed("doc_id", "_kept_id"),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")),
-        "left_semi",
-    )
+def _falling(found: DataFrame, batches: int) -> list[DataFrame]:
+    """``found`` in batches of about equal size, the largest ids first, null ids last."""
+    if batches <= 1:
+        return [found]
+    shares = [1 - i / batches for i in range(1, batches)]
+    bounds = found.agg(F.percentile_approx("doc_id", shares).alias("b")).first()["b"]
+    if bounds is None:
+        return [found]
+    made, above = [], None
+    for bound in [*bounds, None]:
+        rows = F.lit(True) if above is None else F.col("doc_id").isNull() | (F.col("doc_id") <= above)
+        made.append(found.where(rows if bound is None else rows & (F.col("doc_id") > bound)))
+        above = bound
+    return made
 
 
 def keep_one_row(docs: DataFrame, index: DigestIndex) -> DataFrame:

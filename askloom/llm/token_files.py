@@ -319,6 +319,10 @@ def _raw_blocks(ordered: DataFrame, vocabulary: str) -> DataFrame:
     return ordered.mapInArrow(run, _RAW)
 
 
+# Characters of a text that take part in the choice of ranges, which passes the driver.
+_RANGE_CHARS = 128
+
+
 def _raw_ids(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
@@ -336,8 +340,9 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     vocabulary = vocabulary or default_vocabulary()
     source = texts(docs)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Texts count too, by their beginnings, so that rows with one id are split as well.
     ordered = source.repartitionByRange(
-        max(1, -(-size // TASK_BYTES)), F.col("doc_id").asc_nulls_first()
+        max(1, -(-size // TASK_BYTES)), F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(_RANGE_CHARS))
     ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     raw_path = scratch_folder(spark, "token-ids")
     _raw_blocks(ordered, vocabulary).write.option("compression", "none").parquet(raw_path)

@@ -49,9 +49,29 @@ def test_exact_dedup_appends(spark):
 
 
 def test_exact_dedup_keeps_columns(spark, awkward):
-    kept = exact_dedup.keep_one(awkward, llm.fresh_index(spark))
+    kept = exact_dedup.keep_one_row(awkward, llm.fresh_index(spark))
     assert kept.columns == awkward.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [2, 2, 4, 5, 6, 7, 8, 10, 11, 12]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [2, 4, 5, 6, 7, 8, 10, 11, 12]
+
+
+@pytest.mark.parametrize("batches", [2, 3, 7])
+def test_exact_dedup_in_batches(spark, awkward, nothing, batches):
+    """Later batches meet a filled index; the rows are those of one batch."""
+    more = [(20 + i, t) for i, t in enumerate(["a b", "", "Y", "new"] * 2)]
+    docs = awkward.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    want = sorted(map(repr, exact_dedup.exact_dedup(docs, llm.fresh_index(spark)).collect()))
+    index = llm.fresh_index(spark)
+    met, plain = [], exact_dedup.DigestIndex.append
+
+    class Watched(exact_dedup.DigestIndex):
+        def append(self, groups):
+            met.append(self.rows().join(groups.select("digest"), "digest", "left_semi").count())
+            plain(self, groups)
+
+    watched = Watched(spark, index.path, index.name)
+    assert sorted(map(repr, exact_dedup.exact_dedup(docs, watched, batches).collect())) == want
+    assert len(met) == batches and met[0] == 0 and sum(met) > 0
+    assert exact_dedup.exact_dedup(nothing, llm.fresh_index(spark), batches).count() == 0
 
 
 # -- near dedup -------------------------------------------------------------
@@ -160,7 +180,8 @@ def test_contained_items_cases(spark, awkward, nothing, monkeypatch):
     assert blocks == got
     assert decontaminate.contained_items(nothing, items).count() == 0
     assert decontaminate.contained_items(awkward, items.where("false")).count() == 0
-    assert sorted(r.doc_id for r in decontaminate.clean(awkward, items).collect()) == [3, 4, 5, 6, 7, 11]
+    left = [r.doc_id for r in decontaminate.clean_rows(awkward, items).collect()]
+    assert sorted(d for d in left if d) == [3, 4, 5, 6, 7, 11]
 
 
 def test_minima_suffice():
@@ -242,3 +263,30 @@ def test_chat_cases(spark):
 def test_chat_is_native(spark, sf):
     plan = llm.op1_chat_perspectives(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_hot_conversation_is_cut(spark):
+    """A third of all rows in one part, turn numbers repeated, no ids, equal rows, an
+    empty and a very long text: every row is rendered once, in order, in bounded pieces."""
+    rows = [(None, i % 7, "ab"[i % 2], f"text {i % 400}", 1) for i in range(3000)]
+    rows += [(None, 3, "a", "", 1), (None, 3, "a", None, 1), (None, 3, "b", "long " * 50_000, 1), (None, 3, "a", "same", 1)]
+    rows += [(None, 3, "a", "same", 1)] * 900 + [(None, None, "b", "loose", 1)] * 700
+    rows += [(1, t, "ab"[t % 2], f"turn {t}", 1) for t in range(130)]
+    schema = "conv_id long, turn int, role string, text string"
+    turns = spark.createDataFrame(rows, schema + ", piece int").selectExpr("*", "1 AS part", "2 AS said", "3 AS lines", "4 AS speaker", "5 AS _rows")
+    made = chat.rotate_perspectives(turns, piece_rows=200).collect()
+    hot = [r for r in made if r.conv_id is None]
+    assert max(r.n_turns for r in hot) < 600 and len({(r.part, r.piece, r.speaker) for r in hot}) == len(hot)
+    plain = chat.rotate_perspectives(turns).collect()
+
+    def whole(found):
+        out = defaultdict(list)
+        for r in sorted(found, key=lambda r: (r.part, r.piece)):
+            out[r.conv_id, r.speaker, r.part].append(r.text)
+            assert "".join(r.text[m.start : m.end] for m in r.masks).count("<|end|>") == r.text.count("<|assistant|>")
+        return {k: "".join(v) for k, v in out.items()}
+
+    assert whole(made) == whole(plain)
+    assert {r.piece for r in plain} == {0} and {r.piece for r in made if r.conv_id == 1} == {0}
+    plan = chat.rotate_perspectives(turns, piece_rows=200)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

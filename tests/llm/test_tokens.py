@@ -171,3 +171,15 @@ def test_other_vocabularies_are_encoded_whole():
     made = token_files.ChunkEncoder(BYTES)
     assert not made.separable
     assert np.frombuffer(made.encode(["a  b c"])[0], "<u4").tolist() == ids_of("a  b c")
+
+
+def test_rows_with_one_id_are_split(spark, monkeypatch):
+    """A third of all rows without an id: no range holds them all."""
+    monkeypatch.setattr(token_files, "TASK_BYTES", 2000)
+    rows = [(None if i % 3 == 0 else i, f"text number {i * 7919 % 1000}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path, got = read(spark, docs)
+    assert sorted(got, key=lambda r: r[1]) == [tuple(r) for r in layout_of(rows)]
+    blocks = spark.read.parquet(f"{path}/blocks").selectExpr("block >> 32 AS shard", "length(doc_ids) / 8 AS n")
+    sizes = [r["n"] for r in blocks.groupBy("shard").sum("n").toDF("shard", "n").collect()]
+    assert sum(sizes) == 900 and max(sizes) < 250
