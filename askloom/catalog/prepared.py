@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from askloom.catalog import tables
 from askloom.operators.fusion import fuse_lists
 from askloom.operators.lexical import LexicalIndex, lexical_topk, write_index
+from askloom.operators.quantized import CodeBooks, encode_vectors, fit_code_books
 from askloom.operators.vectors import (
     CellIndex,
     assign_cells,
@@ -82,6 +83,18 @@ def cell_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CellIndex]:
     return _once(spark, sf, "cells", build)
 
 
+def code_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CodeBooks]:
+    """The embeddings table as codes, and the code books."""
+
+    def build() -> tuple[DataFrame, CodeBooks]:
+        rows = tables.table(spark, sf, "embeddings")
+        chunks = rows.select(F.col("vec_id").alias("chunk_id"), "embedding")
+        books = fit_code_books(chunks)
+        return land(encode_vectors(chunks, books), "codes"), books
+
+    return _once(spark, sf, "codes", build)
+
+
 def ranked_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The vector list and the lexical list of every benchmark query."""
     t = search_tables(spark, sf)

@@ -9,7 +9,7 @@ from askloom.catalog import prepared, tables
 from askloom.catalog.prepared import ANY_SHARE, TOP
 from askloom.catalog.registry import query
 from askloom.catalog.tables import SQL_CHUNKS, SQL_QUERIES, sql_tokens, sql_vectors
-from askloom.operators import context, fusion, gates, lexical, rerank, segments, vectors
+from askloom.operators import context, fusion, gates, lexical, quantized, rerank, segments, vectors
 from askloom.plans import answering
 from askloom.session import scratch_folder
 
@@ -186,6 +186,20 @@ def ann_topk(spark, sf):
     )
 
 
+@query(
+    "quantized_topk",
+    f"""WITH {SQL_NEIGHBOURS}
+    SELECT query_id, chunk_id, round(distance, 6) AS distance, rank
+    FROM neighbours WHERE rank <= 10""",
+)
+def quantized_topk(spark, sf):
+    """Codes first, then the exact distances of a short list. The SQL is the exact
+    search: on small tables a list of 100 holds all of its answers."""
+    coded, books = prepared.code_index(spark, sf)
+    found = quantized.quantized_topk(_neighbours(spark, sf)[0], coded, _neighbours(spark, sf)[1], 10, books)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 # --------------------------------------------------------------------------
 # lexical search
 

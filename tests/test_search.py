@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from askloom.catalog.search import ANN_PROBES
 from askloom.operators import lexical as lx
+from askloom.operators import quantized as qz
 from askloom.operators import vectors as vc
 from askloom.session import scratch_folder
 
@@ -107,6 +108,42 @@ def test_ann_recall(spark, sf):
         assert shared / exact.count() >= 0.9
 
 
+def test_quantized_recall(spark):
+    """0.9 of the nearest ten, with at most a twentieth of the vectors compared."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    c = rows.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    books = qz.fit_code_books(c, sample_rows=1000)
+    coded = qz.encode_vectors(c, books)
+    exact = vc.vector_topk(c, q, 10)
+    lists = qz.short_lists(coded, q, books, 100)
+    assert lists.count() == 100 * q.count() <= 0.05 * c.count() * q.count()
+    near = qz.quantized_topk(c, coded, q, 10, books, shortlist=100)
+    shared = near.join(exact, ["query_id", "chunk_id", "distance"]).count()
+    assert shared / exact.count() >= 0.9
+    # In rounds of few queries the lists are the same.
+    few = qz.short_lists(coded, q, books, 5, max_shipped=7)
+    assert found(few) == found(qz.short_lists(coded, q, books, 5))
+
+
+def test_quantized_cases(spark, clouds):
+    chunks, queries = clouds
+    c, q = vectors_of(spark, chunks, "chunk_id"), vectors_of(spark, queries, "query_id")
+    books = qz.fit_code_books(c, parts=4, codes=200)  # of two places each, the last empty
+    coded = qz.encode_vectors(c, books)
+    codes = {r["chunk_id"]: r["codes"] for r in coded.collect()}
+    assert codes["z0"] is None and codes["z1"] is None and len(codes["c000"]) == len(books.codes)
+    known = [r for r in chunks if not r[0].startswith("z")]
+    assert found(qz.quantized_topk(c, coded, q, 7, books, shortlist=len(known))) == brute_topk(known, queries, 7)
+    assert qz.quantized_topk(c, coded, q.where("false"), 7, books).count() == 0
+    with pytest.raises(ValueError):
+        qz.fit_code_books(c, parts=7)
+    with pytest.raises(ValueError):
+        qz.fit_code_books(c, codes=257)
+    with pytest.raises(ValueError):
+        qz.fit_code_books(c.where("false"))
+
+
 def test_embed_text_plug_in(spark):
     import pyarrow as pa
 
