@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.catalog import tables
+from askloom.operators.blockmax import BlockIndex, write_blocks
 from askloom.operators.fusion import fuse_lists
 from askloom.operators.lexical import LexicalIndex, lexical_topk, write_index
 from askloom.operators.quantized import CodeBooks, encode_vectors, fit_code_books
@@ -69,6 +70,15 @@ def positional_index(spark: SparkSession, sf: str) -> LexicalIndex:
     return _once(spark, sf, "positions", build)
 
 
+def block_index(spark: SparkSession, sf: str) -> BlockIndex:
+    """Term index of the chunks in blocks."""
+
+    def build() -> BlockIndex:
+        return write_blocks(search_tables(spark, sf).chunks, scratch_folder(spark, "blocks"), buckets=8)
+
+    return _once(spark, sf, "blocks", build)
+
+
 def cell_index(spark: SparkSession, sf: str) -> tuple[DataFrame, CellIndex]:
     """The embeddings table stored by cell, and its centroids."""
 

@@ -9,7 +9,7 @@ from askloom.catalog import prepared, tables
 from askloom.catalog.prepared import ANY_SHARE, TOP
 from askloom.catalog.registry import query
 from askloom.catalog.tables import SQL_CHUNKS, SQL_QUERIES, sql_tokens, sql_vectors
-from askloom.operators import context, fusion, gates, lexical, quantized, rerank, segments, vectors
+from askloom.operators import blockmax, context, fusion, gates, lexical, quantized, rerank, segments, vectors
 from askloom.plans import answering
 from askloom.session import scratch_folder
 
@@ -237,6 +237,18 @@ def any_term_topk(spark, sf):
     )
 
 
+@query(
+    "blockmax_topk",
+    f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {_sql_lexical(ANY_SHARE)}
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best_terms""",
+)
+def blockmax_topk(spark, sf):
+    t, index = prepared.search_tables(spark, sf), prepared.block_index(spark, sf)
+    return blockmax.blockmax_topk(index, t.queries, TOP, min_share=ANY_SHARE).withColumn(
+        "score", F.round("score", 6)
+    )
+
+
 @query(
     "index_appends",
     f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {_sql_lexical(ANY_SHARE)}

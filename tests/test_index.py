@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from askloom.operators import blockmax as bm
 from askloom.operators import lexical as lx
 from askloom.operators.segments import SegmentedIndex
 from askloom.session import scratch_folder
@@ -68,6 +69,32 @@ def test_proximity_needs_positions(spark, corpus):
         lx.proximity_topk(lx.lexical_index(frame(spark, corpus[0])), corpus[1], 3)
 
 
+def test_blockmax_leaves_blocks_out(spark):
+    """The rows of the plain search; of common terms only a part of the postings is read."""
+    rnd = random.Random(4)
+    words = ["the"] * 3 + ["of"] * 2 + [f"w{i}" for i in range(30)]
+    # Few chunks are rich in the common terms, so most blocks can't reach the best.
+    chunks = [(f"c{i:04d}", " ".join(rnd.choices(words, k=rnd.randint(40, 60)))) for i in range(1500)]
+    chunks += [(f"r{i:04d}", "the of " * rnd.randint(10, 15)) for i in range(12)] + [("empty", ""), ("none", None)]
+    rows = frame(spark, chunks)
+    asked = spark.createDataFrame(
+        [(1, "the of"), (2, "the"), (3, "of the w1"), (4, "zebra the"), (5, "?"), (6, "w2 w3 w4")], "query_id int, text string"
+    )
+    index = bm.write_blocks(rows, scratch_folder(spark, "blocks"), buckets=4, block_chunks=16)
+    plain = lx.lexical_index(rows)
+    for share in (1.0, 0.5):
+        want = found(lx.any_term_topk(plain, asked, 5, min_share=share))
+        assert found(bm.blockmax_topk(index, asked, 5, min_share=share)) == want
+        assert found(bm.blockmax_topk(index, asked, 5, min_share=share, lead=1)) == want
+    seen = []
+    common = asked.where("query_id < 3")
+    got = bm.blockmax_topk(index, common, 5, watch=seen.append)
+    assert found(got) == found(lx.any_term_topk(plain, common, 5))
+    blocks = index.maxima.where("term IN ('the', 'of')").groupBy("block").count().count()
+    assert blocks > 90 and seen[0].count() + 2 * bm.LEAD_BLOCKS < 0.5 * 2 * blocks
+    assert bm.blockmax_topk(bm.write_blocks(rows.where("false"), scratch_folder(spark, "blocks"), buckets=2), asked, 5).count() == 0
+
+
 def same_index(spark, index, chunks, queries, search=False):
     """The segments hold what an index of the chunks does."""
     plain, read = lx.lexical_index(frame(spark, chunks)), index.read()
