@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFr
     found = land(digests(docs), "digests")
     sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     for batch in _falling(found, batches):
-        index.append(land(batch.groupBy("digest").agg(F.max("doc_id").alias("doc_id")), "digest-groups"))
+        index.append(batch.groupBy("digest").agg(F.max("doc_id").alias("doc_id")))
     known = index.rows().hint("merge").select("digest", F.col("doc_id").alias("keep_id"))
     stays = sizes.join(known, "digest")
     return spread_join(found, stays, "digest").select(

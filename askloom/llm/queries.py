@@ -50,7 +50,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_documents(spark, sf), fresh_index(spark), batches=3)
+    return exact_dedup.exact_dedup(_documents(spark, sf), fresh_index(spark), batches=2)
 
 
 def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
