@@ -25,6 +25,8 @@ from askloom.session import broadcast_if_small, fits_broadcast, land
 TERM_BUCKETS = 256
 #: Scores are ranked after rounding, so that equal scores tie exactly.
 SCORE_DIGITS = 9
+#: Chunks that hold a query's rarest term, from which on its next rarest thins them out.
+THIN_FROM = 20_000
 
 
 def postings(chunks: DataFrame, text: str = "chunk_text", positions: bool = False) -> DataFrame:
@@ -161,6 +163,37 @@ def _in_buckets(index: LexicalIndex, probes: DataFrame) -> DataFrame:
     return index.postings.where(F.col("bucket").isin([row["bucket"] for row in used]))
 
 
+@dataclass(frozen=True)
+class _Folders:
+    """Postings by the folders of terms in some role; a number per folder and role."""
+
+    index: LexicalIndex
+    used: list[tuple[int, tuple[bool, ...]]]
+
+    def any(self, role: int) -> bool:
+        return any(roles[role] for _, roles in self.used)
+
+    def __call__(self, role: int) -> DataFrame:
+        return self._in([bucket for bucket, roles in self.used if roles[role]])
+
+    def every(self) -> DataFrame:
+        return self._in([bucket for bucket, _ in self.used])
+
+    def _in(self, buckets: list[int]) -> DataFrame:
+        posted = self.index.postings
+        return posted.where(F.col("bucket").isin(buckets)) if self.index.buckets else posted
+
+
+def _folders(index: LexicalIndex, terms: DataFrame, *roles: Column) -> _Folders:
+    """The folders of all terms with the roles that their terms have, in one job."""
+    bucket = term_bucket(F.col("term"), index.buckets) if index.buckets else F.lit(0)
+    rows = (
+        terms.select(bucket.alias("bucket"), *(r.alias(f"_{i}") for i, r in enumerate(roles)))
+        .groupBy("bucket").agg(*(F.bool_or(f"_{i}") for i in range(len(roles)))).collect()
+    )
+    return _Folders(index, [(row[0], tuple(row[1:])) for row in rows])
+
+
 def _matched_terms(
     index: LexicalIndex, queries: DataFrame, min_share: float, *more: str
 ) -> DataFrame:
@@ -168,28 +201,28 @@ def _matched_terms(
     of the postings, one row per matched term of every candidate.
 
     The query plans and the lookups of the candidates are written to the scratch
-    folder, computed once and measured. Small lookups are shipped to the postings
+    folder, computed once and measured. One job tells which folders are read. Small lookups are shipped to the postings
     scan. Otherwise the postings are first reduced to the candidate chunks, if
     those are few enough to ship, and then both sides are shuffled.
     """
     plans = land(_plans_of_queries(index, queries, min_share), "query-plans")
-    terms = plans.select("query_id", F.posexplode("known").alias("_place", "_known")).select(
-        "query_id", "_place", "_known.term", "_known.df"
-    )
     hits = F.lit(1) if min_share == 1 else F.ceil(F.col("needed") / 3).cast("int")
-    rarest = F.slice(
-        F.col("known"), F.lit(1), (F.size("known") - F.col("needed") + hits).cast("int")
-    )
-    probes = plans.select("query_id", hits.alias("hits"), F.explode(rarest).alias("_known")).select(
-        "query_id", "hits", "_known.term", "_known.df"
-    )
-    probed = _in_buckets(index, probes).select("term", "chunk_id")
+    n_probes = (F.size("known") - F.col("needed") + hits).cast("int")
+    terms = plans.select(
+        "query_id", hits.alias("hits"), n_probes.alias("_probes"), F.col("known")[0]["df"].alias("_least"),
+        F.posexplode("known").alias("_place", "_known"),
+    ).select("query_id", "hits", "_probes", "_least", "_place", "_known.term", "_known.df")
+    is_probe = F.col("_place") < F.col("_probes")
+    # The next rarest term thins many candidates out before all terms are looked up.
+    is_second = (F.col("_place") == 1) & (F.col("_least") > THIN_FROM) & F.lit(min_share == 1)
+    folders = _folders(index, terms, is_probe, is_second)
+    probes = terms.where(is_probe).select("query_id", "hits", "term", "df")
+    probed = folders(0).select("term", "chunk_id")
     found = _by_term(probed, probes).select("query_id", "chunk_id", "hits")
-    if min_share == 1:
-        # The next rarest term thins the candidates out before all are looked up.
-        second = terms.where("_place = 1").select("query_id", "term")
+    if folders.any(1):
+        second = terms.where(is_second).select("query_id", "term")
         wanted = found.select("query_id", "chunk_id").join(second, "query_id", "left")
-        held = _in_buckets(index, second).select("term", "chunk_id", F.lit(True).alias("_held"))
+        held = folders(1).select("term", "chunk_id", F.lit(True).alias("_held"))
         found = (
             wanted.join(held, ["chunk_id", "term"], "left")
             .where("term IS NULL OR _held")
@@ -207,7 +240,7 @@ def _matched_terms(
         "query_id", "chunk_id", "n_terms", "needed", F.explode("known").alias("_known")
     ).select("query_id", "chunk_id", "n_terms", "needed", "_known.term", "_known.df")
     lookups = land(lookups, "lookups")
-    posted = _in_buckets(index, terms).select("term", "chunk_id", "tf", "dl", *more)
+    posted = folders.every().select("term", "chunk_id", "tf", "dl", *more)
     if fits_broadcast(lookups):
         return posted.join(F.broadcast(lookups), ["chunk_id", "term"])
     chunk_ids = lookups.select("chunk_id").distinct()

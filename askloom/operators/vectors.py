@@ -27,6 +27,8 @@ from askloom.functions.text import simple_tokens
 DISTANCE_DIGITS = 9
 #: Most queries whose vectors are shipped to every task (384 floats each: 12 MB).
 MAX_SHIPPED_QUERIES = 8192
+#: Bytes of query vectors that are shipped to every task, at most.
+MAX_SHIPPED_BYTES = 64 << 20
 #: Chunks per cell when the query table is too large to ship.
 GRID_CHUNKS = 65_536
 # Queries multiplied at once; bounds the distance block held by one task.
@@ -248,8 +250,12 @@ def _search(
     corpus = chunks.select("chunk_id", "embedding", *(["cell"] if probe_column else []))
 
     shipped = asked.limit(max_shipped + 1).toArrow()
-    if shipped.num_rows > max_shipped:
-        found = _grid_search(corpus, asked, k, max_shipped, grid_chunks, probe_column, schema)
+    # Bounded in rows and in bytes.
+    if shipped.num_rows > max_shipped or shipped.nbytes > MAX_SHIPPED_BYTES:
+        if probe_column is None:
+            found = _stream_search(corpus, asked, k, grid_chunks, schema)
+        else:
+            found = _grid_search(corpus, asked, k, max_shipped, grid_chunks, probe_column, schema)
         return _rank_nearest(found, k)
     if shipped.num_rows == 0:
         return _rank_nearest(queries.sparkSession.createDataFrame([], schema), k)
@@ -273,20 +279,77 @@ def _search(
     return _rank_nearest(corpus.mapInArrow(nearest, schema), k)
 
 
+def _stream_search(corpus: DataFrame, asked: DataFrame, k: int, part_chunks: int, schema: T.StructType) -> DataFrame:
+    """Queries beyond the shipping bound: chunks are cut into parts, each shuffled once,
+    and the queries go to every part. In a task the chunks of a part come first and
+    stay; the queries pass by in batches, so their number is not bounded by memory.
+    Half-size targets leave room for uneven hashing."""
+    parts = max(1, math.ceil(2 * corpus.count() / part_chunks))
+    types = _arrow_types(schema)
+    names = [f.name for f in schema]
+    held = corpus.select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"),
+        "chunk_id", F.lit(None).cast(schema["query_id"].dataType).alias("query_id"), "embedding",
+    )
+    passing = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"),
+        F.lit(None).cast(schema["chunk_id"].dataType).alias("chunk_id"), "query_id", "embedding",
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, vectors = None, [], []
+        for batch in batches:
+            part, kind = (batch.column(n).to_numpy() for n in ("part", "kind"))
+            borders = np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *borders], [*borders, len(part)]):
+                if a == b:
+                    continue
+                if part[a] != at:
+                    at, ids, vectors = part[a], [], []
+                rows = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    lists = rows.column("embedding")
+                    width = len(lists.drop_null()[0]) if lists.null_count < len(lists) else 0
+                    ids += rows.column("chunk_id").to_pylist()
+                    vectors.append(_unit_rows(_matrix(lists, width)))
+                elif ids:
+                    yield _passing_queries(rows, ids, vectors, k, types)
+
+    sent = held.unionByName(passing).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    return sent.mapInArrow(meet, schema).select(*names)
+
+
+def _passing_queries(
+    rows: pa.RecordBatch, ids: list, vectors: list[np.ndarray], k: int, types: list[pa.DataType]
+) -> pa.RecordBatch:
+    """Answers of a part, whose vectors come in blocks, to a batch of queries."""
+    dim = len(rows.column("embedding")[0])
+    queries = _unit_rows(_matrix(rows.column("embedding"), dim))
+    best, chunk_ids, first = _Best(len(queries), k), np.array(ids, dtype=object), 0
+    for block in vectors:
+        block = block if block.shape[1] else np.full((len(block), dim), np.nan)
+        if block.shape[1] != dim:
+            raise ValueError(f"embedding of width {block.shape[1]} among vectors of width {dim}")
+        for start in range(0, len(queries), _QUERY_SLICE):
+            part = np.arange(start, min(len(queries), start + _QUERY_SLICE))
+            best.offer_block(_distances(queries[part], block), part, chunk_ids[first : first + len(block)])
+        first += len(block)
+    return _answer(best, np.array(rows.column("query_id").to_pylist(), dtype=object), types)
+
+
 def _grid_search(
     corpus: DataFrame,
     asked: DataFrame,
     k: int,
     block_queries: int,
     block_chunks: int,
-    probe_column: str | None,
+    probe_column: str,
     schema: T.StructType,
 ) -> DataFrame:
-    """Queries beyond the shipping bound: both sides are cut into blocks and
-    every pair of blocks meets in one bounded task (a fragment-and-replicate
-    grid). Half-size targets leave room for uneven hashing. With cells, chunks go
-    only to the query blocks that probe their cell, and queries only to the chunk
-    blocks of the cells that they probe."""
+    """Queries beyond the shipping bound, with cells: both sides are cut into blocks
+    that meet in bounded tasks. Chunks go only to the query blocks that probe their
+    cell, and queries only to the chunk blocks of the cells that they probe. Half-size
+    targets leave room for uneven hashing."""
     n_query_blocks = max(1, math.ceil(2 * asked.count() / block_queries))
     n_chunk_blocks = max(1, math.ceil(2 * corpus.count() / block_chunks))
     types = _arrow_types(schema)
@@ -294,28 +357,20 @@ def _grid_search(
     def block(column: Column, count: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
     left = corpus.withColumn("chunk_block", block(F.col("chunk_id"), n_chunk_blocks))
     right = asked.withColumn("query_block", block(F.col("query_id"), n_query_blocks))
-    keys = ["query_block", "chunk_block"]
-    if probe_column:
-        keys.append("cell")
-        right = right.withColumn("cell", F.explode(probe_column))
-        probed = right.select(F.col("cell").alias("_cell"), F.col("query_block").alias("_asked"))
-        left = left.join(probed.distinct(), F.col("cell") == F.col("_cell"))
-        left = left.drop("_cell").withColumnRenamed("_asked", "query_block")
-        held = left.select(
-            F.col("cell").alias("_cell"), F.col("query_block").alias("_asked"),
-            F.col("chunk_block").alias("_held"),
-        ).distinct()
-        right = right.join(
-            held, (F.col("cell") == F.col("_cell")) & (F.col("query_block") == F.col("_asked"))
-        ).drop("_cell", "_asked").withColumnRenamed("_held", "chunk_block")
-    else:
-        left = left.withColumn("query_block", every(n_query_blocks))
-        right = right.withColumn("chunk_block", every(n_chunk_blocks))
+    keys = ["query_block", "chunk_block", "cell"]
+    right = right.withColumn("cell", F.explode(probe_column))
+    probed = right.select(F.col("cell").alias("_cell"), F.col("query_block").alias("_asked"))
+    left = left.join(probed.distinct(), F.col("cell") == F.col("_cell"))
+    left = left.drop("_cell").withColumnRenamed("_asked", "query_block")
+    held = left.select(
+        F.col("cell").alias("_cell"), F.col("query_block").alias("_asked"),
+        F.col("chunk_block").alias("_held"),
+    ).distinct()
+    right = right.join(
+        held, (F.col("cell") == F.col("_cell")) & (F.col("query_block") == F.col("_asked"))
+    ).drop("_cell", "_asked").withColumnRenamed("_held", "chunk_block")
     out_names = schema.names
 
     def cell(chunk_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
@@ -325,9 +380,7 @@ def _grid_search(
             )
         dim = len(query_rows.column("embedding")[0])
         vectors = _unit_rows(_matrix(query_rows.column("embedding"), dim))
-        probes = (
-            np.array(query_rows.column(probe_column).to_pylist()) if probe_column else None
-        )
+        probes = np.array(query_rows.column(probe_column).to_pylist())
         best = _Best(len(vectors), k)
         for batch in chunk_rows.to_batches(max_chunksize=8192):
             _scan_batch(best, batch, vectors, probes)

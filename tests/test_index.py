@@ -64,6 +64,19 @@ def test_proximity_against_all_runs(spark, corpus, share, stored):
     assert found(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_thinning_changes_no_row(spark, corpus, monkeypatch, stored):
+    """The second rarest term is only looked at where the rarest is common."""
+    chunks, queries, _ = corpus
+    rows = frame(spark, chunks)
+    index = lx.write_index(rows, scratch_folder(spark, "thin"), buckets=4) if stored else lx.lexical_index(rows)
+    made = []
+    for bound in (lx.THIN_FROM, 5):
+        monkeypatch.setattr(lx, "THIN_FROM", bound)
+        made.append(found(lx.all_terms_match(index, queries)))
+    assert made[0] == made[1] and len(made[0]) > 20
+
+
 def test_proximity_needs_positions(spark, corpus):
     with pytest.raises(ValueError, match="positions"):
         lx.proximity_topk(lx.lexical_index(frame(spark, corpus[0])), corpus[1], 3)

@@ -65,6 +65,19 @@ def test_vector_topk_in_a_grid_of_blocks(spark, clouds):
     assert found(got) == brute_topk(chunks, queries, 7)
 
 
+def test_shipping_is_bounded_in_bytes(spark, clouds, monkeypatch):
+    """Wide queries take the way of many queries: chunks are shuffled once."""
+    chunks, queries = clouds
+    monkeypatch.setattr(vc, "MAX_SHIPPED_BYTES", 100)
+    c, q = vectors_of(spark, chunks, "chunk_id"), vectors_of(spark, queries, "query_id")
+    got = vc.vector_topk(c, q, 7, grid_chunks=50)
+    assert found(got) == brute_topk(chunks, queries, 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    missing = vectors_of(spark, [("a", None), ("b", None)], "chunk_id")
+    assert [r["distance"] for r in vc.vector_topk(missing, q.limit(1), 2).collect()] == [None, None]
+
+
 def test_vectors_without_direction_come_last(spark, clouds):
     chunks, queries = clouds
     got = vc.vector_topk(
