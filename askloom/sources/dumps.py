@@ -7,6 +7,7 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askloom.sources.batches import Plugin, in_batches
 from askloom.sources.records import can_split, read_csv_records
 from askloom.sources.schemas import (
     ANSWER_COLUMNS,
@@ -154,10 +155,24 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Stored documents. For models that take a number of rows at a time, wrap them
-    with ``batches.in_batches``."""
-    return spark.read.parquet(path)
+def read_documents(
+    spark: SparkSession,
+    path: str,
+    batch_rows: int | None = None,
+    work: Plugin | None = None,
+    schema: str | None = None,
+) -> DataFrame:
+    """Stored documents; with ``work``, what this plug-in makes of them (columns of
+    ``schema``), fed with batches of ``batch_rows`` rows. The size holds for this plug-in
+    alone; the session's setting is left as it is."""
+    if batch_rows is not None and batch_rows <= 0:
+        raise ValueError("batch_rows must be positive")
+    if (work is None) != (schema is None) or (work is None and batch_rows is not None):
+        raise ValueError("batches need a plug-in and its schema")
+    stored = spark.read.parquet(path)
+    if work is None:
+        return stored
+    return stored.mapInArrow(work if batch_rows is None else in_batches(work, batch_rows), schema)
 
 
 def read_jdbc(

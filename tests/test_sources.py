@@ -1,6 +1,7 @@
 import csv
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,17 @@ def test_document_batches(spark, sf):
     with pytest.raises(ValueError):
         dumps.read_documents(spark, f"{sf}/documents.parquet", 0)
     assert dumps.read_documents(spark, f"{sf}/documents.parquet").count() == 200
+    with pytest.raises(ValueError):
+        dumps.read_documents(spark, f"{sf}/documents.parquet", 50)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = [dumps.read_documents(spark, f"{sf}/documents.parquet", n, sizes, "n long").collect() for n in (30, 64)]
+    assert [[r["n"] for r in m] for m in made] == [[30] * 6 + [20], [64] * 3 + [8]]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_rename(spark):
