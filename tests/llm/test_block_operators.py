@@ -140,6 +140,42 @@ def test_run_length_index():
         assert list(zip(*(x.tolist() for x in got))) == want
 
 
+def test_index_follows_the_runs():
+    """The index of many near copies holds the samples of few runs, and the matches
+    that stream from them are those of the sorted suffixes."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 400).astype(np.uint8)
+    copies = []
+    for k in range(50):
+        one = passage.copy()
+        one[8 * k] = 65
+        copies += [one, np.array([255], np.uint8)]
+    text = np.concatenate(copies)
+    index = suffix_dedup.RunLengthIndex(text, 1000, 1000)
+    assert sum(x.nbytes for x in vars(index).values()) < 8 * len(text)
+    assert len(index.place) < len(text) / 10
+    order = np.array(sorted(range(len(text)), key=lambda i: text[i:].tobytes()))
+    before, match = index.stream(0, len(text))
+    assert (before[order[1:]] == order[:-1]).all()
+    for a, b in zip(order[::97], order[1::97]):
+        x, y = text[a:].tobytes(), text[b:].tobytes()
+        same = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        assert max(0, match[b]) == same
+    part = index.stream(700, 900)
+    assert (part[0] == before[700:900]).all() and (part[1] == match[700:900]).all()
+
+
+def test_long_run_and_common_passage(spark):
+    """A megabyte of one letter, and a passage that a third of the rows hold often."""
+    passage = " ".join(f"word{k}" for k in range(12))
+    rows = [(i, f"{i * i} " + (passage + f" {i} ") * (3 if i % 3 == 0 else 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert of(suffix_dedup.repeated_strings(docs, layout=SPREAD)) == brute_strings(rows)
+    run = spark.createDataFrame([(1, "a" * 1_000_000), (2, "b" + "a" * 1_000_000)], "doc_id long, text string")
+    got = [r[:4] for r in of(suffix_dedup.repeated_strings(run, layout=SPREAD))]
+    assert got == [(1, 1_000_000, 0, 0), (2, 1_000_001, 1_000_000, 1)]
+
+
 def test_sketch_overestimates():
     """Windows that occur twice are never missed, however small the sketch."""
     found = np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64)
