@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.session import land
@@ -61,17 +61,73 @@ def _group_numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def in_blocks(members: DataFrame, group: str, blocks: str, member: str) -> DataFrame:
-    """Send each member of a large group to every pair of blocks that holds its
-    own: adds ``_mine, _i, _j``. Any two members of a group meet in a pair of
-    blocks; a group of one block stays one group."""
-    mine = F.pmod(F.xxhash64(F.lit(17), member), F.col(blocks)).cast("int")
-    return (
-        members.withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
-        .withColumn("_i", F.least("_mine", "_other"))
-        .withColumn("_j", F.greatest("_mine", "_other"))
-        .drop("_other", blocks)
+#: Members of a large group that all others meet first, on average.
+PIVOTS = 16
+
+
+def placed(members: DataFrame, group: str, guests: Column, askers: Column) -> DataFrame:
+    """Deal each member (``id``, ``group``, ``blocks``) to one of its group's blocks;
+    ``guests`` (a number below ``askers``, or null) are sent to all blocks."""
+    return members.select(
+        "id", group, "blocks",
+        F.pmod(F.xxhash64(F.lit(17), "id"), F.col("blocks")).cast("int").alias("_mine"),
+        guests.cast("int").alias("_guest"),
+        askers.cast("int").alias("_askers"),
+    )
+
+
+def sent(members: DataFrame) -> DataFrame:
+    """A row for every place ``_guests, _block`` where a placed member goes: its own
+    block once for each set of guests, and all blocks with its own set if a guest."""
+    own = F.transform(
+        F.sequence(F.lit(0), F.col("_askers") - 1),
+        lambda k: F.struct(k.alias("_guests"), F.col("_mine").alias("_block")),
+    )
+    every = F.transform(
+        F.sequence(F.lit(0), F.col("blocks").cast("int") - 1),
+        lambda k: F.struct(F.col("_guest").alias("_guests"), k.alias("_block")),
+    )
+    places = F.when(F.col("_guest").isNull(), own).otherwise(F.array_union(own, every))
+    return members.select("*", F.explode(places).alias("_place")).select(
+        *(c for c in members.columns if c not in ("blocks", "_mine", "_guest", "_askers")), "_place.*"
+    )
+
+
+def joined(
+    members: DataFrame, group: str, most: int, compare: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``id, component`` of what links inside groups join. ``members`` has ``id``, the
+    group, its size ``n`` and its number of ``blocks``; ``compare`` links what meets
+    at one place (group, guests, block) of placed members.
+
+    A group of one block is compared as a whole. Members of a larger one are first
+    compared with their own block and with about ``PIVOTS`` of the group, whose
+    number doesn't grow with it. Only members that are then outside the group's
+    largest component meet all blocks, in sets of ``most``: whatever two members are
+    not connected by then, one of them is such a member, so no link is lost that
+    joins components. A group of alike members costs as many rows as it has members.
+    Runs jobs."""
+    members = land(members, "members")
+    pivot = F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(5), "id"), F.col("n")) < PIVOTS), 0)
+    found = connected_components(compare(placed(members, group, pivot, F.lit(1))))
+    split = members.where("blocks > 1").join(found, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+    sizes = split.groupBy(group, "component").agg(F.count(F.lit(1)).alias("size"))
+    rest = (
+        sizes.groupBy(group)
+        .agg(F.max(F.struct("size", "component"))["component"].alias("_main"),
+             (F.sum("size") - F.max("size")).alias("_rest"))
+        .where("_rest > 0")
+    )
+    rest = land(rest, "rest")
+    if rest.isEmpty():
+        return found
+    askers = F.ceil(F.col("_rest") / most)
+    guest = F.when(F.col("component") != F.col("_main"), F.pmod(F.xxhash64(F.lit(29), "id"), askers))
+    more = compare(placed(split.join(rest, group), group, guest, askers))
+    return connected_components(
+        found.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more)
     )
 
 

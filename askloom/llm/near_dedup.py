@@ -8,7 +8,8 @@ members are compared exactly on their full shingle sets.
 
 Documents of equal shingle sets form a class and are compared once, by their
 smallest id. No pair of a group is ever a row: comparisons run as arithmetic on
-blocks of members, which give one row per member and block at most.
+blocks of members, which give one row per member and block at most. Members of a
+large group meet a few pivots first; only what these leave apart meets all blocks.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from askloom.llm.common import (
     without,
     word_hashes,
 )
-from askloom.llm.graphs import connected_components, in_blocks, labels, sorted_groups
+from askloom.llm.graphs import joined, labels, sent, sorted_groups
 from askloom.operators.skew import spread_join
 from askloom.session import land
 
@@ -139,24 +140,20 @@ def _emit(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
     )
 
 
-def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
-    """Links that join what shares a band and is estimated to be similar enough.
-    Inside a bucket only connectivity is kept: a link per member at most."""
+def families_of(classes: DataFrame, percent: int) -> DataFrame:
+    """``id, component`` of what shares a band and is estimated to be similar enough.
+    Inside a bucket only connectivity counts."""
     floor = estimate_floor(percent)
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     crowds = (
         banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("blocks"))
-    )
-    members = banded.join(crowds, "bucket").join(
-        classes.select("id", "n_shingles", "signature"), "id"
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK_MEMBERS))
     )
 
     def work(table: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
         ids, n = table.column("id").to_numpy(), table.column("n_shingles").to_numpy()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64)
         sig = sig.reshape(len(ids), -1)
-        mine, within = table.column("_mine").to_numpy(), (table.column("_i").to_numpy() == table.column("_j").to_numpy())
         label, u, v, held = np.arange(len(ids)), [], [], 0
         left = np.arange(len(ids))
         for d in range(1, len(ids)):
@@ -166,7 +163,7 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
                 break
             a, b = left, left + d
             low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            maybe = (100 * low >= percent * high) & (within[a] | (mine[a] != mine[b])) & (label[a] != label[b])
+            maybe = (100 * low >= percent * high) & (label[a] != label[b])
             a, b = a[maybe], b[maybe]
             near = estimate(sig[a], sig[b]) >= floor
             u.append(a[near])
@@ -176,9 +173,11 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
                 label, u, v, held = _joined(label, u, v), [], [], 0
         return _emit(ids, _joined(label, u, v))
 
-    return sorted_groups(
-        in_blocks(members, "bucket", "blocks", "id"), ["bucket", "_i", "_j"], work, _LINKS
-    )
+    def compare(placed: DataFrame) -> DataFrame:
+        held = sent(placed).join(classes.select("id", "n_shingles", "signature"), "id")
+        return sorted_groups(held, ["bucket", "_guests", "_block"], work, _LINKS)
+
+    return joined(banded.join(crowds, "bucket"), "bucket", BLOCK_MEMBERS, compare)
 
 
 def _joined(label: np.ndarray, u: list[np.ndarray], v: list[np.ndarray]) -> np.ndarray:
@@ -206,33 +205,25 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def true_links(docs: DataFrame, classes: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Links of family members whose full sets are similar enough; again one per
-    member and block pair at most, with the same components as all links."""
-    members = families.join(classes.select("id", "n_shingles"), "id")
-    sizes = members.groupBy("component").agg(
+def components_of(docs: DataFrame, classes: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """``id, component`` by the family members whose full sets are similar enough."""
+    members = families.join(classes.select("id", "n_shingles"), "id").withColumnRenamed("component", "family")
+    sizes = members.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"),
         F.greatest(
             F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
-        ).alias("blocks")
+        ).alias("blocks"),
     )
-    placed = members.join(sizes, "component").select(
-        "id", F.col("component").alias("family"), "blocks"
-    )
-    held = texts(docs).join(placed, F.col("doc_id") == F.col("id")).select("id", "family", "blocks", "text")
 
     def sets(batch):
-        return {
-            "id": batch.column("id"),
-            "family": batch.column("family"),
-            "blocks": batch.column("blocks"),
+        columns = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+        return columns | {
             "shingles": [
                 shingle_set(word_hashes(words_of(t)), SHINGLE_WORDS).tobytes()
                 for t in batch.column("text").to_pylist()
             ],
         }
 
-    full = mapped(held, sets, "id long, family long, blocks long, shingles binary")
-
     def work(table: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
         ids = table.column("id").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
@@ -248,7 +239,14 @@ def true_links(docs: DataFrame, classes: DataFrame, families: DataFrame, percent
             label[a:b] = a + labels(b - a, u, v)
         return _emit(ids, label)
 
-    return sorted_groups(in_blocks(full, "family", "blocks", "id"), ["family", "_i", "_j"], work, _LINKS)
+    def compare(placed: DataFrame) -> DataFrame:
+        held = texts(docs).join(placed, F.col("doc_id") == F.col("id")).drop("doc_id")
+        full = mapped(
+            held, sets, "id long, family long, blocks long, _mine int, _guest int, _askers int, shingles binary"
+        )
+        return sorted_groups(sent(full), ["family", "_guests", "_block"], work, _LINKS)
+
+    return joined(members.join(sizes, "family"), "family", BLOCK_MEMBERS, compare)
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -276,8 +274,8 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
         ),
         "classes",
     )
-    families = land(connected_components(candidate_links(classes, percent)), "families")
-    found = land(connected_components(true_links(docs, classes, families, percent)), "components")
+    families = land(families_of(classes, percent), "families")
+    found = land(components_of(docs, classes, families, percent), "components")
     # Different sets of one id (rows that repeat an id) also meet there.
     reach = classes.select("set_key", "id").join(found, "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("_component")
