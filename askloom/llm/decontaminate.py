@@ -28,6 +28,7 @@ from askloom.llm.common import (
     window_hashes,
     word_hashes,
 )
+from askloom.session import land
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 80
@@ -77,7 +78,7 @@ class Items:
             self.minima[width] = h[order], o[order]
 
     def found_in(self, text: str):
-        """``item_id, n_item, n_shared`` of the items that a text contains."""
+        """``key, n_item, n_shared`` of the items that a text contains."""
         words = text.encode().lower().split()
         hashed = word_hashes(words)
         maybe: set[int] = set()
@@ -104,30 +105,40 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINMEN
     nothing, null texts are empty. One row per row of ``docs`` and of ``items``;
     null ids stay null. Other columns are ignored.
 
-    The items are a stated query set, sent to all tasks in blocks of ``ITEM_BYTES``
-    of text; each further block is one more pass over the documents. Reads the
-    items when called.
+    The items are a stated query set: their distinct texts are sent to all tasks in
+    blocks of about ``ITEM_BYTES``, however often an item repeats; each further block
+    is one more pass over the documents. Reads the items when called.
     """
-    source = texts(docs)
+    source, asked = texts(docs), _asked(items)
+    distinct = _distinct(asked)
     found = None
-    for rows in _item_blocks(items):
+    for rows in _item_blocks(distinct):
         made = _probe(source, rows, percent)
         found = made if found is None else found.unionByName(made)
-    return found
+    named = asked.join(distinct, "text").select("key", "item_id")
+    return found.join(named, "key").select("doc_id", "item_id", "n_item", "n_shared")
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    asked = items.select(
+def _asked(items: DataFrame) -> DataFrame:
+    return items.select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _distinct(asked: DataFrame) -> DataFrame:
+    """``key, text`` of the different texts, stored."""
+    return land(asked.select("text").distinct().withColumn("key", F.monotonically_increasing_id()), "items")
+
+
+def _item_blocks(distinct: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    part = F.pmod(F.xxhash64("text"), F.lit(blocks))
     for k in range(blocks):
-        yield [tuple(r) for r in asked.where(part == k).toLocalIterator()]
+        yield [tuple(r) for r in distinct.where(part == k).select("key", "text").toLocalIterator()]
 
 
-_SCHEMA = "doc_id long, item_id long, n_item long, n_shared long"
+_SCHEMA = "doc_id long, key long, n_item long, n_shared long"
 
 
 def _probe(source: DataFrame, rows: list[tuple[int, str]], percent: int) -> DataFrame:
@@ -155,7 +166,7 @@ def clean_rows(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) ->
     """``docs`` without the rows that contain an item, all columns kept. Every row is
     judged by its own text, whatever its id. Items are read as by ``contained_items``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    for rows in _item_blocks(items):
+    for rows in _item_blocks(_distinct(_asked(items))):
         docs = docs.where(~_contains(docs.sparkSession.sparkContext.broadcast(rows), percent)(text))
     return docs
 

@@ -204,6 +204,14 @@ def test_contained_items_cases(spark, awkward, nothing, monkeypatch):
     blocks = sorted((tuple(r) for r in decontaminate.contained_items(awkward, items).collect()), key=repr)
     assert blocks == got
     assert decontaminate.contained_items(nothing, items).count() == 0
+    copies = items.union(items.selectExpr("item_id + 1000 AS item_id", "text")).union(items)
+    more = decontaminate.contained_items(awkward, copies).collect()
+    assert sorted((tuple(r) for r in more), key=repr) == sorted(
+        [h for d, i, *n in got for h in [(d, i, *n)] * 2 + [(d, i if i is None else i + 1000, *n)]], key=repr
+    )
+    assert sum(len(b) for b in decontaminate._item_blocks(decontaminate._distinct(decontaminate._asked(copies)))) == len(
+        {r.text or "" for r in items.collect()}
+    )
     assert decontaminate.contained_items(awkward, items.where("false")).count() == 0
     left = [r.doc_id for r in decontaminate.clean_rows(awkward, items).collect()]
     assert sorted(d for d in left if d) == [3, 4, 5, 6, 7, 11]
