@@ -8,7 +8,6 @@ import pytest
 
 from askloom.llm import chat, decontaminate, exact_dedup, near_dedup, quality
 from askloom.llm import queries as llm
-from askloom.llm import graphs
 from askloom.llm.graphs import connected_components, labels
 
 
@@ -143,30 +142,6 @@ def test_estimate_is_corrected():
     assert (1 - 0.85**rows) ** bands <= near_dedup.MISS
 
 
-@pytest.mark.parametrize("kind", ["alike", "thirds", "chain"])
-def test_large_groups_meet_pivots_first(spark, kind):
-    """No link between components is lost, and alike members are sent about once."""
-    from pyspark.sql import functions as F
-
-    n, blocks, sent = 400, 20, []
-    linked = {
-        "alike": F.lit(True), "thirds": F.expr("a.id % 3 = b.id % 3"), "chain": F.expr("abs(a.id - b.id) = 1")
-    }[kind]
-    members = spark.range(n).selectExpr("id", "1L AS crowd", f"{n}L AS n", f"{blocks}L AS blocks")
-
-    def compare(placed):
-        held = graphs.sent(placed)
-        sent.append(held.count())
-        a, b = held.alias("a"), held.alias("b")
-        place = F.expr("a.crowd = b.crowd AND a._guests = b._guests AND a._block = b._block AND a.id < b.id")
-        return a.join(b, place & linked).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-
-    got = {r.id: r.component for r in graphs.joined(members, "crowd", 20, compare).collect()}
-    assert got == {i: i % 3 if kind == "thirds" else 0 for i in range(n)}
-    assert sent[0] <= n + 3 * graphs.PIVOTS * blocks
-    assert len(sent) == 1 if kind == "alike" else sent[1] >= n
-
-
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
