@@ -126,19 +126,15 @@ def batched_insert(spark, sf):
     "SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text",
 )
 def streaming_insert(spark, sf):
-    stored = tables.table(spark, sf, "documents")
-    stream = (
-        spark.readStream.schema(stored.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-        .select("doc_id", "text")
-    )
+    stream = tables.table_stream(spark, sf, "documents").select("doc_id", "text")
     target = scratch_folder(spark, "arrived")
     running = streaming_insert_if_absent(
         stream, target, ["text"], ["doc_id"], scratch_folder(spark, "arrivals-log")
     )
     running.awaitTermination()
-    return spark.read.parquet(target).select("doc_id", F.md5("text").alias("digest"))
+    # An empty stream writes no target.
+    stored = sinks.stored_table(spark, target, stream.schema)
+    return stored.select("doc_id", F.md5("text").alias("digest"))
 
 
 # Windows of 64 words that start every 52 words, over the prepared text.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions.chunking import chunk_overlap
 from askloom.session import spread
+from askloom.sources.dumps import path_exists
 
 CHUNK_SIZE = 128
 CHUNK_OVERLAP = 0.25
@@ -19,6 +20,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files: one file, or a folder of them."""
+    path = f"{sf}/{name}.parquet"
+    files = spark.readStream.schema(table(spark, sf, name).schema)
+    if path_exists(spark, f"{path}/*"):
+        return files.parquet(path)
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
 def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     """A table whose texts are worked on row by row, over all cores."""
     return spread(table(spark, sf, name).select(*columns))

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.catalog.loading import streaming_insert
 from askloom.catalog.requests import request_log
 from askloom.streaming import monitor
 from askloom.streaming.arrivals import streaming_insert_if_absent
@@ -202,3 +203,12 @@ def test_repeats_inside_and_beyond_the_watermark(spark, tmp_path):
         for p in running.recentProgress for op in p["stateOperators"]
     )
     assert dropped >= 3  # two repeats of x and one of z; y and the last x come again beyond it
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_streamed_table_may_be_a_folder(spark, tmp_path, files):
+    rows = [(2, "x"), (1, "x"), (3, "y")] if files else []
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(files or 1)
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.doc_id for r in streaming_insert(spark, str(tmp_path)).collect()]
+    assert sorted(got) == ([1, 3] if files else [])
