@@ -25,6 +25,7 @@ from askloom.operators.lexical import postings
 from askloom.operators.rerank import pair_text
 from askloom.operators.vectors import embed_text
 from askloom.plans.corpus import HASHED_MODEL, prepare_chunk_rows
+from askloom.session import land
 
 _FIELDS = ("title", "tags", "question_body", "answer_body")
 
@@ -203,7 +204,7 @@ def embed_queries(spark, sf):
     FROM (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL""",
 )
 def chunk_postings(spark, sf):
-    return postings(tables.document_chunks(spark, sf))
+    return postings(land(tables.document_chunks(spark, sf), "chunks"))
 
 
 @query(

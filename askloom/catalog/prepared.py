@@ -29,13 +29,6 @@ TOP = 10
 ANY_SHARE = 0.6
 
 
-@dataclass(frozen=True)
-class SearchTables:
-    chunks: DataFrame
-    index: LexicalIndex
-    queries: DataFrame
-
-
 _built: dict[tuple[str, ...], object] = {}
 
 
@@ -46,25 +39,53 @@ def _once(spark: SparkSession, sf: str, label: str, build):
     return _built[key]
 
 
-def search_tables(spark: SparkSession, sf: str) -> SearchTables:
-    def build() -> SearchTables:
-        chunks = land(
-            embed_text(tables.document_chunks(spark, sf), "chunk_text", dim=tables.DIM), "chunks"
-        )
-        queries = land(
-            embed_text(tables.benchmark_queries(spark, sf), "text", dim=tables.DIM), "queries"
-        )
-        index = write_index(chunks, scratch_folder(spark, "lexical"), buckets=8)
-        return SearchTables(chunks, index, queries)
+def _has(spark: SparkSession, sf: str, label: str) -> bool:
+    return (spark.sparkContext.applicationId, sf, label) in _built
+
 
-    return _once(spark, sf, "search", build)
+@dataclass(frozen=True)
+class SearchTables:
+    """Each table is written when it is first asked for."""
+
+    spark: SparkSession
+    sf: str
+
+    @property
+    def chunks(self) -> DataFrame:
+        """Chunks with their vectors."""
+        return _once(self.spark, self.sf, "chunks", lambda: land(
+            embed_text(tables.document_chunks(self.spark, self.sf), "chunk_text", dim=tables.DIM), "chunks"
+        ))
+
+    @property
+    def texts(self) -> DataFrame:
+        """Chunks without vectors; those with vectors, if they are written already."""
+        if _has(self.spark, self.sf, "chunks"):
+            return self.chunks.drop("embedding")
+        return _once(self.spark, self.sf, "texts", lambda: land(tables.document_chunks(self.spark, self.sf), "texts"))
+
+    @property
+    def queries(self) -> DataFrame:
+        return _once(self.spark, self.sf, "queries", lambda: land(
+            embed_text(tables.benchmark_queries(self.spark, self.sf), "text", dim=tables.DIM), "queries"
+        ))
+
+    @property
+    def index(self) -> LexicalIndex:
+        return _once(self.spark, self.sf, "lexical", lambda: write_index(
+            self.texts, scratch_folder(self.spark, "lexical"), buckets=8
+        ))
+
+
+def search_tables(spark: SparkSession, sf: str) -> SearchTables:
+    return SearchTables(spark, sf)
 
 
 def positional_index(spark: SparkSession, sf: str) -> LexicalIndex:
     """Term index of the chunks with the places of the terms."""
 
     def build() -> LexicalIndex:
-        chunks = search_tables(spark, sf).chunks
+        chunks = search_tables(spark, sf).texts
         return write_index(chunks, scratch_folder(spark, "positions"), buckets=8, positions=True)
 
     return _once(spark, sf, "positions", build)
@@ -74,7 +95,7 @@ def block_index(spark: SparkSession, sf: str) -> BlockIndex:
     """Term index of the chunks in blocks."""
 
     def build() -> BlockIndex:
-        return write_blocks(search_tables(spark, sf).chunks, scratch_folder(spark, "blocks"), buckets=8)
+        return write_blocks(search_tables(spark, sf).texts, scratch_folder(spark, "blocks"), buckets=8)
 
     return _once(spark, sf, "blocks", build)
 
@@ -123,6 +144,6 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     t = search_tables(spark, sf)
     return (
         fused(spark, sf)
-        .join(t.chunks.select("chunk_id", "chunk_index", "chunk_text"), "chunk_id")
+        .join(t.texts.select("chunk_id", "chunk_index", "chunk_text"), "chunk_id")
         .join(t.queries.select("query_id", F.col("text")), "query_id")
     )

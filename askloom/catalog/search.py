@@ -258,12 +258,13 @@ def index_appends(spark, sf):
     """The search over an index that was built by two appends and a delete: a fourth
     of the chunks come with other texts first, and some that are no chunks go again."""
     t = prepared.search_tables(spark, sf)
+    chunks = t.texts
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
-    other = t.chunks.where(part == 0).select("chunk_id", F.reverse("chunk_text").alias("chunk_text"))
-    extra = t.chunks.where(part == 1).select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "chunk_text")
+    other = chunks.where(part == 0).select("chunk_id", F.reverse("chunk_text").alias("chunk_text"))
+    extra = chunks.where(part == 1).select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "chunk_text")
     index = segments.SegmentedIndex(spark, scratch_folder(spark, "segments"), buckets=8)
-    index.append(t.chunks.where(part >= 2).select("chunk_id", "chunk_text").unionByName(other).unionByName(extra))
-    index.append(t.chunks.where(part < 2).select("chunk_id", "chunk_text"))
+    index.append(chunks.where(part >= 2).select("chunk_id", "chunk_text").unionByName(other).unionByName(extra))
+    index.append(chunks.where(part < 2).select("chunk_id", "chunk_text"))
     index.delete(extra.select("chunk_id"))
     return lexical.any_term_topk(index.read(), t.queries, TOP, min_share=ANY_SHARE).withColumn(
         "score", F.round("score", 6)

@@ -17,14 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.operators.lexical import (
+    CHUNKS_PER_TASK,
     SCORE_DIGITS,
     TERM_BUCKETS,
     LexicalIndex,
     _in_buckets,
     _plans_of_queries,
     corpus_totals,
-    postings,
     term_bucket,
+    term_lists,
 )
 from askloom.session import broadcast_if_small, land
 
@@ -62,8 +63,12 @@ def write_blocks(
     n_chunks = spark.read.parquet(f"{path}/totals").first()["n_chunks"]
     n_blocks = max(1, -(-n_chunks // block_chunks))
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int")
+    tasks = max(buckets, -(-n_chunks // CHUNKS_PER_TASK))
+    parts = -(-tasks // buckets)
+    # A chunk is one row until it is in its block; grouping then shuffles nothing.
+    lists = term_lists(chunks, text).withColumn("block", block).repartition(tasks, "block")
     rows = (
-        postings(chunks, text).withColumn("block", block).groupBy("term", "block")
+        lists.select("block", "chunk_id", "dl", F.inline_outer("posted")).where("term IS NOT NULL").groupBy("term", "block")
         .agg(
             F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
             F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("posted"),
@@ -71,12 +76,13 @@ def write_blocks(
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
     )
     (
-        rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        rows.repartitionById(buckets * parts, F.col("bucket") * parts + F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+        .sortWithinPartitions("bucket", "term", "block")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
     )
     (
         _stored(spark, path, "lists").select("bucket", "term", "block", "max_tf", "min_dl", F.size("posted").alias("n"))
-        .repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        .sortWithinPartitions("bucket", "term", "block")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima")
     )
     _stored(spark, path, "maxima").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")

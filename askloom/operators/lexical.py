@@ -12,6 +12,7 @@ ever made.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ from askloom.session import broadcast_if_small, fits_broadcast, land
 
 #: Folders of a large stored index. A search reads only those its terms fall in.
 TERM_BUCKETS = 256
+#: Chunks whose postings in all buckets one task writes, on average.
+CHUNKS_PER_TASK = 10_000
 #: Scores are ranked after rounding, so that equal scores tie exactly.
 SCORE_DIGITS = 9
 #: Chunks that hold a query's rarest term, from which on its next rarest thins them out.
@@ -32,8 +35,66 @@ THIN_FROM = 20_000
 def postings(chunks: DataFrame, text: str = "chunk_text", positions: bool = False) -> DataFrame:
     """``(term, chunk_id, tf, dl)``: one row per term and chunk; ``dl`` is the
     chunk's token count. With ``positions``, also the term's places in the chunk,
-    in order. Grouping by term and chunk keeps a term that occurs everywhere spread
-    over all partitions, and the rows of a chunk are combined before the shuffle."""
+    in order."""
+    packed = term_lists(chunks, text, positions)
+    more = ["positions"] if positions else []
+    # Outer, as the filter on empty lists would split all texts once more.
+    flat = packed.select("chunk_id", "dl", F.inline_outer("posted")).where("term IS NOT NULL")
+    return flat.select("term", "chunk_id", "tf", "dl", *more)
+
+
+def term_lists(chunks: DataFrame, text: str = "chunk_text", positions: bool = False) -> DataFrame:
+    """``(chunk_id, dl, posted)``: the postings, as an array of ``term, tf`` (and
+    ``positions``) in the order of terms, empty for a chunk without tokens.
+
+    Tokens of a chunk are counted in its row, so none is shuffled. Rows that share their
+    ``chunk_id`` (and ``dl``) count as one chunk: such ids are looked for first, by a job
+    over the ids alone, and only their tokens are grouped; each of those has a row.
+    """
+    repeated = land(
+        chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("chunk_id").alias("_id")),
+        "repeated-ids",
+    )
+    if repeated.isEmpty():
+        return _counted(chunks, text, positions)
+    repeated, same = broadcast_if_small(repeated), F.col("chunk_id").eqNullSafe(F.col("_id"))
+    once, more = (chunks.join(repeated, same, how) for how in ("left_anti", "left_semi"))
+    names = ["term", "tf", *(["positions"] if positions else [])]
+    grouped = _grouped(more, text, positions).select("chunk_id", "dl", F.array(F.struct(*names)).alias("posted"))
+    return _counted(once, text, positions).unionByName(grouped)
+
+
+def run_starts(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Where in a sorted array the runs of items with the same key begin, from 0."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
+    return F.filter(
+        F.coalesce(places, F.array().cast("array<int>")),
+        lambda i: (i == 0) | (key(F.get(items, i)) != key(F.get(items, i - 1))),
+    )
+
+
+def _counted(chunks: DataFrame, text: str, positions: bool) -> DataFrame:
+    """Term lists of chunks with ids of their own. Equal tokens are runs once sorted."""
+    tokens = simple_tokens(F.col(text))
+    if positions:
+        tokens = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    term = (lambda x: x["term"]) if positions else (lambda x: x)
+    tokens = chunks.select("chunk_id", F.sort_array(tokens).alias("_tokens"))
+    runs = tokens.select("*", F.size("_tokens").alias("dl"), run_starts(F.col("_tokens"), term).alias("_runs"))
+
+    def posting(start: Column, i: Column) -> Column:
+        tf = F.coalesce(F.get("_runs", i + 1), F.col("dl")) - start
+        places = F.transform(F.slice("_tokens", start + 1, tf), lambda x: x["at"]) if positions else None
+        return F.struct(
+            term(F.get("_tokens", start)).alias("term"), tf.alias("tf"),
+            *([places.alias("positions")] if positions else []),
+        )
+
+    return runs.select("chunk_id", "dl", F.transform("_runs", posting).alias("posted"))
+
+
+def _grouped(chunks: DataFrame, text: str, positions: bool) -> DataFrame:
+    """Postings of any chunks, by grouping all tokens."""
     tokens = chunks.select("chunk_id", simple_tokens(F.col(text)).alias("_tokens"))
     counts = [F.count(F.lit(1)).cast("int").alias("tf")]
     if positions:
@@ -50,6 +111,31 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def by_bucket(lists: DataFrame, buckets: int, n_chunks: int) -> DataFrame:
+    """Postings of term lists with their ``bucket``, dealt for writing: each bucket is
+    cut by a hash of the chunk, so that tasks grow in number with the chunks and not in
+    size. A chunk's terms of a bucket are shuffled as one row."""
+    parts = max(1, -(-n_chunks // (CHUNKS_PER_TASK * buckets)))
+    dealt = F.sort_array(F.transform(
+        "posted", lambda x: F.struct(term_bucket(x["term"], buckets).alias("bucket"), x.alias("of"))
+    ))
+    runs = lists.select("chunk_id", "dl", dealt.alias("_dealt"))
+    runs = runs.withColumn("_runs", run_starts(F.col("_dealt"), lambda x: x["bucket"]))
+
+    def share(start: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("_runs", i + 1), F.size("_dealt")) - start
+        of = F.transform(F.slice("_dealt", start + 1, n), lambda x: x["of"])
+        return F.struct(F.get("_dealt", start)["bucket"].alias("bucket"), of.alias("posted"))
+
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
+    return (
+        runs.select("chunk_id", "dl", F.inline_outer(F.transform("_runs", share))).where("bucket IS NOT NULL")
+        .repartitionById(buckets * parts, F.col("bucket") * parts + part)
+        .select("bucket", "chunk_id", "dl", F.inline_outer("posted"))
+        .sortWithinPartitions("bucket", "term", "chunk_id")
+    )
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings with the statistics that scoring needs.
@@ -88,19 +174,12 @@ def write_index(
     """Store the index: postings in one folder per term bucket, in term order, with
     the places of the terms if asked for.
 
-    Tasks write ranges of (bucket, term, chunk), so a folder has few files and the
+    A task writes one file of one folder, so a folder has few files, and the
     postings of a very common term are still written by many tasks.
     """
     spark = chunks.sparkSession
-    (
-        postings(chunks, text, positions)
-        .withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .repartitionByRange("bucket", "term", "chunk_id")
-        .sortWithinPartitions("bucket", "term", "chunk_id")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
+    posted = by_bucket(term_lists(chunks, text, positions), buckets, chunks.count())
+    posted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     document_frequencies(stored).write.mode("overwrite").parquet(f"{path}/terms")
     # The stored counts add up to all tokens, so texts are split once.

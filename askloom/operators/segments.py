@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.operators.lexical import TERM_BUCKETS, LexicalIndex, postings, term_bucket
+from askloom.functions.text import simple_tokens
+from askloom.operators.lexical import TERM_BUCKETS, LexicalIndex, by_bucket, term_lists
 from askloom.session import broadcast_if_small, land
 from askloom.sources.dumps import path_exists
 
@@ -66,13 +67,10 @@ class SegmentedIndex:
         not null and occur once per append."""
         number, older, buckets = self._newest()
         segment = uuid.uuid4().hex
-        new = land(postings(chunks, text), "new-postings")
-        self._write_postings(new, segment, buckets)
+        self._write_postings(term_lists(chunks, text), segment, buckets, chunks.count())
         # Chunks without tokens count too, so the list is made of the chunks.
-        terms = new.groupBy("chunk_id").agg(F.first("dl").alias("dl"), F.collect_list("term").alias("terms"))
-        rows = chunks.select("chunk_id").join(terms, "chunk_id", "left").select(
-            "chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")
-        )
+        tokens = chunks.select("chunk_id", simple_tokens(F.col(text)).alias("_tokens"))
+        rows = tokens.select("chunk_id", F.size("_tokens").alias("dl"), F.array_distinct("_tokens").alias("terms"))
         rows.write.parquet(f"{self.path}/chunks/segment={segment}")
         self._supersede(self._table_of(segment).select("chunk_id"), older, segment)
         self._commit(number + 1, [*older, segment], buckets)
@@ -94,7 +92,9 @@ class SegmentedIndex:
             return
         segment = uuid.uuid4().hex
         index = self.read()
-        self._write_postings(index.postings.select("term", "chunk_id", "tf", "dl"), segment, buckets)
+        n_chunks = index.totals.select("n_chunks").scalar()
+        lists = index.postings.select("chunk_id", "dl", F.array(F.struct("term", "tf")).alias("posted"))
+        self._write_postings(lists, segment, buckets, n_chunks)
         self._live_chunks(older).drop("segment").write.parquet(f"{self.path}/chunks/segment={segment}")
         self._commit(number + 1, [segment], buckets)
 
@@ -105,13 +105,9 @@ class SegmentedIndex:
         chunks = self._table("chunks", segments, _CHUNKS)
         return self._live(chunks, segments, dict(chunks.dtypes)["chunk_id"])
 
-    def _write_postings(self, posted: DataFrame, segment: str, buckets: int) -> None:
-        (
-            posted.withColumn("bucket", term_bucket(F.col("term"), buckets))
-            .repartitionByRange("bucket", "term", "chunk_id")
-            .sortWithinPartitions("bucket", "term", "chunk_id")
-            .write.partitionBy("bucket")
-            .parquet(f"{self.path}/postings/segment={segment}")
+    def _write_postings(self, lists: DataFrame, segment: str, buckets: int, n_chunks: int) -> None:
+        by_bucket(lists, buckets, n_chunks).write.partitionBy("bucket").parquet(
+            f"{self.path}/postings/segment={segment}"
         )
 
     def _supersede(self, ids: DataFrame, older: list[str], segment: str) -> None:

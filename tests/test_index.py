@@ -165,3 +165,22 @@ def test_append_reads_no_older_text(spark, corpus, monkeypatch):
     plan = lx.all_terms_match(index.read(), queries)._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.splitlines() if "FileScan" in x and "/postings/" in x and "query_id#" not in x]
     assert all("bucket" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
+
+
+@pytest.mark.parametrize("positions", [False, True])
+def test_postings_shuffle_no_tokens(spark, positions):
+    """Tokens are counted in the rows; rows that share an id count as one chunk."""
+    once = [("a", "x y x"), ("b", None), ("c", "")]
+    plan = lx.postings(frame(spark, once), positions=positions)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    more = [*once, ("d", "x z"), ("d", "z x"), ("d", "z"), (None, "x"), (None, "x")]
+    columns = ["term", "chunk_id", "tf", "dl", *(["positions"] if positions else [])]
+    want = [
+        ("x", "a", 2, 3, [0, 2]), ("y", "a", 1, 3, [1]), ("x", "d", 2, 2, [0, 1]), ("z", "d", 2, 2, [0, 1]),
+        ("z", "d", 1, 1, [0]), ("x", None, 2, 1, [0, 0]),
+    ]
+    want = sorted((r[: len(columns)] for r in want), key=repr)
+    rows = frame(spark, more)
+    assert found(lx.postings(rows, positions=positions).select(*columns)) == want
+    stored = lx.write_index(rows, scratch_folder(spark, "repeated"), buckets=3, positions=positions)
+    assert found(stored.postings.select(*columns)) == want
