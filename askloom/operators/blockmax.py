@@ -63,9 +63,9 @@ def write_blocks(
     n_chunks = spark.read.parquet(f"{path}/totals").first()["n_chunks"]
     n_blocks = max(1, -(-n_chunks // block_chunks))
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int")
-    tasks = max(buckets, -(-n_chunks // CHUNKS_PER_TASK))
-    parts = -(-tasks // buckets)
-    # A chunk is one row until it is in its block; grouping then shuffles nothing.
+    # A chunk is one row until it is in its block; grouping and writing then shuffle
+    # nothing. A task writes a file of every folder, for some ten thousands of chunks.
+    tasks = max(1, -(-n_chunks // (4 * CHUNKS_PER_TASK)))
     lists = term_lists(chunks, text).withColumn("block", block).repartition(tasks, "block")
     rows = (
         lists.select("block", "chunk_id", "dl", F.inline_outer("posted")).where("term IS NOT NULL").groupBy("term", "block")
@@ -76,8 +76,7 @@ def write_blocks(
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
     )
     (
-        rows.repartitionById(buckets * parts, F.col("bucket") * parts + F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-        .sortWithinPartitions("bucket", "term", "block")
+        rows.sortWithinPartitions("bucket", "term", "block")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
     )
     (
@@ -150,6 +149,8 @@ def blockmax_topk(
     def scores(blocks: DataFrame) -> DataFrame:
         wanted = blocks.select("query_id", "block").join(terms, "query_id")
         lists = _in_buckets(index.part(index.lists), terms)
+        # Lists of terms that no query has are not shuffled.
+        lists = lists.drop("bucket").join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
         rows = lists.join(broadcast_if_small(wanted), ["term", "block"])
         rows = rows.select("query_id", "needed", "idf", F.inline("posted"))
         return (

@@ -122,16 +122,25 @@ def by_bucket(lists: DataFrame, buckets: int, n_chunks: int) -> DataFrame:
     runs = lists.select("chunk_id", "dl", dealt.alias("_dealt"))
     runs = runs.withColumn("_runs", run_starts(F.col("_dealt"), lambda x: x["bucket"]))
 
+    # Arrays of plain values are smaller than one of structs; with places, tf is their number.
+    counts = "positions" if "positions" in lists.schema["posted"].dataType.elementType.names else "tf"
+
     def share(start: Column, i: Column) -> Column:
         n = F.coalesce(F.get("_runs", i + 1), F.size("_dealt")) - start
-        of = F.transform(F.slice("_dealt", start + 1, n), lambda x: x["of"])
-        return F.struct(F.get("_dealt", start)["bucket"].alias("bucket"), of.alias("posted"))
+        of = F.slice("_dealt", start + 1, n)
+        return F.struct(
+            F.get("_dealt", start)["bucket"].alias("bucket"),
+            F.transform(of, lambda x: x["of"]["term"]).alias("term"),
+            F.transform(of, lambda x: x["of"][counts]).alias(counts),
+        )
 
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
+    tf = F.size("positions") if counts == "positions" else F.col("tf")
     return (
         runs.select("chunk_id", "dl", F.inline_outer(F.transform("_runs", share))).where("bucket IS NOT NULL")
         .repartitionById(buckets * parts, F.col("bucket") * parts + part)
-        .select("bucket", "chunk_id", "dl", F.inline_outer("posted"))
+        .select("bucket", "chunk_id", "dl", F.inline_outer(F.arrays_zip("term", counts)))
+        .select("bucket", "term", "chunk_id", tf.alias("tf"), "dl", *(["positions"] if counts == "positions" else []))
         .sortWithinPartitions("bucket", "term", "chunk_id")
     )
 

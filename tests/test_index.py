@@ -184,3 +184,13 @@ def test_postings_shuffle_no_tokens(spark, positions):
     assert found(lx.postings(rows, positions=positions).select(*columns)) == want
     stored = lx.write_index(rows, scratch_folder(spark, "repeated"), buckets=3, positions=positions)
     assert found(stored.postings.select(*columns)) == want
+
+
+def test_index_is_dealt_without_a_sample(spark, corpus):
+    """One shuffle of a row per chunk and bucket; ranges would make the postings twice."""
+    lists = lx.term_lists(frame(spark, corpus[0]))
+    dealt = lx.by_bucket(lists, 4, 90)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+    want = lx.postings(frame(spark, corpus[0]))
+    assert found(dealt.select("term", "chunk_id", "tf", "dl")) == found(want)
