@@ -68,7 +68,7 @@ def read_dump(
 
     Small multi-line files are read by one task each. If one is larger than
     ``one_task_bytes``, all are read in splits (``records.read_csv_records``), which
-    stores the numbered lines once; encodings that can't be split stay with one task.
+    reads the text again instead of storing it; encodings that can't be split stay with one task.
     Turn ``multi_line`` off for dumps without line breaks: those are split anyhow.
     """
     required_inputs(spark, {"dump": path})

@@ -215,3 +215,12 @@ def test_split_reader_options(spark, tmp_path, dump):
     assert dumps.read_tags(spark, str(bad), one_task_bytes=0).count() == 0
     with pytest.raises(ValueError, match="split"):
         records.read_records(spark, str(bad), encoding="UTF-16")
+
+
+def test_split_reader_stores_no_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text('"Id","Tag"\n"1","x"\n"2","y\nz"\n')
+    stored, land = [], records.land
+    monkeypatch.setattr(records, "land", lambda df, label: stored.append(df.columns) or land(df, label))
+    got = records.read_csv_records(spark, str(tmp_path / "a.csv"), ("Id", "Tag")).collect()
+    assert sorted(tuple(r) for r in got) == [("1", "x"), ("2", "y\nz")]
+    assert len(stored) == 1 and "line" not in stored[0]
