@@ -246,7 +246,7 @@ def _qa_documents(spark, sf):
 
 @query("tags_string_agg", f"WITH {_SQL_QA_DOCUMENTS} SELECT question_id, tags FROM tag_lists")
 def tags_string_agg(spark, sf):
-    return assemble.tags_string_agg(tables.tags(spark, sf))
+    return assemble.tags_string_agg(tables.tags(spark, sf), rows=tables.most_tags(spark, sf))
 
 
 @query("qa_assemble", f"WITH {_SQL_QA_DOCUMENTS} SELECT * FROM qa_documents")

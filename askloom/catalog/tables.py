@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.chunking import chunk_overlap
+from askloom.operators.skew import ROWS_PER_TASK, deal_by_rows, spread_join
 from askloom.session import spread
 from askloom.sources.dumps import path_exists
 
@@ -72,14 +73,23 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def tags(spark: SparkSession, sf: str) -> DataFrame:
+def tags(
+    spark: SparkSession, sf: str, *, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The number of tasks follows the rows; a grouping by question and tag uses
+    the same tasks again."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     lines = texts(spark, sf, "lineitem", "l_orderkey", "l_partkey")
-    return (
-        lines.join(part, "l_partkey")
-        .select(F.col("l_orderkey").alias("Id"), F.col("p_brand").alias("Tag"))
-        .distinct()
-    )
+    rows = most_tags(spark, sf)
+    tagged = spread_join(
+        lines, part, "l_partkey", rows_per_task=rows_per_task, rows=rows
+    ).select(F.col("l_orderkey").alias("Id"), F.col("p_brand").alias("Tag"))
+    return deal_by_rows(tagged, rows, "Id", "Tag", rows_per_task=rows_per_task).distinct()
+
+
+def most_tags(spark: SparkSession, sf: str) -> int:
+    """At most how many rows ``tags`` has, part keys being unique."""
+    return table(spark, sf, "lineitem").count()
 
 
 SQL_QUESTIONS = """

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloom.operators.skew import ROWS_PER_TASK, spread_join
+from askloom.operators.skew import ROWS_PER_TASK, deal_by_rows, spread_join
 
 
-def tags_string_agg(tags: DataFrame) -> DataFrame:
+def tags_string_agg(
+    tags: DataFrame, *, rows_per_task: int = ROWS_PER_TASK, rows: int | None = None
+) -> DataFrame:
     """``(question_id, tags)``: the tags of a question, sorted and joined by
     ``", "``. Null tags are skipped; a question with null tags only has null.
 
     Repeats are counted before they are grouped, so what one task gathers for a
-    question is its distinct tags.
+    question is its distinct tags. The number of tasks follows ``rows``, at most
+    how many ``tags`` has; without it they are counted.
     """
+    rows = tags.count() if rows is None else rows
     counted = tags.groupBy(F.col("Id").alias("question_id"), F.col("Tag").alias("tag")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
     )
@@ -24,7 +28,8 @@ def tags_string_agg(tags: DataFrame) -> DataFrame:
     repeated = F.flatten(
         F.transform(listed, lambda t: F.array_repeat(t.getField("tag"), t.getField("n")))
     )
-    return counted.groupBy("question_id").agg(
+    dealt = deal_by_rows(counted, rows, "question_id", rows_per_task=rows_per_task)
+    return dealt.groupBy("question_id").agg(
         F.when(F.count("tag") > 0, F.array_join(repeated, ", ")).alias("tags")
     )
 

@@ -2,7 +2,7 @@
 
 ``spread_join`` splits the rows of a hot key over several tasks of a join;
 ``running_totals`` computes running sums without putting a whole key into one
-task.
+task. ``deal_by_rows`` keeps the rows of a task from growing with the table.
 """
 
 from __future__ import annotations
@@ -33,6 +33,23 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> Dat
     )
 
 
+def deal_by_rows(
+    df: DataFrame, rows: int, *keys: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Put equal keys into one task, with about ``rows_per_task`` rows a task,
+    however many tasks that makes. ``rows`` is how many there are, at most.
+
+    For joins and groupings of short rows, where what a task holds goes with its
+    rows: the session's number of partitions does not follow the table, and
+    adaptive execution merges partitions by compressed bytes, which puts millions
+    of short rows into a task. A table for one task is left alone.
+    """
+    if rows <= rows_per_task:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // rows_per_task)), *keys)
+
+
 def spread_join(
     many: DataFrame,
     one: DataFrame,
@@ -40,12 +57,14 @@ def spread_join(
     how: str = "inner",
     *,
     rows_per_task: int = ROWS_PER_TASK,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``many`` with a table that is unique per key.
 
     A hot key of ``many`` is cut into parts by a hash of the whole row, which
     does not change when a task is run again; the matching row of ``one`` is
-    repeated once per part. Other keys have one part.
+    repeated once per part. Other keys have one part. With ``rows``, at most how
+    many rows ``many`` has, the number of tasks follows them.
     """
     hot = hot_keys(many.where(F.col(key).isNotNull()), key, rows_per_task)
     # Counted once; its size is measured before it is shipped.
@@ -58,6 +77,8 @@ def spread_join(
         .withColumn("_part", place)
         .drop("_parts")
     )
+    if rows is not None:
+        left = deal_by_rows(left, rows, key, "_part", rows_per_task=rows_per_task)
     right = (
         one.join(hot, key, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))

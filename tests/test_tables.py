@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.catalog import tables
 from askloom.operators import analytics, assemble, sequences, skew
 from askloom.sources.arrival import read_in_order
 from askloom.sources.batches import in_batches
@@ -25,6 +26,40 @@ def test_tags(spark):
     assert rows(assemble.tags_string_agg(tags), "question_id", "tags") == [(1, "a, b, b"), (2, None)]
 
 
+def in_tasks(df):
+    """Rows of each task that has any."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_tasks_follow_the_rows_of_tags(spark, tmp_path):
+    """Session partitions are 4, and so few bytes would be merged into one task."""
+    lines = [(i % 300 or None, 1 if i % 2 else i % 41) for i in range(2000)] + [(7, None)]
+    parts = [(k, f"b{k % 5}" if k else None) for k in range(40)] + [(3, "b9")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    tags = tables.tags(spark, str(tmp_path), rows_per_task=100)
+    want = {(o, b) for o, p in lines for k, b in parts if p is not None and p == k}
+    assert Counter((r["Id"], r["Tag"]) for r in tags.collect()) == Counter(want)
+    assert max(in_tasks(tags)) < len(want) / 5
+    listed = assemble.tags_string_agg(tags, rows_per_task=100, rows=tables.most_tags(spark, str(tmp_path)))
+    lists = {o: sorted(b for x, b in want if x == o and b) for o, _ in want}
+    assert {r["question_id"]: r["tags"] for r in listed.collect()} == {o: ", ".join(bs) or None for o, bs in lists.items()}
+    assert max(in_tasks(listed)) < len(lists) / 5
+
+
+def test_tasks_follow_repeated_tags(spark):
+    tags = spark.createDataFrame([(i % 90, "ab"[i % 2]) for i in range(900)], "Id long, Tag string")
+    listed = assemble.tags_string_agg(tags, rows_per_task=45)
+    assert rows(listed, "question_id", "tags") == [(i, ", ".join("ab"[i % 2] * 10)) for i in range(90)]
+    assert max(in_tasks(listed)) < 30
+
+
+def test_a_table_for_one_task_is_left_alone(spark):
+    few = spark.range(10)
+    assert skew.deal_by_rows(few, 10, "id", rows_per_task=10) is few
+    assert skew.deal_by_rows(few, 95, "id", rows_per_task=10).rdd.getNumPartitions() == 10
+
+
 QA = "question_id long, answer_id long, answer_score int"
 
 
