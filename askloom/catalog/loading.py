@@ -240,7 +240,8 @@ qa_documents AS (
 
 def _qa_documents(spark, sf):
     return assemble.qa_assemble(
-        tables.questions(spark, sf), tables.answers(spark, sf), tables.tags(spark, sf)
+        tables.questions(spark, sf), tables.answers(spark, sf), tables.tags(spark, sf),
+        tag_rows=tables.most_tags(spark, sf),
     )
 
 

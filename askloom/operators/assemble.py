@@ -40,26 +40,31 @@ def qa_assemble(
     tags: DataFrame,
     *,
     rows_per_task: int = ROWS_PER_TASK,
+    tag_rows: int | None = None,
 ) -> DataFrame:
     """``qa_documents``: one row per answer of a known question, with the
     question's tags. Unanswered questions and orphan answers are absent.
 
     Tags are put onto questions, where both sides are unique per question, so
-    that only one join meets a question with very many answers.
+    that only one join meets a question with very many answers. ``tag_rows`` is
+    at most how many rows ``tags`` has; without it they are counted.
     """
+    listed = tags_string_agg(tags, rows_per_task=rows_per_task, rows=tag_rows)
     asked = questions.select(
         F.col("Id").alias("question_id"),
         F.col("Title").alias("title"),
         F.col("Body").alias("question_body"),
         F.col("Score").alias("question_score"),
-    ).join(tags_string_agg(tags), "question_id", "left")
+    ).join(listed, "question_id", "left")
     given = answers.select(
         F.col("ParentId").alias("question_id"),
         F.col("Id").alias("answer_id"),
         F.col("Body").alias("answer_body"),
         F.col("Score").alias("answer_score"),
     )
-    return spread_join(given, asked, "question_id", rows_per_task=rows_per_task).select(
+    return spread_join(
+        given, asked, "question_id", rows_per_task=rows_per_task, rows=answers.count()
+    ).select(
         "question_id",
         "answer_id",
         "title",

@@ -54,6 +54,15 @@ def test_tasks_follow_repeated_tags(spark):
     assert max(in_tasks(listed)) < 30
 
 
+def test_tasks_follow_the_answers(spark):
+    questions = spark.createDataFrame([(i, f"t{i}", "b", i) for i in range(200)], "Id long, Title string, Body string, Score int")
+    answers = spark.createDataFrame([(i, i % 210, "a", 1) for i in range(2100)], "Id long, ParentId long, Body string, Score int")
+    tags = spark.createDataFrame([(i, "x") for i in range(100)], "Id long, Tag string")
+    qa = assemble.qa_assemble(questions, answers, tags, rows_per_task=100)
+    assert rows(qa.fillna("-"), "answer_id", "tags") == [(i, "x" if i % 210 < 100 else "-") for i in range(2100) if i % 210 < 200]
+    assert max(in_tasks(qa)) < 400
+
+
 def test_a_table_for_one_task_is_left_alone(spark):
     few = spark.range(10)
     assert skew.deal_by_rows(few, 10, "id", rows_per_task=10) is few
