@@ -12,9 +12,14 @@ ever made.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +27,15 @@ from askloom.functions.text import simple_tokens
 from askloom.operators import skew
 from askloom.session import broadcast_if_small, fits_broadcast, land
 
+# What tasks run is sent by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Folders of a large stored index. A search reads only those its terms fall in.
 TERM_BUCKETS = 256
 #: Chunks whose postings in all buckets one task writes, on average.
 CHUNKS_PER_TASK = 10_000
+#: Tokens that are counted at once.
+TOKENS_AT_ONCE = 4_000_000
 #: Scores are ranked after rounding, so that equal scores tie exactly.
 SCORE_DIGITS = 9
 #: Chunks that hold a query's rarest term, from which on its next rarest thins them out.
@@ -51,46 +61,111 @@ def term_lists(chunks: DataFrame, text: str = "chunk_text", positions: bool = Fa
     ``chunk_id`` (and ``dl``) count as one chunk: such ids are looked for first, by a job
     over the ids alone, and only their tokens are grouped; each of those has a row.
     """
-    repeated = land(
-        chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("chunk_id").alias("_id")),
-        "repeated-ids",
-    )
+    repeated = repeated_ids(chunks)
     if repeated.isEmpty():
-        return _counted(chunks, text, positions)
+        return counted_rows(chunks, text, positions)
     repeated, same = broadcast_if_small(repeated), F.col("chunk_id").eqNullSafe(F.col("_id"))
     once, more = (chunks.join(repeated, same, how) for how in ("left_anti", "left_semi"))
     names = ["term", "tf", *(["positions"] if positions else [])]
     grouped = _grouped(more, text, positions).select("chunk_id", "dl", F.array(F.struct(*names)).alias("posted"))
-    return _counted(once, text, positions).unionByName(grouped)
+    return counted_rows(once, text, positions).unionByName(grouped)
+
+
+def repeated_ids(chunks: DataFrame) -> DataFrame:
+    """Ids, as ``_id``, that several rows have. Stores them; runs a job for it."""
+    return land(
+        chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("chunk_id").alias("_id")),
+        "repeated-ids",
+    )
 
 
-def run_starts(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Where in a sorted array the runs of items with the same key begin, from 0."""
-    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
-    return F.filter(
-        F.coalesce(places, F.array().cast("array<int>")),
-        lambda i: (i == 0) | (key(F.get(items, i)) != key(F.get(items, i - 1))),
+def spelled(lists: DataFrame) -> DataFrame:
+    """Term lists with ``terms`` and ``counts`` as texts with blanks between, as tokens
+    hold none; they take less room than arrays."""
+    kept = [n for n in lists.columns if n != "posted"]
+    return lists.select(
+        *kept, F.array_join("posted.term", " ").alias("terms"),
+        F.array_join(F.col("posted.tf").cast("array<string>"), " ").alias("counts"),
     )
 
 
-def _counted(chunks: DataFrame, text: str, positions: bool) -> DataFrame:
-    """Term lists of chunks with ids of their own. Equal tokens are runs once sorted."""
-    tokens = simple_tokens(F.col(text))
+def run_starts(keys: np.ndarray) -> np.ndarray:
+    """Where in a sorted array the runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words in order, and the place of each word among them."""
+    found = words.dictionary_encode()
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    places = np.empty(len(order), dtype=np.int64)
+    places[order] = np.arange(len(order))
+    return found.dictionary.take(pa.array(order)), places[found.indices.to_numpy()]
+
+
+def cut_lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
+
+
+def list_rows(lists: pa.ListArray) -> np.ndarray:
+    """The row of each value of a list column without nulls."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def joined(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    """Lists of terms or numbers, each as one text with a blank between: tokens hold
+    none, and one text takes much less of a shuffle than an array."""
+    return pc.binary_join(cut_lists(offsets, values.cast(pa.string())), " ")
+
+
+def in_pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in pieces of so many list values at most, a row at least."""
+    ends = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _count_tokens(batch: pa.RecordBatch, positions: bool) -> pa.RecordBatch:
+    """Rows ``chunk_id, _tokens`` as term lists."""
+    lists = batch.column("_tokens")
+    rows = list_rows(lists)
+    words, codes = coded(lists.flatten())
+    keys = rows * max(1, len(words)) + codes
+    order = np.argsort(keys, kind="stable") if positions else None
+    keys = keys[order] if positions else np.sort(keys)
+    starts = run_starts(keys)
+    row, code = np.divmod(keys[starts], max(1, len(words)))
+    ends = np.append(starts[1:], len(keys))
+    fields = {"term": words.take(pa.array(code)), "tf": pa.array((ends - starts).astype(np.int32))}
+    lengths = np.diff(lists.offsets.to_numpy())
     if positions:
-        tokens = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
-    term = (lambda x: x["term"]) if positions else (lambda x: x)
-    tokens = chunks.select("chunk_id", F.sort_array(tokens).alias("_tokens"))
-    runs = tokens.select("*", F.size("_tokens").alias("dl"), run_starts(F.col("_tokens"), term).alias("_runs"))
-
-    def posting(start: Column, i: Column) -> Column:
-        tf = F.coalesce(F.get("_runs", i + 1), F.col("dl")) - start
-        places = F.transform(F.slice("_tokens", start + 1, tf), lambda x: x["at"]) if positions else None
-        return F.struct(
-            term(F.get("_tokens", start)).alias("term"), tf.alias("tf"),
-            *([places.alias("positions")] if positions else []),
-        )
+        first = np.cumsum(lengths) - lengths
+        at = (order - first[rows[order]]).astype(np.int32)
+        fields["positions"] = cut_lists(np.append(starts, len(keys)), pa.array(at))
+    posted = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    offsets = np.searchsorted(row, np.arange(len(lists) + 1))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("chunk_id"), pa.array(lengths.astype(np.int32)), cut_lists(offsets, posted)],
+        names=["chunk_id", "dl", "posted"],
+    )
+
+
+def counted_rows(chunks: DataFrame, text: str, positions: bool = False) -> DataFrame:
+    """Term lists, one of each row. Tokens are counted by batch."""
+    kind = chunks.select("chunk_id").schema["chunk_id"].dataType.simpleString()
+    posted = f"array<struct<term:string,tf:int{',positions:array<int>' if positions else ''}>>"
+    tokens = chunks.select("chunk_id", simple_tokens(F.col(text)).alias("_tokens"))
 
-    return runs.select("chunk_id", "dl", F.transform("_runs", posting).alias("posted"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in in_pieces(batch, "_tokens", TOKENS_AT_ONCE):
+                yield _count_tokens(piece, positions)
+
+    return tokens.mapInArrow(count, f"chunk_id {kind}, dl int, posted {posted}")
 
 
 def _grouped(chunks: DataFrame, text: str, positions: bool) -> DataFrame:
@@ -111,36 +186,53 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _share_out(batch: pa.RecordBatch, buckets: int, counts: str, kept: list[str]) -> pa.RecordBatch:
+    """A row per chunk and bucket, with its terms and their counts or places."""
+    rows = list_rows(batch.column("posted"))
+    keys = rows * buckets + batch.column("_buckets").flatten().to_numpy()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = run_starts(keys)
+    row, bucket = np.divmod(keys[starts], buckets)
+    offsets, order = np.append(starts, len(keys)), pa.array(order)
+    posted = batch.column("posted").flatten()
+    terms, held = (pc.struct_field(posted, name).take(order) for name in ("term", counts))
+    held = cut_lists(offsets, held) if counts == "positions" else joined(offsets, held)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(n).take(pa.array(row)) for n in kept] + [pa.array(bucket.astype(np.int32)), joined(offsets, terms), held],
+        names=[*kept, "bucket", "_terms", "_counts"],
+    )
+
+
 def by_bucket(lists: DataFrame, buckets: int, n_chunks: int) -> DataFrame:
     """Postings of term lists with their ``bucket``, dealt for writing: each bucket is
     cut by a hash of the chunk, so that tasks grow in number with the chunks and not in
-    size. A chunk's terms of a bucket are shuffled as one row."""
+    size. A chunk's terms of a bucket are shuffled as one row, and as one text. Columns
+    that the lists have beside ``posted`` are the chunk's and stay."""
     parts = max(1, -(-n_chunks // (CHUNKS_PER_TASK * buckets)))
-    dealt = F.sort_array(F.transform(
-        "posted", lambda x: F.struct(term_bucket(x["term"], buckets).alias("bucket"), x.alias("of"))
-    ))
-    runs = lists.select("chunk_id", "dl", dealt.alias("_dealt"))
-    runs = runs.withColumn("_runs", run_starts(F.col("_dealt"), lambda x: x["bucket"]))
-
-    # Arrays of plain values are smaller than one of structs; with places, tf is their number.
+    kept = [n for n in lists.columns if n != "posted"]
+    # With places, tf is their number.
     counts = "positions" if "positions" in lists.schema["posted"].dataType.elementType.names else "tf"
+    of = F.transform("posted", lambda x: term_bucket(x["term"], buckets))
+    types = ", ".join(f"`{n}` {lists.schema[n].dataType.simpleString()}" for n in kept)
 
-    def share(start: Column, i: Column) -> Column:
-        n = F.coalesce(F.get("_runs", i + 1), F.size("_dealt")) - start
-        of = F.slice("_dealt", start + 1, n)
-        return F.struct(
-            F.get("_dealt", start)["bucket"].alias("bucket"),
-            F.transform(of, lambda x: x["of"]["term"]).alias("term"),
-            F.transform(of, lambda x: x["of"][counts]).alias(counts),
-        )
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in in_pieces(batch, "posted", TOKENS_AT_ONCE):
+                yield _share_out(piece, buckets, counts, kept)
 
+    shared = lists.withColumn("_buckets", of).mapInArrow(
+        share, f"{types}, bucket int, _terms string, _counts {'array<array<int>>' if counts == 'positions' else 'string'}"
+    )
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
+    held = F.col("_counts") if counts == "positions" else F.split("_counts", " ").cast("array<int>")
     tf = F.size("positions") if counts == "positions" else F.col("tf")
+    others = [n for n in kept if n not in ("chunk_id", "dl")]
     return (
-        runs.select("chunk_id", "dl", F.inline_outer(F.transform("_runs", share))).where("bucket IS NOT NULL")
-        .repartitionById(buckets * parts, F.col("bucket") * parts + part)
-        .select("bucket", "chunk_id", "dl", F.inline_outer(F.arrays_zip("term", counts)))
-        .select("bucket", "term", "chunk_id", tf.alias("tf"), "dl", *(["positions"] if counts == "positions" else []))
+        shared.repartitionById(buckets * parts, F.col("bucket") * parts + part)
+        .select("bucket", *kept, F.split("_terms", " ").alias("term"), held.alias(counts))
+        .select("bucket", *kept, F.inline(F.arrays_zip("term", counts)))
+        .select("bucket", "term", "chunk_id", tf.alias("tf"), "dl", *(["positions"] if counts == "positions" else []), *others)
         .sortWithinPartitions("bucket", "term", "chunk_id")
     )
 

@@ -1,10 +1,12 @@
 """A term index that follows inserts: segments, superseded chunks, compaction.
 
-Each append writes the postings of its own chunks as a segment and never reads or
-rewrites an older text. A chunk that comes again supersedes its older version: the
-pair (segment, chunk) is noted, and what the old version counted for is taken from
-the statistics. Readers see the segments of the newest generation, which is written
-last; an append that fails leaves nothing that they see.
+Each append stores the token counts of its own chunks as a list per chunk, numbers the
+chunks, and writes their postings as a segment; it never reads or rewrites an older
+text. A chunk that comes again supersedes its older version: the pair (segment, number)
+is noted. Readers leave those numbers out by bitmaps, a bit per chunk, so postings and
+lists are filtered where they are read and not shuffled. Readers see the segments of the
+newest generation, which is written last; an append that fails leaves nothing that they
+see.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.functions.text import simple_tokens
-from askloom.operators.lexical import TERM_BUCKETS, LexicalIndex, by_bucket, term_lists
-from askloom.session import broadcast_if_small, land
+from askloom.operators.lexical import TERM_BUCKETS, LexicalIndex, by_bucket, counted_rows, repeated_ids, spelled
+from askloom.session import BROADCAST_BYTES, broadcast_if_small, land
 from askloom.sources.dumps import path_exists
 
 _GENERATION = "generation long, segment string, buckets int"
-_CHUNKS = "chunk_id string, dl int, terms array<string>"
+_CHUNKS = "chunk_id string, dl int, terms string, counts string, no long"
+#: Numbers of a bitmap, as so many words of 64.
+_BITMAP = 1 << 15
+_WORDS = _BITMAP // 64
 
 
 @dataclass(frozen=True)
@@ -54,11 +58,27 @@ class SegmentedIndex:
             return self.spark.createDataFrame([], f"{schema}, segment string")
         return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
 
-    def _live(self, table: DataFrame, segments: list[str], kind: str) -> DataFrame:
-        """Rows of chunks that no later segment supersedes."""
-        gone = self._table("superseded", segments, f"of string, chunk_id {kind}")
-        gone = gone.select(F.col("of").alias("segment"), "chunk_id")
-        return table.join(broadcast_if_small(gone), ["segment", "chunk_id"], "left_anti")
+    def _gone(self, segments: list[str]) -> DataFrame:
+        """Superseded numbers as bitmaps: ``segment, _map, _words``."""
+        noted = self._table("superseded", segments, "of string, no long")
+        bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
+        words = noted.groupBy("of", F.floor(F.col("no") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+        held = F.map_from_entries(F.collect_list(F.struct((F.col("_word") % _WORDS).cast("int").alias("at"), "_bits")))
+        maps = words.groupBy(F.col("of").alias("segment"), F.floor(F.col("_word") / _WORDS).alias("_map")).agg(held.alias("_held"))
+        whole = F.transform(
+            F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0).cast("long"))
+        )
+        return maps.select("segment", "_map", whole.alias("_words"))
+
+    def _live(self, table: DataFrame, segments: list[str]) -> DataFrame:
+        """Rows of numbered chunks that no later segment supersedes."""
+        maps = land(self._gone(segments), "superseded")
+        # A bitmap of numbers is up to 20 digits a word when its size is taken.
+        maps = broadcast_if_small(maps, max_bytes=2 * BROADCAST_BYTES)
+        at = F.expr(f"get(_words, CAST(no % {_BITMAP} AS INT) DIV 64)")
+        kept = table.withColumn("_map", F.floor(F.col("no") / _BITMAP)).join(maps, ["segment", "_map"], "left")
+        gone = F.coalesce(F.getbit(at, (F.col("no") % 64).cast("int")), F.lit(0)) == 1
+        return kept.where(~gone).drop("_map", "_words")
 
     # -- writing -----------------------------------------------------------
 
@@ -67,11 +87,7 @@ class SegmentedIndex:
         not null and occur once per append."""
         number, older, buckets = self._newest()
         segment = uuid.uuid4().hex
-        self._write_postings(term_lists(chunks, text), segment, buckets, chunks.count())
-        # Chunks without tokens count too, so the list is made of the chunks.
-        tokens = chunks.select("chunk_id", simple_tokens(F.col(text)).alias("_tokens"))
-        rows = tokens.select("chunk_id", F.size("_tokens").alias("dl"), F.array_distinct("_tokens").alias("terms"))
-        rows.write.parquet(f"{self.path}/chunks/segment={segment}")
+        self._write(spelled(counted_rows(chunks, text)), segment, buckets)
         self._supersede(self._table_of(segment).select("chunk_id"), older, segment)
         self._commit(number + 1, [*older, segment], buckets)
 
@@ -85,38 +101,53 @@ class SegmentedIndex:
         self._commit(number + 1, [*older, segment], buckets)
 
     def compact(self) -> None:
-        """One segment of all live chunks, made of the stored postings. Older folders
+        """One segment of all live chunks, made of the stored counts. Older folders
         stay for readers that have them open; they are the owner's to clear."""
         number, older, buckets = self._newest()
         if len(older) < 2:
             return
         segment = uuid.uuid4().hex
-        index = self.read()
-        n_chunks = index.totals.select("n_chunks").scalar()
-        lists = index.postings.select("chunk_id", "dl", F.array(F.struct("term", "tf")).alias("posted"))
-        self._write_postings(lists, segment, buckets, n_chunks)
-        self._live_chunks(older).drop("segment").write.parquet(f"{self.path}/chunks/segment={segment}")
+        self._write(self._live_chunks(older).drop("segment", "no"), segment, buckets)
         self._commit(number + 1, [segment], buckets)
 
     def _table_of(self, segment: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/chunks/segment={segment}")
 
     def _live_chunks(self, segments: list[str]) -> DataFrame:
-        chunks = self._table("chunks", segments, _CHUNKS)
-        return self._live(chunks, segments, dict(chunks.dtypes)["chunk_id"])
+        return self._live(self._table("chunks", segments, _CHUNKS), segments)
 
-    def _write_postings(self, lists: DataFrame, segment: str, buckets: int, n_chunks: int) -> None:
-        by_bucket(lists, buckets, n_chunks).write.partitionBy("bucket").parquet(
+    def _write(self, lists: DataFrame, segment: str, buckets: int) -> None:
+        """Store the lists with a number per chunk, then their postings. The numbers
+        are those of the stored rows, so no second run of a task changes them."""
+        lists.withColumn("no", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(
+            f"{self.path}/chunks/segment={segment}"
+        )
+        stored = self._table_of(segment)
+        term, tf = F.split("terms", " "), F.split("counts", " ").cast("array<int>")
+        # n: chunk rows that hold the term.
+        rows = stored.select("chunk_id", "dl", "no", F.lit(1).alias("n"), term.alias("term"), tf.alias("tf")).where("dl > 0")
+        repeated = repeated_ids(stored)
+        once = rows
+        if not repeated.isEmpty():
+            repeated, same = broadcast_if_small(repeated), F.col("chunk_id").eqNullSafe(F.col("_id"))
+            once, more = (rows.join(repeated, same, how) for how in ("left_anti", "left_semi"))
+        posted = once.select("chunk_id", "dl", "no", "n", F.arrays_zip("term", "tf").alias("posted"))
+        if once is not rows:
+            # Rows that share their id are superseded together, so any number of theirs does.
+            more = more.select("chunk_id", "dl", "no", F.inline(F.arrays_zip("term", "tf"))).groupBy("chunk_id", "dl", "term").agg(
+                F.sum("tf").cast("int").alias("tf"), F.min("no").alias("no"), F.count(F.lit(1)).cast("int").alias("n")
+            )
+            posted = posted.unionByName(more.select("chunk_id", "dl", "no", "n", F.array(F.struct("term", "tf")).alias("posted")))
+        by_bucket(posted, buckets, stored.count()).write.option("compression", "zstd").partitionBy("bucket").parquet(
             f"{self.path}/postings/segment={segment}"
         )
 
     def _supersede(self, ids: DataFrame, older: list[str], segment: str) -> None:
-        """Note the older live versions of some chunks, with their terms and lengths,
-        which come off the statistics."""
+        """Note the older live versions of some chunks. Ids and numbers are read, no terms."""
         if not older:
             return
-        gone = self._live_chunks(older).join(ids, "chunk_id", "left_semi")
-        gone.select(F.col("segment").alias("of"), "chunk_id", "dl", "terms").write.parquet(
+        held = self._live_chunks(older).select("segment", "chunk_id", "no")
+        held.join(ids, "chunk_id", "left_semi").select(F.col("segment").alias("of"), "no").write.parquet(
             f"{self.path}/superseded/segment={segment}"
         )
 
@@ -130,26 +161,14 @@ class SegmentedIndex:
 
     def read(self) -> LexicalIndex:
         """The index of all live chunks, for the searches of ``lexical``. Postings are
-        pruned by term bucket in every segment. Statistics are sums over segments less
-        what superseded chunks counted for; they come from the chunk lists, which hold
-        each chunk's terms, and are stored once per call."""
+        pruned by term bucket in every segment. Statistics are those of the live postings
+        and chunk lists, and are stored once per call."""
         _, segments, buckets = self._newest()
-        chunks = self._table("chunks", segments, _CHUNKS)
+        chunks = self._live_chunks(segments)
         kind = dict(chunks.dtypes)["chunk_id"]
-        posted = self._table("postings", segments, f"term string, chunk_id {kind}, tf int, dl int, bucket int")
-        gone = self._table("superseded", segments, f"of string, chunk_id {kind}, dl int, terms array<string>")
-        # A chunk list of an older segment is still there after a compaction.
-        gone = gone.where(F.col("of").isin(segments)) if segments else gone
-        counted = chunks.select("dl", "terms", F.lit(1).alias("n")).unionByName(
-            gone.select("dl", "terms", F.lit(-1).alias("n"))
-        )
-        terms = (
-            counted.select("n", F.explode("terms").alias("term")).groupBy("term")
-            .agg(F.sum("n").alias("df")).where("df > 0")
-        )
-        totals = counted.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"),
-            (F.sum(F.col("n") * F.col("dl")) / F.nullif(F.sum("n"), F.lit(0))).alias("avg_dl"),
-        )
-        live = self._live(posted, segments, kind)
-        return LexicalIndex(live, land(terms, "terms"), land(totals, "totals"), buckets)
+        posted = self._live(self._table(
+            "postings", segments, f"term string, chunk_id {kind}, tf int, dl int, no long, n int, bucket int"
+        ), segments)
+        terms = posted.groupBy("term").agg(F.sum("n").alias("df"))
+        totals = chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
+        return LexicalIndex(posted, land(terms, "terms"), land(totals, "totals"), buckets)

@@ -7,6 +7,7 @@ import pytest
 
 from askloom.operators import blockmax as bm
 from askloom.operators import lexical as lx
+from askloom.operators import segments
 from askloom.operators.segments import SegmentedIndex
 from askloom.session import scratch_folder
 
@@ -194,3 +195,37 @@ def test_index_is_dealt_without_a_sample(spark, corpus):
     assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
     want = lx.postings(frame(spark, corpus[0]))
     assert found(dealt.select("term", "chunk_id", "tf", "dl")) == found(want)
+
+
+def test_superseded_chunks_shuffle_no_postings(spark, corpus, monkeypatch):
+    """They are a bit each: postings and lists are filtered where they are read, and no
+    terms of theirs are moved or stored again."""
+    chunks, queries, _ = corpus
+    plain = segments.broadcast_if_small
+    monkeypatch.setattr(segments, "broadcast_if_small", lambda df, **b: plain(df, max_rows=8))
+    index = SegmentedIndex(spark, scratch_folder(spark, "segments"), buckets=2)
+    index.append(frame(spark, [(i, f"{t} older" if t else t) for i, t in chunks]))
+    index.append(frame(spark, chunks[:60]))
+    index.delete(frame(spark, chunks[85:]))
+    assert "terms" not in spark.read.parquet(f"{index.path}/superseded").columns
+    postings = index.read().postings
+    assert "Exchange hashpartitioning" not in postings._jdf.queryExecution().executedPlan().toString()
+    left = chunks[:60] + [(i, f"{t} older") for i, t in chunks[60:85]]
+    same_index(spark, index, left, queries)
+
+
+def test_rows_that_share_an_id_go_together(spark):
+    """Each counts in the statistics, their postings are one by length."""
+    index = SegmentedIndex(spark, scratch_folder(spark, "segments"), buckets=2)
+    index.append(frame(spark, [("a", "x y x"), ("a", "x z z"), ("a", "x"), ("b", "x"), (None, "y")]))
+    read, columns = index.read(), ("term", "chunk_id", "tf", "dl")
+    assert found(read.postings.select(*columns)) == sorted([
+        ("x", "a", 3, 3), ("y", "a", 1, 3), ("z", "a", 2, 3), ("x", "a", 1, 1), ("x", "b", 1, 1), ("y", None, 1, 1),
+    ], key=repr)
+    assert found(read.terms) == [("x", 4), ("y", 2), ("z", 1)]
+    assert tuple(read.totals.first()) == (5, 9 / 5)
+    index.append(frame(spark, [("a", "w")]))
+    read = index.read()
+    assert found(read.terms) == [("w", 1), ("x", 1), ("y", 1)] and read.totals.first()["n_chunks"] == 3
+    index.compact()
+    assert found(index.read().postings.select(*columns)) == sorted([("w", "a", 1, 1), ("x", "b", 1, 1), ("y", None, 1, 1)], key=repr)
