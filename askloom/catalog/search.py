@@ -399,7 +399,8 @@ def attach_scores(spark, sf):
     merged = fusion.merge_ranked(
         nearest.drop("rank"), best_terms.drop("rank").withColumnRenamed("score", "bm25_score")
     )
-    return _rounded(fusion.attach_scores(merged, fusion.rrf(union_lists(spark, sf))))
+    lists = fusion.union_lists(vector=nearest, bm25=best_terms)
+    return _rounded(fusion.attach_scores(merged, fusion.rrf(lists)))
 
 
 @query("hybrid_search", f"WITH {_FUSED} SELECT {_SQL_ORDERED} FROM ordered")

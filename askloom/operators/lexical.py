@@ -89,6 +89,31 @@ def spelled(lists: DataFrame) -> DataFrame:
     )
 
 
+#: Numbers of a bitmap, as words of 64.
+BITMAP = 1 << 15
+
+
+def bitmaps(numbers: DataFrame, *keys: str) -> DataFrame:
+    """The numbers ``no`` of each key as bitmaps: ``*keys, _map, _words``."""
+    n_words = BITMAP // 64
+    bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
+    words = numbers.groupBy(*keys, F.floor(F.col("no") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("_word") % n_words).cast("int").alias("at"), "_bits")))
+    maps = words.groupBy(*keys, F.floor(F.col("_word") / n_words).alias("_map")).agg(held.alias("_held"))
+    whole = F.transform(
+        F.sequence(F.lit(0), F.lit(n_words - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0).cast("long"))
+    )
+    return maps.select(*keys, "_map", whole.alias("_words"))
+
+
+def with_bit(table: DataFrame, maps: DataFrame, *keys: str, bit: int = 1) -> DataFrame:
+    """Rows whose number ``no`` has the bit in the bitmaps, or has it not."""
+    word = F.expr(f"get(_words, CAST(no % {BITMAP} AS INT) DIV 64)")
+    found = table.withColumn("_map", F.floor(F.col("no") / BITMAP)).join(maps, [*keys, "_map"], "left")
+    held = F.coalesce(F.getbit(word, (F.col("no") % 64).cast("int")), F.lit(0))
+    return found.where(held == bit).drop("_map", "_words")
+
+
 def run_starts(keys: np.ndarray) -> np.ndarray:
     """Where in a sorted array the runs of equal keys begin."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
@@ -226,14 +251,49 @@ def by_bucket(lists: DataFrame, buckets: int, n_chunks: int) -> DataFrame:
     )
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
     held = F.col("_counts") if counts == "positions" else F.split("_counts", " ").cast("array<int>")
+    dealt = shared.repartitionById(buckets * parts, F.col("bucket") * parts + part).select(
+        *kept, "bucket", F.split("_terms", " ").alias("_terms"), held.alias("_counts")
+    )
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches, "_terms", TOKENS_AT_ONCE):
+            yield _in_term_order(rows, counts, kept)
+
+    posted = dealt.mapInArrow(flat, f"{types}, bucket int, term string, {counts} {'array<int>' if counts == 'positions' else 'int'}")
     tf = F.size("positions") if counts == "positions" else F.col("tf")
     others = [n for n in kept if n not in ("chunk_id", "dl")]
-    return (
-        shared.repartitionById(buckets * parts, F.col("bucket") * parts + part)
-        .select("bucket", *kept, F.split("_terms", " ").alias("term"), held.alias(counts))
-        .select("bucket", *kept, F.inline(F.arrays_zip("term", counts)))
-        .select("bucket", "term", "chunk_id", tf.alias("tf"), "dl", *(["positions"] if counts == "positions" else []), *others)
-        .sortWithinPartitions("bucket", "term", "chunk_id")
+    # Ordering by a number alone needs no comparisons, and keeps the order of terms.
+    return posted.select(
+        "bucket", "term", "chunk_id", tf.alias("tf"), "dl", *(["positions"] if counts == "positions" else []), *others
+    ).sortWithinPartitions("bucket")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches together, up to so many list values."""
+    held, n = [], 0
+    for batch in batches:
+        for piece in in_pieces(batch, column, most):
+            values = len(piece.column(column).flatten())
+            if held and n + values > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+            held.append(piece)
+            n += values
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _in_term_order(rows: pa.RecordBatch, counts: str, kept: list[str]) -> pa.RecordBatch:
+    """A row per term and chunk of the rows of ``_share_out``, by bucket, term and chunk."""
+    rows = rows.take(pc.sort_indices(rows.column("chunk_id")))
+    row = list_rows(rows.column("_terms"))
+    words, codes = coded(rows.column("_terms").flatten())
+    bucket = rows.column("bucket").to_numpy().astype(np.int64)
+    order = np.argsort(bucket[row] * max(1, len(words)) + codes, kind="stable")
+    row, held = pa.array(row[order]), rows.column("_counts").flatten().take(pa.array(order))
+    return pa.RecordBatch.from_arrays(
+        [rows.column(n).take(row) for n in (*kept, "bucket")] + [words.take(pa.array(codes[order])), held],
+        names=[*kept, "bucket", "term", counts],
     )
 
 
@@ -272,8 +332,8 @@ def write_index(
     chunks: DataFrame, path: str, text: str = "chunk_text", buckets: int = TERM_BUCKETS,
     positions: bool = False,
 ) -> LexicalIndex:
-    """Store the index: postings in one folder per term bucket, in term order, with
-    the places of the terms if asked for.
+    """Store the index: postings in one folder per term bucket, in term order (a very
+    large file in several runs), with the places of the terms if asked for.
 
     A task writes one file of one folder, so a folder has few files, and the
     postings of a very common term are still written by many tasks.
@@ -382,8 +442,8 @@ def _matched_terms(
 
     The query plans and the lookups of the candidates are written to the scratch
     folder, computed once and measured. One job tells which folders are read. Small lookups are shipped to the postings
-    scan. Otherwise the postings are first reduced to the candidate chunks, if
-    those are few enough to ship, and then both sides are shuffled.
+    scan. Otherwise the postings are first reduced to about the candidate chunks, by
+    bitmaps of their hashed ids, and then both sides are shuffled.
     """
     plans = land(_plans_of_queries(index, queries, min_share), "query-plans")
     hits = F.lit(1) if min_share == 1 else F.ceil(F.col("needed") / 3).cast("int")
@@ -423,9 +483,12 @@ def _matched_terms(
     posted = folders.every().select("term", "chunk_id", "tf", "dl", *more)
     if fits_broadcast(lookups):
         return posted.join(F.broadcast(lookups), ["chunk_id", "term"])
-    chunk_ids = lookups.select("chunk_id").distinct()
-    if fits_broadcast(chunk_ids, max_rows=2_000_000):
-        posted = posted.join(F.broadcast(chunk_ids), "chunk_id", "left_semi")
+    # A bit or more per chunk keeps nearly all others out; only the bits are sent.
+    n_bits = 16 * max(1, lookups.select(F.approx_count_distinct("chunk_id")).first()[0])
+    bit = F.pmod(F.xxhash64("chunk_id"), F.lit(n_bits))
+    maps = land(bitmaps(lookups.select(bit.alias("no"))), "candidates")
+    if fits_broadcast(maps):
+        posted = with_bit(posted.withColumn("no", bit), F.broadcast(maps)).drop("no")
     return lookups.join(posted, ["chunk_id", "term"])
 
 

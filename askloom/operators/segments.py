@@ -17,15 +17,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.operators.lexical import TERM_BUCKETS, LexicalIndex, by_bucket, counted_rows, repeated_ids, spelled
+from askloom.operators.lexical import (
+    TERM_BUCKETS,
+    LexicalIndex,
+    bitmaps,
+    by_bucket,
+    counted_rows,
+    repeated_ids,
+    spelled,
+    with_bit,
+)
 from askloom.session import BROADCAST_BYTES, broadcast_if_small, land
 from askloom.sources.dumps import path_exists
 
 _GENERATION = "generation long, segment string, buckets int"
 _CHUNKS = "chunk_id string, dl int, terms string, counts string, no long"
-#: Numbers of a bitmap, as so many words of 64.
-_BITMAP = 1 << 15
-_WORDS = _BITMAP // 64
 
 
 @dataclass(frozen=True)
@@ -58,27 +64,12 @@ class SegmentedIndex:
             return self.spark.createDataFrame([], f"{schema}, segment string")
         return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
 
-    def _gone(self, segments: list[str]) -> DataFrame:
-        """Superseded numbers as bitmaps: ``segment, _map, _words``."""
-        noted = self._table("superseded", segments, "of string, no long")
-        bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
-        words = noted.groupBy("of", F.floor(F.col("no") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-        held = F.map_from_entries(F.collect_list(F.struct((F.col("_word") % _WORDS).cast("int").alias("at"), "_bits")))
-        maps = words.groupBy(F.col("of").alias("segment"), F.floor(F.col("_word") / _WORDS).alias("_map")).agg(held.alias("_held"))
-        whole = F.transform(
-            F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0).cast("long"))
-        )
-        return maps.select("segment", "_map", whole.alias("_words"))
-
     def _live(self, table: DataFrame, segments: list[str]) -> DataFrame:
         """Rows of numbered chunks that no later segment supersedes."""
-        maps = land(self._gone(segments), "superseded")
-        # A bitmap of numbers is up to 20 digits a word when its size is taken.
-        maps = broadcast_if_small(maps, max_bytes=2 * BROADCAST_BYTES)
-        at = F.expr(f"get(_words, CAST(no % {_BITMAP} AS INT) DIV 64)")
-        kept = table.withColumn("_map", F.floor(F.col("no") / _BITMAP)).join(maps, ["segment", "_map"], "left")
-        gone = F.coalesce(F.getbit(at, (F.col("no") % 64).cast("int")), F.lit(0)) == 1
-        return kept.where(~gone).drop("_map", "_words")
+        noted = self._table("superseded", segments, "of string, no long").select(F.col("of").alias("segment"), "no")
+        # A word of a bitmap has up to 20 digits when its size is taken.
+        maps = broadcast_if_small(land(bitmaps(noted, "segment"), "superseded"), max_bytes=2 * BROADCAST_BYTES)
+        return with_bit(table, maps, "segment", bit=0)
 
     # -- writing -----------------------------------------------------------
 
