@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from askloom.operators import blockmax as bm
 from askloom.operators import lexical as lx
@@ -229,3 +230,46 @@ def test_rows_that_share_an_id_go_together(spark):
     assert found(read.terms) == [("w", 1), ("x", 1), ("y", 1)] and read.totals.first()["n_chunks"] == 3
     index.compact()
     assert found(index.read().postings.select(*columns)) == sorted([("w", "a", 1, 1), ("x", "b", 1, 1), ("y", None, 1, 1)], key=repr)
+
+
+def test_many_candidates_are_sent_as_bits(spark, corpus, monkeypatch):
+    """Beyond what is sent as lookups, postings are kept by bits, and no ids are sent."""
+    chunks, queries, _ = corpus
+    index = lx.write_index(frame(spark, chunks), scratch_folder(spark, "bits"), buckets=4)
+    want = found(lx.lexical_topk(index, queries, 5, min_share=0.5))
+    seen, plain = [], lx.fits_broadcast
+    monkeypatch.setattr(lx, "fits_broadcast", lambda df, **b: seen.append(df.columns) or "_words" in df.columns and plain(df, **b))
+    assert found(lx.lexical_topk(index, queries, 5, min_share=0.5)) == want
+    assert seen[1:] == [["_map", "_words"]]
+
+
+def test_attach_scores_searches_once(spark, sf, monkeypatch):
+    """The lists that are merged are those that are fused."""
+    from askloom.catalog import prepared, search
+
+    made = []
+    lists = tuple(
+        spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.7, 2)], f"query_id long, chunk_id string, {value} double, rank int")
+        for value in ("distance", "score")
+    )
+    monkeypatch.setattr(prepared, "ranked_lists", lambda *a: made.append(a) or lists)
+    assert search.attach_scores(spark, sf).count() == 2 and len(made) == 1
+
+
+def test_queries_beyond_shipping_score_the_same(spark, corpus, monkeypatch):
+    """Blocks as products and blocks as joins; queries that share an id count twice in both."""
+    chunks, queries, asked = corpus
+    index = bm.write_blocks(frame(spark, chunks), scratch_folder(spark, "blocks"), buckets=2, block_chunks=8)
+    twice = queries.unionByName(queries.limit(3))
+    got = found(bm.blockmax_topk(index, twice, 5, lead=1))
+    monkeypatch.setattr(bm, "MAX_SHIPPED_TERMS", 0)
+    assert found(bm.blockmax_topk(index, twice, 5, lead=1)) == got and len(got) > 40
+
+
+def test_blocks_are_grouped_and_scored_without_spilled_rows(spark, corpus):
+    """No row per posting is grouped, and no row per query and chunk is shuffled."""
+    index = bm.write_blocks(frame(spark, corpus[0]), scratch_folder(spark, "blocks"), buckets=2, block_chunks=8)
+    plan = bm.blockmax_topk(index, corpus[1], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(query_id#" not in plan.split("MapInArrow", 1)[1]
+    rows = index.lists.select("term", "block", F.size("posted").alias("n"))
+    assert found(rows) == found(index.maxima.select("term", "block", "n")) != []
