@@ -13,7 +13,7 @@ ever made.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,29 +46,33 @@ def postings(chunks: DataFrame, text: str = "chunk_text", positions: bool = Fals
     """``(term, chunk_id, tf, dl)``: one row per term and chunk; ``dl`` is the
     chunk's token count. With ``positions``, also the term's places in the chunk,
     in order."""
-    packed = term_lists(chunks, text, positions)
+    packed = term_lists(chunks, text, positions, native=True)
     more = ["positions"] if positions else []
     # Outer, as the filter on empty lists would split all texts once more.
     flat = packed.select("chunk_id", "dl", F.inline_outer("posted")).where("term IS NOT NULL")
     return flat.select("term", "chunk_id", "tf", "dl", *more)
 
 
-def term_lists(chunks: DataFrame, text: str = "chunk_text", positions: bool = False) -> DataFrame:
+def term_lists(
+    chunks: DataFrame, text: str = "chunk_text", positions: bool = False, *, native: bool = False
+) -> DataFrame:
     """``(chunk_id, dl, posted)``: the postings, as an array of ``term, tf`` (and
     ``positions``) in the order of terms, empty for a chunk without tokens.
 
     Tokens of a chunk are counted in its row, so none is shuffled. Rows that share their
     ``chunk_id`` (and ``dl``) count as one chunk: such ids are looked for first, by a job
     over the ids alone, and only their tokens are grouped; each of those has a row.
+    ``native`` makes a plan without Python, which takes longer.
     """
+    counted = _counted_natively if native else counted_rows
     repeated = repeated_ids(chunks)
     if repeated.isEmpty():
-        return counted_rows(chunks, text, positions)
+        return counted(chunks, text, positions)
     repeated, same = broadcast_if_small(repeated), F.col("chunk_id").eqNullSafe(F.col("_id"))
     once, more = (chunks.join(repeated, same, how) for how in ("left_anti", "left_semi"))
     names = ["term", "tf", *(["positions"] if positions else [])]
     grouped = _grouped(more, text, positions).select("chunk_id", "dl", F.array(F.struct(*names)).alias("posted"))
-    return counted_rows(once, text, positions).unionByName(grouped)
+    return counted(once, text, positions).unionByName(grouped)
 
 
 def repeated_ids(chunks: DataFrame) -> DataFrame:
@@ -193,6 +197,36 @@ def counted_rows(chunks: DataFrame, text: str, positions: bool = False) -> DataF
     return tokens.mapInArrow(count, f"chunk_id {kind}, dl int, posted {posted}")
 
 
+def _starts_of_runs(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Where in a sorted array the runs of items with the same key begin, from 0."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
+    return F.filter(
+        F.coalesce(places, F.array().cast("array<int>")),
+        lambda i: (i == 0) | (key(F.get(items, i)) != key(F.get(items, i - 1))),
+    )
+
+
+def _counted_natively(chunks: DataFrame, text: str, positions: bool) -> DataFrame:
+    """The same rows as ``counted_rows`` by SQL functions alone, for plans without Python.
+    Equal tokens are runs once sorted."""
+    tokens = simple_tokens(F.col(text))
+    if positions:
+        tokens = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    term = (lambda x: x["term"]) if positions else (lambda x: x)
+    tokens = chunks.select("chunk_id", F.sort_array(tokens).alias("_tokens"))
+    runs = tokens.select("*", F.size("_tokens").alias("dl"), _starts_of_runs(F.col("_tokens"), term).alias("_runs"))
+
+    def posting(start: Column, i: Column) -> Column:
+        tf = F.coalesce(F.get("_runs", i + 1), F.col("dl")) - start
+        places = F.transform(F.slice("_tokens", start + 1, tf), lambda x: x["at"]) if positions else None
+        return F.struct(
+            term(F.get("_tokens", start)).alias("term"), tf.alias("tf"),
+            *([places.alias("positions")] if positions else []),
+        )
+
+    return runs.select("chunk_id", "dl", F.transform("_runs", posting).alias("posted"))
+
+
 def _grouped(chunks: DataFrame, text: str, positions: bool) -> DataFrame:
     """Postings of any chunks, by grouping all tokens."""
     tokens = chunks.select("chunk_id", simple_tokens(F.col(text)).alias("_tokens"))
